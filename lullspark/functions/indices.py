@@ -55,8 +55,8 @@ def repi_square1avg(w: Column, d: Column, f: Column, null_wind: bool = False) ->
 
 
 def live_index(w: Column, d: Column, f: Column) -> Column:
-    """``repi_power1avg2`` on plain doubles, rounded once, half to even."""
-    return F.bround(F.pow(F.least(_d(w), F.lit(float(WIND_CAP))), F.lit(3.0)) + _d(d) * 2 + _d(f) * 2, 2)
+    """``repi_power1avg2`` on plain doubles, rounded once, half to even; null without wind."""
+    return F.bround(F.pow(_capped(w, null_wind=True), F.lit(3.0)) + _d(d) * 2 + _d(f) * 2, 2)
 
 
 def shear_exponent(low: Column, high: Column, low_height: float, high_height: float) -> Column:

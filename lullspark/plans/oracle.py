@@ -430,12 +430,12 @@ def micro_mean(col: str) -> str:
 
 def half_even(x: str) -> str:
     """Two digits, halves to even, judged on the shortest decimal notation."""
-    n = f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,12)) * 1000000000000 AS HUGEINT)"
-    q, r = f"({n} // 10000000000)", f"({n} % 10000000000)"
-    return f"({q} + CASE WHEN {r} > 5000000000 OR ({r} = 5000000000 AND {q} % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 100"
+    v = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,18)) * 100)"
+    q, r = f"CAST(floor({v}) AS BIGINT)", f"({v} - floor({v}))"
+    return f"CAST({q} + CASE WHEN {r} > 0.5 OR ({r} = 0.5 AND {q} % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100"
 
 
-_LIVE = f"""pow(least(avg({hub(_H[0], _H[1])}) FILTER (lat > 51), 11.0::DOUBLE), 3)
+_LIVE = f"""pow(CASE WHEN count(*) FILTER (lat > 51) > 0 THEN least(avg({hub(_H[0], _H[1])}) FILTER (lat > 51), 11.0::DOUBLE) END, 3)
     + {micro_mean('direct_radiation')} * 2 + {micro_mean('diffuse_radiation')} * 2"""
 Q["live_index"] = (
     with_(forecasts())
