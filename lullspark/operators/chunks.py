@@ -80,33 +80,3 @@ def running_sum(
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
     """1-based row number per series; ``df`` carries ``_chunk``."""
     return running_sum(df, keys, order, {out: F.lit(1).cast("long")})
-
-
-def neighbour(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: dict[str, str],
-    following: bool = False,
-) -> DataFrame:
-    """Values of the previous (or following) row of the series.
-
-    ``values`` maps output column to source column; both outputs are null at the
-    end of the series. ``df`` carries ``_chunk``.
-    """
-    keys = list(keys)
-    by_chunk = [*keys, CHUNK]
-    pick = F.min_by if following else F.max_by
-    edges = df.groupBy(*by_chunk).agg(*[pick(src, order).alias(f"_e_{out}") for out, src in values.items()])
-    across = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if following else F.col(CHUNK))
-    carried = edges.select(*by_chunk, *[F.lag(f"_e_{out}").over(across).alias(f"_c_{out}") for out in values])
-    inside = Window.partitionBy(*by_chunk).orderBy(F.col(order).desc() if following else F.col(order))
-    local = df.select(
-        "*",
-        F.lag(order).over(inside).isNotNull().alias("_near"),
-        *[F.lag(src).over(inside).alias(f"_l_{out}") for out, src in values.items()],
-    )
-    return local.join(carried, by_chunk, "left").select(
-        *df.columns,
-        *[F.when(F.col("_near"), F.col(f"_l_{out}")).otherwise(F.col(f"_c_{out}")).alias(out) for out in values],
-    )

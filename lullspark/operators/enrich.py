@@ -56,28 +56,18 @@ def market_sums(
         "sum_rp": ("sum", r * p),
         "sum_p_of_r": ("sum", F.when(r.isNotNull(), p)),
     }
-    priced = market.where(p.isNotNull())
-    per_role = aggregate_intervals(
+    around = ["sum_r", "sum_c", "sum_cp", "sum_p", "n_p"]
+    wanted = {"half_open": ["sum_r"], "before": around, "after": around, "during": list(measures)}
+    return aggregate_intervals(
         _intervals(events, _roles(margin_ms)),
-        priced,
-        [*EVENT, "role"],
+        market.where(p.isNotNull()),
+        EVENT,
         ["region", "resolution"],
         measures,
+        wanted,
         chunk_ms=chunk_ms,
     )
 
-    def of(role: str, out: str) -> Column:
-        return F.max(F.when(F.col("role") == role, F.col(out))).alias(f"{role}_{out}")
-
-    wanted = [
-        ("half_open", ["sum_r"]),
-        ("before", ["sum_r", "sum_c", "sum_cp", "sum_p", "n_p"]),
-        ("after", ["sum_r", "sum_c", "sum_cp", "sum_p", "n_p"]),
-        ("during", list(measures)),
-    ]
-    wide = per_role.groupBy(*EVENT).agg(*[of(role, out) for role, outs in wanted for out in outs])
-    return events.select(*EVENT).join(wide, EVENT, "left")
-
 
 def _ratio(part: Column, whole: Column) -> Column:
     """Exact decimals keep 12 digits after the point, doubles stay doubles."""
@@ -241,7 +231,7 @@ def weather_stats(
         F.round("hi_exp", 2).alias("repi_power_exp_max"),
         F.round("lo_exp", 2).alias("repi_power_exp_min"),
     )
-    return events.join(rounded, EVENT, "left")
+    return rounded if set(events.columns) == set(EVENT) else events.join(rounded, EVENT, "left")
 
 
 ENRICHED = [

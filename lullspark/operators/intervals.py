@@ -26,15 +26,18 @@ def aggregate_intervals(
     ids: Sequence[str],
     keys: Sequence[str],
     measures: dict[str, tuple[str, Column]],
+    wanted: dict[str, Sequence[str]] | None = None,
     ts: str = "unix_timestamp_ms",
     lo: str = "lo",
     hi: str = "hi",
     chunk_ms: int = DAY_MS,
 ) -> DataFrame:
-    """One row per interval with at least one series row in the closed ``[lo, hi]``.
+    """One row per ``ids`` with aggregates over the closed ``[lo, hi]``.
 
     ``measures`` maps an output name to ``(kind, column)`` with kind sum, count,
-    min or max. ``ids`` identify an interval, ``keys`` its series.
+    min or max; they are null where an interval has no row. ``keys`` name the
+    series of an interval. With ``wanted`` an id has several intervals told apart
+    by a ``role`` column, and each role's measures come out as ``role_measure``.
     """
     ids, keys = list(ids), list(keys)
     states = [
@@ -42,25 +45,37 @@ def aggregate_intervals(
         for out, (kind, col) in measures.items()
     ]
     merged = [MERGE[kind](out).alias(out) for out, (kind, _) in measures.items()]
+    tags = ["role"] if wanted else []
 
     rows = with_time_chunk(series.select(*keys, ts, *states), ts, chunk_ms)
     inner = rows.groupBy(*keys, CHUNK).agg(*merged)
     both = rows.select(*keys, CHUNK, F.lit(False).alias("_whole"), F.col(ts).alias("_ts"), *measures).unionByName(
         inner.select(*keys, CHUNK, F.lit(True).alias("_whole"), F.lit(None).cast("long").alias("_ts"), *measures)
     )
+    on = [*keys, CHUNK, "_whole"]
+    right = both.select(*[F.col(c).alias(f"_k_{c}") for c in on], "_ts", *measures)
 
-    pieces = (
-        intervals.where(F.col(lo) <= F.col(hi))
-        .select(
-            *dict.fromkeys([*ids, *keys]),
-            F.col(lo).alias("_lo"),
-            F.col(hi).alias("_hi"),
-            F.explode(F.sequence(time_chunk(lo, chunk_ms), time_chunk(hi, chunk_ms))).alias(CHUNK),
-        )
-        .withColumn(
-            "_whole",
-            (F.col(CHUNK) * chunk_ms >= F.col("_lo")) & ((F.col(CHUNK) + 1) * chunk_ms - 1 <= F.col("_hi")),
-        )
+    first = time_chunk(lo, chunk_ms)
+    pieces = intervals.select(
+        *dict.fromkeys([*ids, *keys, *tags]),
+        F.col(lo).alias("_lo"),
+        F.col(hi).alias("_hi"),
+        F.explode(F.sequence(first, F.greatest(first, time_chunk(hi, chunk_ms)))).alias(CHUNK),
+    ).withColumn(
+        "_whole",
+        (F.col(CHUNK) * chunk_ms >= F.col("_lo")) & ((F.col(CHUNK) + 1) * chunk_ms - 1 <= F.col("_hi")),
+    )
+    met = F.col("_whole") | F.col("_ts").between(F.col("_lo"), F.col("_hi"))
+    for c in on:
+        met = met & (F.col(c) == F.col(f"_k_{c}"))
+    # A left join keeps ids whose intervals are empty, so nothing is joined back.
+    joined = pieces.join(right, met, "left")
+    if not wanted:
+        return joined.groupBy(*ids).agg(*merged)
+    return joined.groupBy(*ids).agg(
+        *[
+            MERGE[measures[out][0]](F.when(F.col("role") == role, F.col(out))).alias(f"{role}_{out}")
+            for role, outs in wanted.items()
+            for out in outs
+        ]
     )
-    hit = F.col("_whole") | F.col("_ts").between(F.col("_lo"), F.col("_hi"))
-    return pieces.join(both, [*keys, CHUNK, "_whole"]).where(hit).groupBy(*ids).agg(*merged)

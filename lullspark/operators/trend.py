@@ -53,8 +53,9 @@ def trailing_event_trend(
     ).where(F.col("_point"))
     if not fill:
         totals = totals.where(F.col("occurrences") > 0)
-    numbered = row_index(totals, keys, [ts], "_row")
-    return numbered.where(F.col("_row") > skip).select(
+    if skip:
+        totals = row_index(totals, keys, [ts], "_row").where(F.col("_row") > skip)
+    return totals.select(
         *keys,
         ts,
         F.col("occurrences").alias("occurrences_in_last_rolling_year"),

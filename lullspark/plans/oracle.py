@@ -484,10 +484,14 @@ Q["duration_columns"] = (
 )
 
 # --- wide tables ---
-LONG = f"""feed AS (SELECT event_type AS series, ms // {HOUR} * {HOUR} AS ts, 'DE' AS region, 'hour' AS resolution,
+def feed(step: int = HOUR) -> str:
+    return f"""feed AS (SELECT event_type AS series, ms // {step} * {step} AS ts, 'DE' AS region, 'hour' AS resolution,
     CASE WHEN event_id % 50 = 0 THEN -10000000000 WHEN event_id % 7 <> 0 THEN cents END AS v, event_id % 50 = 0 AS is_bucket, event_id AS seq FROM ev)"""
 
 
+LONG = feed()
+
+
 def wide(out: str = "wide", where: str = "TRUE") -> str:
     cols = ", ".join(f"arg_max(v, seq) FILTER (series = '{n}' AND v IS NOT NULL) AS v_{n}" for n in FEED)
     return f"""{out} AS (SELECT ts, region, resolution, arg_min(is_bucket, seq) AS is_bucket, {cols} FROM feed WHERE {where} GROUP BY 1, 2, 3)"""
@@ -512,7 +516,7 @@ Q["upsert_sparse"] = (
     )
     + f"SELECT {KEYS}, is_bucket AS is_bucket_timestamp, {doubles()} FROM m"
 )
-Q["bucket_starts"] = with_(EV, LONG, wide()) + f"SELECT {KEYS} FROM wide WHERE v_view = -10000000000 AND is_bucket"
+Q["bucket_starts"] = with_(EV, feed(1), wide()) + f"SELECT {KEYS} FROM wide WHERE v_view = -10000000000 AND is_bucket"
 Q["clear_sentinel"] = with_(EV, LONG, wide()) + f"SELECT {KEYS}, {doubles(CLEARED)} FROM wide"
 Q["drop_empty_rows"] = (
     with_(EV, LONG, wide())

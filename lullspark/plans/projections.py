@@ -198,13 +198,13 @@ def forecast_points(spark: SparkSession, sf_dir: str, seconds: str = f"({SHIPPED
     )
 
 
-def long_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def long_feed(spark: SparkSession, sf_dir: str, step_ms: int = HOUR_MS) -> DataFrame:
     """``events`` as a feed: every 50th row opens a bucket, every 7th has no value."""
     rows = event_rows(spark, sf_dir)
     bucket = F.col("event_id") % 50 == 0
     return rows.select(
         F.col("event_type").alias("series"),
-        F.expr(f"ms div {HOUR_MS} * {HOUR_MS}L").alias("unix_timestamp_ms"),
+        F.expr(f"ms div {step_ms} * {step_ms}L").alias("unix_timestamp_ms"),
         F.lit("DE").alias("region"),
         F.lit("hour").alias("resolution"),
         F.when(bucket, F.lit(-1e8).cast("decimal(11,2)"))

@@ -118,7 +118,7 @@ def search_events(spark, sf):
 @query
 def state_transitions(spark, sf):
     moves = transitions(P.daily_by_region(spark, sf), "share", SEARCH)
-    return moves.select(*KEYS, "threshold", F.when(F.col("is_start"), "START").otherwise("END").alias("event_bucket"))
+    return moves.select(*KEYS, "threshold", "event_bucket")
 
 
 @query
@@ -327,7 +327,7 @@ def upsert_sparse(spark, sf):
 
 @query
 def bucket_starts(spark, sf):
-    return upsert.bucket_starts(upsert.widen(P.long_feed(spark, sf), names=FEED_SERIES), "view")
+    return upsert.bucket_starts(upsert.widen(P.long_feed(spark, sf, step_ms=1), names=FEED_SERIES), "view")
 
 
 @query
