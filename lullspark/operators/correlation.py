@@ -185,14 +185,13 @@ def _grid_inversions(rows: DataFrame) -> DataFrame:
     return met.select(*PAIR, (F.col("n").cast("decimal(19,0)") * F.col("_met").cast("decimal(19,0)")).cast("string").alias("d"))
 
 
-def _tie_pairs(weighted: DataFrame, by: Sequence[str], out: str) -> DataFrame:
-    w = F.col("_w").cast("double")
-    return (
-        weighted.groupBy(*PAIR, *by)
-        .agg(F.sum("w").alias("_w"))
-        .groupBy(*PAIR)
-        .agg(F.sum(w * (w - 1) / 2).alias(out))
+def _tie_pairs(weighted: DataFrame) -> DataFrame:
+    """Pairs of rows in all (n0), equal in x (n1), in y (n2) and in both (n3)."""
+    names = F.create_map(F.lit(3), F.lit("n0"), F.lit(1), F.lit("n1"), F.lit(2), F.lit("n2"), F.lit(0), F.lit("n3"))
+    sizes = weighted.groupingSets([[*PAIR], [*PAIR, "x"], [*PAIR, "y"], [*PAIR, "x", "y"]], *PAIR, "x", "y").agg(
+        F.sum("w").cast("double").alias("_w"), F.grouping_id().alias("_g")
     )
+    return sizes.select(*PAIR, names[F.col("_g").cast("int")].alias("part"), (F.col("_w") * (F.col("_w") - 1) / 2).alias("v"))
 
 
 def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -221,18 +220,17 @@ def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_
         _block_inversions(placed, "xb", ["xp"])
         .unionByName(_block_inversions(placed, "yb", ["xb", "yp"]))
         .unionByName(_grid_inversions(placed))
-        .groupBy(*PAIR)
-        .agg(F.sum(F.col("d").cast("decimal(38,0)")).cast("double").alias("d"))
+        .select(*PAIR, F.lit("d").alias("part"), F.col("d").cast("double").alias("v"))
     )
-    ties = (
-        _tie_pairs(placed, [], "n0")
-        .join(_tie_pairs(placed, ["x"], "n1"), PAIR)
-        .join(_tie_pairs(placed, ["y"], "n2"), PAIR)
-        .join(_tie_pairs(placed, ["x", "y"], "n3"), PAIR)
+    counts = (
+        _tie_pairs(placed)
+        .unionByName(discordant)
+        .groupBy(*PAIR)
+        .agg(*[F.sum(F.when(F.col("part") == part, F.col("v"))).alias(part) for part in ("n0", "n1", "n2", "n3", "d")])
     )
     score = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("d")
     scale = F.sqrt(F.col("n0") - F.col("n1")) * F.sqrt(F.col("n0") - F.col("n2"))
-    upper = ties.join(discordant, PAIR).select(*PAIR, F.try_divide(score, scale).alias("correlation"))
+    upper = counts.select(*PAIR, F.try_divide(score, scale).alias("correlation"))
     return _mirror(upper.unionByName(diagonal))
 
 

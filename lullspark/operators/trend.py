@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lullspark.operators.chunks import row_index, running_sum, with_time_chunk
@@ -21,6 +21,7 @@ def trailing_event_trend(
     window_ms: int = 365 * DAY_MS,
     skip: int = 365,
     fill: bool = False,
+    daily: bool = True,
     chunk_ms: int = CHUNK_MS,
 ) -> DataFrame:
     """Event count and whole event days in ``(ts - window, ts]`` per series instant.
@@ -29,31 +30,34 @@ def trailing_event_trend(
     a step up and a step down, and the answer is a running total: no event is ever
     paired with an instant. Durations are not clipped to the window. Instants
     without an event are left out unless ``fill``; then the first ``skip`` rows of
-    each series are dropped.
+    each series are dropped. A ``daily`` series has 366 rows a year at most, so its
+    rows are numbered per series; any other is numbered chunk by chunk.
     """
     keys = list(keys)
     length = F.col("end_time") - F.col("start_time")
-    up = events.select(*keys, F.col("start_time").alias(ts), F.lit(1).cast("long").alias("_n"), length.alias("_ms"))
-    down = events.select(
-        *keys,
-        (F.col("end_time") + F.lit(window_ms)).alias(ts),
-        F.lit(-1).cast("long").alias("_n"),
-        (-length).alias("_ms"),
+    steps = F.array(
+        F.struct(F.col("start_time").alias(ts), F.lit(1).cast("long").alias("_n"), length.alias("_ms")),
+        F.struct(
+            (F.col("end_time") + F.lit(window_ms)).alias(ts), F.lit(-1).cast("long").alias("_n"), (-length).alias("_ms")
+        ),
     )
+    deltas = events.select(*keys, F.inline(steps))
     points = series.select(*keys, ts, F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_ms"))
-    marked = (
-        up.unionByName(down).withColumn("_point", F.lit(False)).unionByName(points.withColumn("_point", F.lit(True)))
-    )
+    marked = deltas.withColumn("_point", F.lit(False)).unionByName(points.withColumn("_point", F.lit(True)))
     totals = running_sum(
         with_time_chunk(marked, ts, chunk_ms),
         keys,
         [ts],
         {"occurrences": F.col("_n"), "_total_ms": F.col("_ms")},
         peers=True,
+        counted=with_time_chunk(deltas, ts, chunk_ms),
     ).where(F.col("_point"))
     if not fill:
         totals = totals.where(F.col("occurrences") > 0)
-    if skip:
+    if skip and daily:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(ts))
+        totals = totals.withColumn("_row", number).where(F.col("_row") > skip)
+    elif skip:
         totals = row_index(totals, keys, [ts], "_row").where(F.col("_row") > skip)
     return totals.select(
         *keys,

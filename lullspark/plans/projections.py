@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullspark.registry import MARKET_SCHEMA, MEASURES
+from lullspark.registry import MEASURES
 
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
@@ -57,38 +57,31 @@ def market_grid(spark: SparkSession, sf_dir: str, resolution: str = "hour") -> D
     """``events`` as a wide market table of one region."""
     step = {"quarterhour": 900_000, "hour": HOUR_MS, "day": DAY_MS}[resolution]
     per_type = {
-        column: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("cents"))), F.lit(0))
-        for kind, column in PRODUCTION_OF.items()
+        column: f"coalesce(sum(cents) FILTER (WHERE event_type = '{kind}'), 0)" for kind, column in PRODUCTION_OF.items()
     }
-    wind_solar = F.col("event_type").isin("view", "click")
+    sums = {
+        "power_consumption_total": "sum(cents)",
+        "power_consumption_residual_load": "coalesce(sum(cents) FILTER (WHERE event_type NOT IN ('view', 'click')), 0)",
+        "market_price_ger_lux": "(2 * sum(cents) + count(1)) div (2 * count(1))",
+    } | per_type
     grouped = (
         event_rows(spark, sf_dir)
         .groupBy(F.expr(f"ms div {step} * {step}L").alias("unix_timestamp_ms"))
-        .agg(
-            F.sum("cents").alias("total"),
-            F.coalesce(F.sum(F.when(~wind_solar, F.col("cents"))), F.lit(0)).alias("residual"),
-            F.count(F.lit(1)).alias("n"),
-            *[v.alias(k) for k, v in per_type.items()],
-        )
+        .agg(*[F.expr(f"{v} AS {k}") for k, v in sums.items()])
     )
-    known = {
-        "power_consumption_total": hundredths("total"),
-        "power_consumption_residual_load": hundredths("residual"),
-        "electricity_consumption_pumped_storage": F.lit(0).cast("decimal(11,2)"),
-        "market_price_ger_lux": hundredths(half_up("total", "n")),
-    } | {c: hundredths(c) for c in PRODUCTION_OF.values()}
-    for c in MEASURES:
-        if c.startswith("electricity_production_") and c not in known:
-            known[c] = F.lit(0).cast("decimal(11,2)")
-    fields = {
-        "is_bucket_timestamp": F.lit(False),
-        "region": F.lit("DE"),
-        "resolution": F.lit(resolution),
-    }
-    return grouped.select(
+
+    def measure(name: str) -> str:
+        if name in sums:
+            return f"cast(cast({name} AS decimal(18,0)) * 0.01BD AS decimal(11,2)) AS {name}"
+        zero = name.startswith("electricity_")
+        return f"cast({0 if zero else 'NULL'} AS decimal(11,2)) AS {name}"
+
+    return grouped.selectExpr(
         "unix_timestamp_ms",
-        *[v.alias(k) for k, v in fields.items()],
-        *[known.get(c, F.lit(None).cast(MARKET_SCHEMA[c].dataType)).alias(c) for c in MEASURES],
+        "false AS is_bucket_timestamp",
+        "'DE' AS region",
+        f"'{resolution}' AS resolution",
+        *[measure(c) for c in MEASURES],
     )
 
 
