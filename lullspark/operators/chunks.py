@@ -47,18 +47,16 @@ def running_sum(
     order: Sequence[Column | str],
     sums: dict[str, Column],
     peers: bool = False,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Running totals per series in ``order``; ``df`` carries ``_chunk``.
 
     With ``peers`` rows equal in ``order`` share one total (they must then be in
-    one chunk, as rows of one instant are). ``counted`` may hold just the rows of
-    ``df`` that add something, when they are cheaper to total on their own.
+    one chunk, as rows of one instant are).
     """
     keys = list(keys)
     by_chunk = [*keys, CHUNK]
     valued = df.select("*", *[value.alias(f"_v_{out}") for out, value in sums.items()])
-    totals = (counted if counted is not None else df).groupBy(*by_chunk).agg(
+    totals = df.groupBy(*by_chunk).agg(
         *[F.sum(value).alias(f"_t_{out}") for out, value in sums.items()]
     )
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

@@ -50,7 +50,6 @@ def trailing_event_trend(
         [ts],
         {"occurrences": F.col("_n"), "_total_ms": F.col("_ms")},
         peers=True,
-        counted=with_time_chunk(deltas, ts, chunk_ms),
     ).where(F.col("_point"))
     if not fill:
         totals = totals.where(F.col("occurrences") > 0)
