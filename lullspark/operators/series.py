@@ -193,13 +193,15 @@ def moving_average(
     """Mean time and mean value of every run of ``period`` rows of a series.
 
     Rows are numbered once, then cut into blocks of ``block_rows``; a block also
-    gets the ``period - 1`` rows after it, so each window is complete in one task.
+    gets the rows after it that its windows reach, so each is complete in one task.
     By default nulls are skipped and every full window counts. ``compat`` counts
     null as 0 and leaves out the last two full windows of a series.
     """
     if period < 1:
         raise ValueError(f"bad period: {period}")
     keys = list(keys)
+    # Rows that must follow for a window to count.
+    ahead = period + 1 if compat else period - 1
     numbered = row_index(with_time_chunk(df.select(*keys, ts, value), ts, chunk_ms), keys, [ts], "_row")
     slots = numbered.select(
         *keys,
@@ -209,7 +211,7 @@ def moving_average(
         F.expr(f"(_row - 1) div {block_rows}L").alias("_own"),
         F.explode(
             F.sequence(
-                F.expr(f"greatest(_row - {period}, 0L) div {block_rows}L"),
+                F.expr(f"greatest(_row - {1 + ahead}, 0L) div {block_rows}L"),
                 F.expr(f"(_row - 1) div {block_rows}L"),
             )
         ).alias("_block"),
@@ -223,10 +225,7 @@ def moving_average(
         F.floor(F.avg(ts).over(run) + F.lit(0.5)).cast("long").alias("mean_time"),
         F.avg(measured.cast("double")).over(run).alias("mean_value"),
         (F.col("_own") == F.col("_block")).alias("_mine"),
-        F.count(ts).over(run).alias("_n"),
+        F.count(ts).over(inside.rowsBetween(0, ahead)).alias("_n"),
     )
-    full = means.where(F.col("_mine") & (F.col("_n") == period))
-    if compat:
-        last = numbered.groupBy(*keys).agg(F.max("_row").alias("_last"))
-        full = full.join(last, keys).where(F.col("_row") + F.lit(period + 1) <= F.col("_last"))
+    full = means.where(F.col("_mine") & (F.col("_n") == ahead + 1))
     return full.select(*keys, "mean_time", "mean_value")
