@@ -4,7 +4,8 @@ A plain ``ts BETWEEN lo AND hi`` join is a nested loop. Here both sides are cut
 chunk borders. A chunk that lies wholly inside an interval contributes one
 pre-aggregated row; only the two border chunks contribute raw rows. The join is an
 equi join on ``(keys, chunk)``, so it hashes, and a long interval costs one row per
-chunk instead of one per instant.
+chunk instead of one per instant. Where the intervals are counted and few, their
+pieces are broadcast and the series is not shuffled at all.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ def aggregate_intervals(
     lo: str = "lo",
     hi: str = "hi",
     chunk_ms: int = DAY_MS,
+    broadcast_pieces: int = 0,
 ) -> DataFrame:
     """One row per ``ids`` with aggregates over the closed ``[lo, hi]``.
 
@@ -38,6 +40,8 @@ def aggregate_intervals(
     min or max; they are null where an interval has no row. ``keys`` name the
     series of an interval. With ``wanted`` an id has several intervals told apart
     by a ``role`` column, and each role's measures come out as ``role_measure``.
+    ``broadcast_pieces`` counts the pieces first and broadcasts up to that many; it
+    runs ``intervals``, which should then be a written or checkpointed table.
     """
     ids, keys = list(ids), list(keys)
     states = [
@@ -52,27 +56,32 @@ def aggregate_intervals(
     both = rows.select(*keys, CHUNK, F.lit(False).alias("_whole"), F.col(ts).alias("_ts"), *measures).unionByName(
         inner.select(*keys, CHUNK, F.lit(True).alias("_whole"), F.lit(None).cast("long").alias("_ts"), *measures)
     )
-    on = [*keys, CHUNK, "_whole"]
-    right = both.select(*[F.col(c).alias(f"_k_{c}") for c in on], "_ts", *measures)
-
-    first = time_chunk(lo, chunk_ms)
-    pieces = intervals.select(
+    first, last = time_chunk(lo, chunk_ms), time_chunk(hi, chunk_ms)
+    filled = intervals.where(F.col(lo) <= F.col(hi))
+    pieces = filled.select(
         *dict.fromkeys([*ids, *keys, *tags]),
         F.col(lo).alias("_lo"),
         F.col(hi).alias("_hi"),
-        F.explode(F.sequence(first, F.greatest(first, time_chunk(hi, chunk_ms)))).alias(CHUNK),
+        F.explode(F.sequence(first, last)).alias(CHUNK),
     ).withColumn(
         "_whole",
         (F.col(CHUNK) * chunk_ms >= F.col("_lo")) & ((F.col(CHUNK) + 1) * chunk_ms - 1 <= F.col("_hi")),
     )
-    met = F.col("_whole") | F.col("_ts").between(F.col("_lo"), F.col("_hi"))
-    for c in on:
-        met = met & (F.col(c) == F.col(f"_k_{c}"))
-    # A left join keeps ids whose intervals are empty, so nothing is joined back.
-    joined = pieces.join(right, met, "left")
+    if broadcast_pieces:
+        n = filled.agg(F.sum(last - first + 1)).first()[0] or 0
+        if n <= broadcast_pieces:
+            pieces = F.broadcast(pieces)
+    hit = F.col("_whole") | F.col("_ts").between(F.col("_lo"), F.col("_hi"))
+    met = both.join(pieces, [*keys, CHUNK, "_whole"]).where(hit).select(*ids, *tags, *measures)
+    # One empty row per id keeps those no series row meets, without a join back.
+    state_types = dict(both.dtypes)
+    blank = intervals.select(
+        *ids, *[F.lit(None).cast("string").alias(t) for t in tags], *[F.lit(None).cast(state_types[m]).alias(m) for m in measures]
+    )
+    every = met.unionByName(blank)
     if not wanted:
-        return joined.groupBy(*ids).agg(*merged)
-    return joined.groupBy(*ids).agg(
+        return every.groupBy(*ids).agg(*merged)
+    return every.groupBy(*ids).agg(
         *[
             MERGE[measures[out][0]](F.when(F.col("role") == role, F.col(out))).alias(f"{role}_{out}")
             for role, outs in wanted.items()

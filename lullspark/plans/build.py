@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from lullspark.operators import enrich, series, weather
 from lullspark.operators.events import find_events
 from lullspark.registry import THRESHOLDS
+from lullspark.session import materialise
 from lullspark.sources.tables import publish, scan
 
 DAY_MS = 86_400_000
+# About 100 bytes each, so a broadcast stays near 50 MB.
+BROADCAST_PIECES = 500_000
 WEATHER_KEY = [["date_ms", "resolution"]]
 EVENT_KEY = [["threshold_percent", "region", "resolution", "start_time", "end_time"]]
 
@@ -37,13 +40,17 @@ def enriched_thresholds(
     def picked(df: DataFrame) -> DataFrame:
         return df.where((F.col("region") == region) & (F.col("resolution") == resolution))
 
-    events = find_events(
+    found = find_events(
         series.time_of_interest(picked(share_rows), after_ms),
         value,
         thresholds,
         min_duration_ms,
     )
-    enriched = enrich.enrich_events(events, picked(market), weather_rows, margin_ms)
+    # The search runs once; load, price and weather statistics all read its result.
+    events = materialise(found)
+    enriched = enrich.enrich_events(
+        events, picked(market), weather_rows, margin_ms, broadcast_pieces=BROADCAST_PIECES
+    )
     return enriched.withColumn("threshold_percent", F.round(F.col("threshold") * 100).cast("int"))
 
 

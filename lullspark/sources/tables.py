@@ -14,6 +14,13 @@ def table_path(root: str, name: str) -> str:
     return posixpath.join(root, name)
 
 
+def _writer(df: DataFrame, partition_by: Sequence[str]):
+    """Rebalanced rows make even files: small partitions merge, hot ones are split."""
+    if not partition_by:
+        return df.write.mode("overwrite")
+    return df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
+
+
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(root, name))
 
@@ -31,20 +38,12 @@ def publish(
     The new rows are written and read back before the key is checked, so the check
     costs one narrow scan, not a second computation.
     """
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(table_path(root, name))
+    _writer(df, partition_by).parquet(table_path(root, name))
     return assert_unique(scan(df.sparkSession, root, name), candidates) if check_key else None
 
 
 def replace_partitions(df: DataFrame, root: str, name: str, partition_by: Sequence[str]) -> None:
     """Overwrite only the partitions ``df`` has rows for; the rest stay as they are."""
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(table_path(root, name))
-    )
+    _writer(df, partition_by).option("partitionOverwriteMode", "dynamic").parquet(table_path(root, name))
 
 
