@@ -78,15 +78,15 @@ def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _mirror(row.select(F.inline(cells)))
 
 
-def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per pair and complete observation."""
+def _value(name: str) -> Column:
+    """As double; NaN counts as missing."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
-    def value(name: str) -> Column:
-        v = F.col(name).cast("double")
-        return F.nanvl(v, F.lit(None).cast("double"))
 
+def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per pair and complete observation."""
     cells = [
-        F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), value(x).alias("x"), value(y).alias("y"))
+        F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), _value(x).alias("x"), _value(y).alias("y"))
         for x, y in pairs
     ]
     return df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -104,13 +104,28 @@ def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return upto.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("rank"))
 
 
-def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks over the complete rows of each pair.
+def _spearman_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns without missing values: each is ranked once and joined once."""
+    cells = [F.struct(F.lit(c).alias("name"), _value(c).alias("v")) for c in columns]
+    ranks = average_ranks(df.select(F.inline(F.array(*cells))), ["name"], "v")
+    wide = df.select(*[_value(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        own = ranks.where(F.col("name") == c).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        wide = wide.join(own, f"v{i}").drop(f"v{i}")
+    pairs = list(combinations(range(len(columns)), 2))
+    row = wide.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs])
+    cells = [
+        F.struct(
+            F.lit(columns[i]).alias("column_x"), F.lit(columns[j]).alias("column_y"), F.col(f"c{i}_{j}").alias("correlation")
+        )
+        for i, j in pairs
+    ]
+    return row.select(F.inline(F.array(*cells)))
 
-    Rows meet their ranks by an equi join on the value; a hot value is split by
-    adaptive skew-join handling.
-    """
-    rows = _pair_rows(df, list(combinations_with_replacement(columns, 2)))
+
+def _spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pairs with missing values: ranks count only the complete rows of the pair."""
+    rows = _pair_rows(df, pairs)
     sides = rows.select(*PAIR, F.inline(F.array(
         F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
         F.struct(F.lit("y").alias("side"), F.col("y").alias("v")),
@@ -119,7 +134,40 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rx = ranks.where(F.col("side") == "x").select(*PAIR, F.col("v").alias("x"), F.col("rank").alias("rx"))
     ry = ranks.where(F.col("side") == "y").select(*PAIR, F.col("v").alias("y"), F.col("rank").alias("ry"))
     ranked = rows.join(rx, [*PAIR, "x"]).join(ry, [*PAIR, "y"])
-    return _mirror(ranked.groupBy(*PAIR).agg(F.corr("rx", "ry").alias("correlation")))
+    return ranked.groupBy(*PAIR).agg(F.corr("rx", "ry").alias("correlation"))
+
+
+def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of average ranks over the complete rows of each pair.
+
+    Rows meet their ranks by equi joins on the value; a hot value is split by
+    adaptive skew-join handling. One count per column tells which columns have no
+    missing values and so have the same ranks in every pair.
+    """
+    columns = list(columns)
+    counts = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    ).first()
+    complete = [c for i, c in enumerate(columns) if counts[f"n{i}"] == counts["_rows"]]
+    rest = [pair for pair in combinations(columns, 2) if not set(pair) <= set(complete)]
+    spread = df.agg(*[(F.min(_value(c)) != F.max(_value(c))).alias(f"s{i}") for i, c in enumerate(columns)])
+    upper = spread.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column_x"), F.lit(c).alias("column_y"), F.when(F.col(f"s{i}"), 1.0).alias("correlation")
+                    )
+                    for i, c in enumerate(columns)
+                ]
+            )
+        )
+    )
+    if len(complete) > 1:
+        upper = upper.unionByName(_spearman_complete(df, complete))
+    if rest:
+        upper = upper.unionByName(_spearman_pairs(df, rest))
+    return _mirror(upper)
 
 
 def weighted_inversions(ranks: np.ndarray, weights: np.ndarray) -> int:

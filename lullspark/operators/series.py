@@ -194,6 +194,10 @@ def moving_average(
 
     Rows are numbered once, then cut into blocks of ``block_rows``; a block also
     gets the rows after it that its windows reach, so each is complete in one task.
+    A window is the end of one stretch of ``period`` rows and the beginning of the
+    next, so two running sums per stretch give every window in constant time, by
+    addition only.
+
     By default nulls are skipped and every full window counts. ``compat`` counts
     null as 0 and leaves out the last two full windows of a series.
     """
@@ -203,11 +207,13 @@ def moving_average(
     # Rows that must follow for a window to count.
     ahead = period + 1 if compat else period - 1
     numbered = row_index(with_time_chunk(df.select(*keys, ts, value), ts, chunk_ms), keys, [ts], "_row")
+    measured = F.coalesce(F.col(value), F.lit(0)) if compat else F.col(value)
+    parts = {"t": F.col(ts), "v": measured.cast("double"), "n": F.when(measured.isNotNull(), F.lit(1)).otherwise(F.lit(0))}
     slots = numbered.select(
         *keys,
-        ts,
-        value,
         "_row",
+        *[col.alias(f"_{name}") for name, col in parts.items()],
+        F.expr(f"(_row - 1) div {period}L").alias("_stretch"),
         F.expr(f"(_row - 1) div {block_rows}L").alias("_own"),
         F.explode(
             F.sequence(
@@ -216,16 +222,33 @@ def moving_average(
             )
         ).alias("_block"),
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy("_row")
-    run = inside.rowsBetween(0, period - 1)
-    measured = F.coalesce(F.col(value), F.lit(0)) if compat else F.col(value)
-    means = slots.select(
+    stretch = Window.partitionBy(*keys, "_block", "_stretch")
+    onward = stretch.orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = stretch.orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = slots.select(
         *keys,
         "_row",
-        F.floor(F.avg(ts).over(run) + F.lit(0.5)).cast("long").alias("mean_time"),
-        F.avg(measured.cast("double")).over(run).alias("mean_value"),
-        (F.col("_own") == F.col("_block")).alias("_mine"),
-        F.count(ts).over(inside.rowsBetween(0, ahead)).alias("_n"),
+        "_own",
+        "_block",
+        *[F.sum(f"_{name}").over(onward).alias(f"_tail_{name}") for name in parts],
+        *[F.sum(f"_{name}").over(so_far).alias(f"_head_{name}") for name in parts],
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy("_row")
+    aligned = F.expr(f"(_row - 1) % {period}L") == 0
+
+    def window_sum(name: str) -> Column:
+        tail, head = F.col(f"_tail_{name}"), F.lead(f"_head_{name}", period - 1).over(inside)
+        return F.when(aligned, tail).otherwise(
+            F.when(tail.isNull() & head.isNull(), None).otherwise(F.coalesce(tail, F.lit(0)) + F.coalesce(head, F.lit(0)))
+        )
+
+    windows = sums.select(
+        *keys,
+        *[window_sum(name).alias(name) for name in parts],
+        ((F.col("_own") == F.col("_block")) & F.lead("_row", ahead).over(inside).isNotNull()).alias("_full"),
+    )
+    return windows.where("_full").select(
+        *keys,
+        F.expr(f"(2 * t + {period} - pmod(2 * t + {period}, {2 * period}L)) div {2 * period}L").alias("mean_time"),
+        F.try_divide("v", "n").alias("mean_value"),
     )
-    full = means.where(F.col("_mine") & (F.col("_n") == ahead + 1))
-    return full.select(*keys, "mean_time", "mean_value")
