@@ -125,7 +125,7 @@ def attach_weather(
     """Weather of the same instant and resolution; only hour and day rows match.
 
     ``weather`` carries ``date_ms``. ``wall`` compares the series' wall clock with
-    it instead of the instant, as the web read path does.
+    it instead of the instant.
     """
     at = clock.to_wall_clock(F.col(TS), tz) if wall else F.col(TS)
     known = weather.where(F.col("resolution").isin("hour", "day")).withColumnRenamed("resolution", "_res")

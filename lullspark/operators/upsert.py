@@ -83,7 +83,7 @@ def replace_range(
     return outside_range(target, ts, lo, hi, extra).unionByName(delta)
 
 
-# First candidate whose columns all exist is the key of a derived table.
+# Fixed values. The first candidate whose columns all exist is the key of a table.
 KEY_CANDIDATES = [
     ["unix_timestamp_ms", "region", "resolution"],
     ["start_time", "end_time"],

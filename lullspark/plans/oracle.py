@@ -63,7 +63,7 @@ def grid(name: str = "g", resolution: str = "hour") -> str:
 
 
 def sparse(name: str = "sp", src: str = "g") -> str:
-    return f"""{name} AS (SELECT * EXCLUDE (price), CASE WHEN ts // {HOUR} % 5 <> 0 THEN price END AS price FROM {src})"""
+    return f"""{name} AS (SELECT * EXCLUDE (price), CASE WHEN residual * 3 <= total * 2 THEN price END AS price FROM {src})"""
 
 
 DAYS = f"""days AS (SELECT epoch_us(o_orderdate) // 1000 AS ts, r_name AS region, 'day' AS resolution,
@@ -129,7 +129,7 @@ def trend(window_days: int, keys: str) -> str:
 
 
 Q["events_in_trailing_window"] = with_(DAYS, search("days", DAY_SHARE, SEARCH, DAY)) + trend(30, "d.region, f.threshold")
-Q["trailing_event_trend_yearly"] = (
+Q["trailing_event_trend"] = (
     with_(DAYS, search("days", DAY_SHARE, [0.35], DAY))
     + f"SELECT * FROM ({trend(365, 'd.region')}) QUALIFY row_number() OVER (PARTITION BY region ORDER BY unix_timestamp_ms) > 365"
 )
@@ -443,7 +443,7 @@ Q["live_index"] = (
 )
 Q["live_documents"] = (
     with_(forecasts())
-    + f"SELECT timestamp_s, {half_even('x')} AS repi FROM (SELECT timestamp_s, {_LIVE} AS x FROM fp WHERE model = 'A' GROUP BY 1) WHERE x IS NOT NULL"
+    + f"SELECT timestamp_s, {half_even('x')} AS repi FROM (SELECT timestamp_s, {_LIVE} AS x FROM fp GROUP BY 1) WHERE x IS NOT NULL"
 )
 
 # --- derived series ---
@@ -451,9 +451,9 @@ KEYS = "ts AS unix_timestamp_ms, region, resolution"
 PRODUCED = "(pv + wind + hydro + bio + lignite)"
 SHARES = f"""sh AS (SELECT ts, region, resolution, {dec('pv + wind')} AS sum_of_photovoltaic_wind_onshore_offshore_computed,
     {WS_SHARE} AS {WS}, {RE_SHARE} AS {RE}, {dec(f'total - {PRODUCED}')} AS import_to_validate FROM g WHERE total <> 0)"""
-Q["share_series"] = with_(EV, grid(), SHARES) + "SELECT ts AS unix_timestamp_ms, * EXCLUDE (ts) FROM sh"
-Q["published_table"] = Q["share_series"]
-Q["total_production"] = (
+Q["shares"] = with_(EV, grid(), SHARES) + "SELECT ts AS unix_timestamp_ms, * EXCLUDE (ts) FROM sh"
+Q["published_table"] = Q["shares"]
+Q["net_import"] = (
     with_(EV, grid("g", "quarterhour"))
     + f"SELECT {KEYS}, {dec(PRODUCED)} AS total_production, {dec(f'total - {PRODUCED}')} AS net_import FROM g"
 )
@@ -537,7 +537,7 @@ Q["replace_range"] = (
 Q["outside_range"] = (
     with_(DAYS) + f"SELECT {KEYS}, {dec('price')} AS price FROM days WHERE NOT (ts >= {_LO}000 AND ts < {_HI}000)"
 )
-Q["key_violations"] = with_(EV, LONG) + f"SELECT {KEYS}, count(*) AS n FROM feed GROUP BY ts, region, resolution HAVING count(*) > 1"
+Q["assert_unique"] = with_(EV, LONG) + f"SELECT {KEYS}, count(*) AS n FROM feed GROUP BY ts, region, resolution HAVING count(*) > 1"
 Q["duplicate_instants"] = with_(EV, LONG) + "SELECT ts AS unix_timestamp_ms, count(*) AS n FROM feed GROUP BY 1 HAVING count(*) > 1"
 Q["value_profile"] = (
     with_(EV, LONG)
@@ -761,4 +761,11 @@ Q["weather_documents"] = (
     {dec('diffuse')} AS diffuse_radiation FROM wp"""
 )
 
+Q["forecast_documents"] = (
+    with_(forecasts())
+    + f"""SELECT timestamp_s, model, CAST(s_nationkey AS INTEGER) AS elevation, temporal_resolution, {dec('wind_speed_80m')} AS wind_speed_80m,
+    {dec('wind_speed_180m_previous_day3')} AS wind_speed_180m_previous_day3,
+    {dec('direct_radiation_previous_day1')} AS direct_radiation_previous_day1, CAST(NULL AS DOUBLE) AS wind_direction_80m FROM fp"""
+)
+
 ORACLE = Q

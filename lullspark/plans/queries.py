@@ -33,7 +33,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removeprefix("q_")] = fn
     return fn
 
 
@@ -60,9 +60,9 @@ def hour_shares(spark: SparkSession, sf: str, resolution: str = "hour") -> DataF
 
 
 def sparse_price(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly grid whose price is missing every fifth hour."""
-    absent = F.expr(f"unix_timestamp_ms div {HOUR} % 5 = 0")
-    return P.market_grid(spark, sf).withColumn("market_price_ger_lux", F.when(~absent, F.col("market_price_ger_lux")))
+    """Hourly grid whose price is missing where residual load is over two thirds."""
+    known = F.col("power_consumption_residual_load") * 3 <= F.col("power_consumption_total") * 2
+    return P.market_grid(spark, sf).withColumn("market_price_ger_lux", F.when(known, F.col("market_price_ger_lux")))
 
 
 def quarter_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +142,7 @@ def events_in_trailing_window(spark, sf):
 
 
 @query
-def trailing_event_trend_yearly(spark, sf):
+def q_trailing_event_trend(spark, sf):
     days = P.daily_by_region(spark, sf)
     return trailing_event_trend(days, find_events(days, "share", 0.35, DAY), ["region"])
 
@@ -251,12 +251,12 @@ def event_feature_matrix(spark, sf):
 
 
 @query
-def share_series(spark, sf):
+def q_shares(spark, sf):
     return plain(series.share_series(P.market_grid(spark, sf)))
 
 
 @query
-def total_production(spark, sf):
+def net_import(spark, sf):
     grid = P.market_grid(spark, sf, "quarterhour")
     return plain(grid.select(*KEYS, shares.total_production().alias("total_production"), shares.net_import().alias("net_import")))
 
@@ -353,7 +353,7 @@ def outside_range(spark, sf):
 
 
 @query
-def key_violations(spark, sf):
+def assert_unique(spark, sf):
     feed = P.long_feed(spark, sf)
     return upsert.key_violations(feed)
 
@@ -772,11 +772,11 @@ def weather_documents(spark, sf):
 
 @query
 def live_documents(spark, sf):
-    points = P.forecast_points(spark, sf).where(F.col("model") == "A")
+    points = P.forecast_points(spark, sf)
     names = weather_docs.LIVE_VARIABLES
     docs = (
         points.withColumn("time", F.col("timestamp_s"))
-        .groupBy("s_nationkey", "lat", "lng", F.expr("timestamp_s div 31536000").alias("_year"))
+        .groupBy("s_nationkey", "model", "lat", "lng", F.expr("timestamp_s div 31536000").alias("_year"))
         .agg(_arrays("time", names))
         .select(
             F.col("lat").alias("latitude"), F.col("lng").alias("longitude"),
@@ -788,3 +788,24 @@ def live_documents(spark, sf):
     landed = weather_docs.read_live_forecast(spark, path, lines=True)
     typed = landed.withColumns({v: F.col(v).cast("decimal(11,2)") for v in names})
     return plain(weather.live_index(typed).where("repi is not null"))
+
+
+@query
+def forecast_documents(spark, sf):
+    """One document per point, model and instant, landed with all 44 variables."""
+    points = P.forecast_points(spark, sf)
+    known = set(points.columns)
+    names = weather_docs.FORECAST_VARIABLES
+    values = [F.array(F.col(v).cast("double") if v in known else F.lit(None).cast("double")).alias(v) for v in names]
+    docs = points.select(
+        F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), F.col("s_nationkey").cast("double").alias("elevation"),
+        "model",
+        F.struct(
+            F.col("timestamp_s").alias("start"), (F.col("timestamp_s") + 3600).alias("end"), F.lit(3600).alias("interval"), *values
+        ).alias("hourly"),
+    )
+    path = _landing(spark, "forecast")
+    docs.write.json(path)
+    rows = weather_docs.read_weather_forecast(spark, path, lines=True)
+    picked = ["wind_speed_80m", "wind_speed_180m_previous_day3", "direct_radiation_previous_day1", "wind_direction_80m"]
+    return plain(rows.select("timestamp_s", "model", F.col("elevation").cast("int"), "temporal_resolution", *picked), 2)

@@ -27,7 +27,7 @@ def brute_tau(x, y):
     return s / math.sqrt(nx * ny)
 
 
-def test_reference_example(spark):
+def test_seven_point_example(spark):
     df = spark.createDataFrame(list(zip(range(1, 8), [2, 1, 7, 6, 5, 4, 3])), "x int, y int")
     assert matrix(C.correlate(df, ["x", "y"], "spearman"))["x", "y"] == pytest.approx(0.25)
     tau = matrix(C.correlate(df, ["x", "y"], "kendall"))
