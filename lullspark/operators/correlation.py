@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations, combinations_with_replacement
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lullspark.operators.chunks import row_index, range_chunks, running_sum
 from lullspark.registry import KEYS
+from lullspark.session import materialise
 
 PAIR = ["column_x", "column_y"]
 BLOCK_ROWS = 1 << 20
@@ -55,41 +56,68 @@ def forecast_input(market: DataFrame, forecast: DataFrame, share_rows: DataFrame
     )
 
 
-def _mirror(upper: DataFrame) -> DataFrame:
-    """Both orders of every pair; the diagonal once."""
-    x, y, r = F.col("column_x"), F.col("column_y"), F.col("correlation")
+def _value(name: str) -> Column:
+    """As double; NaN counts as missing."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+
+
+def _packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(F.array(*[_value(c) for c in columns]).alias("v"))
+
+
+def _pair_rows(packed: DataFrame, width: int, diagonal: bool = False) -> DataFrame:
+    """One row per column pair and complete observation; columns by position.
+
+    Two explodes of one array keep the plan small however many pairs there are.
+    """
+    gap = 0 if diagonal else 1
+    left = packed.select("v", F.posexplode("v").alias("column_x", "x")).where(F.col("x").isNotNull())
+    rest = F.slice("v", F.col("column_x") + gap + 1, F.lit(width))
+    both = left.select("column_x", "x", F.posexplode(rest).alias("_p", "y")).where(F.col("y").isNotNull())
+    return both.select("column_x", (F.col("column_x") + F.col("_p") + gap).alias("column_y"), "x", "y")
+
+
+def _mirror(upper: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Named, in both orders of every pair; the diagonal once."""
+    names = F.array(*[F.lit(c) for c in columns])
+    x, y = (F.get(names, F.col(c)) for c in PAIR)
+    r = F.col("correlation")
     both = F.array(
         F.struct(x.alias("column_x"), y.alias("column_y"), r.alias("correlation")),
         F.struct(y.alias("column_x"), x.alias("column_y"), r.alias("correlation")),
     )
-    return upper.select(F.inline(F.when(x == y, F.slice(both, 1, 1)).otherwise(both)))
+    same = F.col("column_x") == F.col("column_y")
+    return upper.select(F.inline(F.when(same, F.slice(both, 1, 1)).otherwise(both)))
 
 
-def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column_x, column_y, correlation``, every ordered pair, from one aggregate."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    row = df.agg(*[F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"r{i}") for i, (x, y) in enumerate(pairs)])
-    cells = F.array(
-        *[
-            F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), F.col(f"r{i}").alias("correlation"))
-            for i, (x, y) in enumerate(pairs)
-        ]
+def _per_column(df: DataFrame, cells: Sequence[Column]) -> DataFrame:
+    """One aggregate row as diagonal rows of the matrix."""
+    row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    return row.select(F.posexplode(F.array(*[f"c{i}" for i in range(len(cells))])).alias("column_x", "correlation")).select(
+        "column_x", F.col("column_x").alias("column_y"), "correlation"
     )
-    return _mirror(row.select(F.inline(cells)))
 
 
-def _value(name: str) -> Column:
-    """As double; NaN counts as missing."""
-    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+# With more pairs than this, one aggregate per pair makes plans slow to compile.
+WIDE_PAIRS = 45
 
 
-def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per pair and complete observation."""
+def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_x, column_y, correlation``, every ordered pair, in one pass.
+
+    Partial aggregates combine before the shuffle, so only a few rows per task move.
+    """
+    columns = list(columns)
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    if len(pairs) > WIDE_PAIRS:
+        rows = _pair_rows(_packed(df, columns), len(columns), diagonal=True)
+        return _mirror(rows.groupBy(*PAIR).agg(F.corr("x", "y").alias("correlation")), columns)
+    row = df.agg(*[F.corr(_value(columns[i]), _value(columns[j])).alias(f"c{i}_{j}") for i, j in pairs])
     cells = [
-        F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), _value(x).alias("x"), _value(y).alias("y"))
-        for x, y in pairs
+        F.struct(F.lit(i).alias("column_x"), F.lit(j).alias("column_y"), F.col(f"c{i}_{j}").alias("correlation"))
+        for i, j in pairs
     ]
-    return df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return _mirror(row.select(F.inline(F.array(*cells))), columns)
 
 
 def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -104,28 +132,27 @@ def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return upto.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("rank"))
 
 
-def _spearman_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns without missing values: each is ranked once and joined once."""
-    cells = [F.struct(F.lit(c).alias("name"), _value(c).alias("v")) for c in columns]
-    ranks = average_ranks(df.select(F.inline(F.array(*cells))), ["name"], "v")
-    wide = df.select(*[_value(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    for i, c in enumerate(columns):
-        own = ranks.where(F.col("name") == c).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-        wide = wide.join(own, f"v{i}").drop(f"v{i}")
-    pairs = list(combinations(range(len(columns)), 2))
-    row = wide.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs])
-    cells = [
-        F.struct(
-            F.lit(columns[i]).alias("column_x"), F.lit(columns[j]).alias("column_y"), F.col(f"c{i}_{j}").alias("correlation")
-        )
-        for i, j in pairs
-    ]
-    return row.select(F.inline(F.array(*cells)))
+def _spearman_complete(df: DataFrame, columns: Sequence[str], places: Sequence[int]) -> DataFrame:
+    """Columns without missing values: every value meets its rank in one join.
+
+    Rows get a number and are checkpointed, so the ranks of a row find back together.
+    """
+    ids = materialise(_packed(df, columns).withColumn("_row", F.monotonically_increasing_id()))
+    long = ids.select("_row", F.posexplode("v").alias("_at", "x"))
+    ranks = average_ranks(long, ["_at"], "x")
+    one = F.struct("_at", "rank")
+    ranked = (
+        long.join(ranks, ["_at", "x"])
+        .groupBy("_row")
+        .agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: s["rank"]).alias("v"))
+    )
+    upper = _pair_rows(ranked, len(columns)).groupBy(*PAIR).agg(F.corr("x", "y").alias("correlation"))
+    place = F.array(*[F.lit(i) for i in places])
+    return upper.select(*[F.get(place, F.col(c)).alias(c) for c in PAIR], "correlation")
 
 
-def _spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _spearman_pairs(rows: DataFrame) -> DataFrame:
     """Pairs with missing values: ranks count only the complete rows of the pair."""
-    rows = _pair_rows(df, pairs)
     sides = rows.select(*PAIR, F.inline(F.array(
         F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
         F.struct(F.lit("y").alias("side"), F.col("y").alias("v")),
@@ -148,26 +175,15 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]
     ).first()
-    complete = [c for i, c in enumerate(columns) if counts[f"n{i}"] == counts["_rows"]]
-    rest = [pair for pair in combinations(columns, 2) if not set(pair) <= set(complete)]
-    spread = df.agg(*[(F.min(_value(c)) != F.max(_value(c))).alias(f"s{i}") for i, c in enumerate(columns)])
-    upper = spread.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_x"), F.lit(c).alias("column_y"), F.when(F.col(f"s{i}"), 1.0).alias("correlation")
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
-    )
+    complete = [i for i in range(len(columns)) if counts[f"n{i}"] == counts["_rows"]]
+    upper = _per_column(df, [F.when(F.min(_value(c)) != F.max(_value(c)), 1.0) for c in columns])
     if len(complete) > 1:
-        upper = upper.unionByName(_spearman_complete(df, complete))
-    if rest:
-        upper = upper.unionByName(_spearman_pairs(df, rest))
-    return _mirror(upper)
+        upper = upper.unionByName(_spearman_complete(df, [columns[i] for i in complete], complete))
+    if len(complete) < len(columns):
+        rows = _pair_rows(_packed(df, columns), len(columns))
+        gaps = ~(F.col("column_x").isin(complete) & F.col("column_y").isin(complete))
+        upper = upper.unionByName(_spearman_pairs(rows.where(gaps) if complete else rows))
+    return _mirror(upper, columns)
 
 
 def weighted_inversions(ranks: np.ndarray, weights: np.ndarray) -> int:
@@ -207,7 +223,7 @@ def _block_inversions(rows: DataFrame, block: str, order: list[str]) -> DataFram
         found = weighted_inversions(pdf["yp"].to_numpy(), pdf["w"].to_numpy())
         return pd.DataFrame({"column_x": [pdf["column_x"].iloc[0]], "column_y": [pdf["column_y"].iloc[0]], "d": [str(found)]})
 
-    schema = "column_x string, column_y string, d string"
+    schema = "column_x int, column_y int, d string"
     needed = list(dict.fromkeys([*PAIR, block, *order, "yp", "w"]))
     return rows.select(*needed).groupBy(*PAIR, block).applyInPandas(count, schema)
 
@@ -251,14 +267,12 @@ def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_
     inside an x block or a y block are counted block by block, the rest from the
     block totals.
     """
-    pairs = list(combinations(columns, 2))
-    whole = df.agg(*[F.count(c).alias(c) for c in columns]).select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column_x"), F.lit(c).alias("column_y"), F.col(c).alias("_n")) for c in columns]))
-    )
-    diagonal = whole.select(*PAIR, F.when(F.col("_n") > 0, F.lit(1.0)).alias("correlation"))
-    if not pairs:
-        return diagonal
-    weighted = _pair_rows(df, pairs).groupBy(*PAIR, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    columns = list(columns)
+    diagonal = _per_column(df, [F.when(F.count(_value(c)) > 0, 1.0) for c in columns])
+    if len(columns) == 1:
+        return _mirror(diagonal, columns)
+    rows = _pair_rows(_packed(df, columns), len(columns))
+    weighted = rows.groupBy(*PAIR, "x", "y").agg(F.count(F.lit(1)).alias("w"))
     by_x = row_index(range_chunks(weighted, [*PAIR, "x", "y"]), PAIR, ["x", "y"], "xp").drop("_chunk")
     by_y = row_index(range_chunks(by_x, [*PAIR, "y", "xp"]), PAIR, ["y", "xp"], "yp")
     placed = by_y.withColumns(
@@ -279,7 +293,7 @@ def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_
     score = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("d")
     scale = F.sqrt(F.col("n0") - F.col("n1")) * F.sqrt(F.col("n0") - F.col("n2"))
     upper = counts.select(*PAIR, F.try_divide(score, scale).alias("correlation"))
-    return _mirror(upper.unionByName(diagonal))
+    return _mirror(upper.unionByName(diagonal), columns)
 
 
 def correlate(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
