@@ -215,17 +215,27 @@ def weighted_inversions(ranks: np.ndarray, weights: np.ndarray) -> int:
     return total
 
 
-def _block_inversions(rows: DataFrame, block: str, order: list[str]) -> DataFrame:
-    """Discordant weight inside each block, which holds a bounded number of rows."""
+def _block_inversions(rows: DataFrame) -> DataFrame:
+    """Discordant weight inside x blocks and, between x blocks, inside y blocks.
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        found = weighted_inversions(pdf["yp"].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame({"column_x": [pdf["column_x"].iloc[0]], "column_y": [pdf["column_y"].iloc[0]], "d": [str(found)]})
+    A block holds a bounded number of rows. In a y block, rows of one x block stand
+    in y order, so only rows of different x blocks can be inverted.
+    """
+    blocks = F.array(
+        F.struct(F.lit("x").alias("axis"), F.col("xb").alias("block"), F.col("xp").alias("first"), F.lit(0).cast("long").alias("second")),
+        F.struct(F.lit("y").alias("axis"), F.col("yb").alias("block"), F.col("xb").alias("first"), F.col("yp").alias("second")),
+    )
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = pdf["first"].to_numpy(), pdf["second"].to_numpy()
+        found = 0
+        if first.min() != first.max():
+            order = np.lexsort((second, first))
+            found = weighted_inversions(pdf["yp"].to_numpy()[order], pdf["w"].to_numpy()[order])
+        return pd.DataFrame({"column_x": [key[0]], "column_y": [key[1]], "d": [str(found)]})
 
-    schema = "column_x int, column_y int, d string"
-    needed = list(dict.fromkeys([*PAIR, block, *order, "yp", "w"]))
-    return rows.select(*needed).groupBy(*PAIR, block).applyInPandas(count, schema)
+    spread = rows.select(*PAIR, "yp", "w", F.inline(blocks))
+    return spread.groupBy(*PAIR, "axis", "block").applyInPandas(count, "column_x int, column_y int, d string")
 
 
 def _grid_inversions(rows: DataFrame) -> DataFrame:
@@ -251,11 +261,21 @@ def _grid_inversions(rows: DataFrame) -> DataFrame:
 
 def _tie_pairs(weighted: DataFrame) -> DataFrame:
     """Pairs of rows in all (n0), equal in x (n1), in y (n2) and in both (n3)."""
-    names = F.create_map(F.lit(3), F.lit("n0"), F.lit(1), F.lit("n1"), F.lit(2), F.lit("n2"), F.lit(0), F.lit("n3"))
-    sizes = weighted.groupingSets([[*PAIR], [*PAIR, "x"], [*PAIR, "y"], [*PAIR, "x", "y"]], *PAIR, "x", "y").agg(
-        F.sum("w").cast("double").alias("_w"), F.grouping_id().alias("_g")
+
+    def pairs(n: str) -> Column:
+        return F.col(n).cast("double") * (F.col(n).cast("double") - 1) / 2
+
+    one_axis = (
+        weighted.groupingSets([[*PAIR, "x"], [*PAIR, "y"]], *PAIR, "x", "y")
+        .agg(F.sum("w").alias("_w"), F.grouping("y").alias("_by_x"))
+        .select(*PAIR, F.when(F.col("_by_x") == 1, "n1").otherwise("n2").alias("part"), pairs("_w").alias("v"))
+    )
+    whole = weighted.groupBy(*PAIR).agg(F.sum("w").alias("_w"), F.sum(pairs("w")).alias("_both"))
+    rest = F.array(
+        F.struct(F.lit("n0").alias("part"), pairs("_w").alias("v")),
+        F.struct(F.lit("n3").alias("part"), F.col("_both").alias("v")),
     )
-    return sizes.select(*PAIR, names[F.col("_g").cast("int")].alias("part"), (F.col("_w") * (F.col("_w") - 1) / 2).alias("v"))
+    return one_axis.unionByName(whole.select(*PAIR, F.inline(rest)))
 
 
 def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -279,13 +299,12 @@ def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_
         {"xb": F.expr(f"(xp - 1) div {block_rows}L"), "yb": F.expr(f"(yp - 1) div {block_rows}L")}
     )
     discordant = (
-        _block_inversions(placed, "xb", ["xp"])
-        .unionByName(_block_inversions(placed, "yb", ["xb", "yp"]))
+        _block_inversions(placed)
         .unionByName(_grid_inversions(placed))
         .select(*PAIR, F.lit("d").alias("part"), F.col("d").cast("double").alias("v"))
     )
     counts = (
-        _tie_pairs(placed)
+        _tie_pairs(by_y.select(*PAIR, "x", "y", "w"))
         .unionByName(discordant)
         .groupBy(*PAIR)
         .agg(*[F.sum(F.when(F.col("part") == part, F.col("v"))).alias(part) for part in ("n0", "n1", "n2", "n3", "d")])
