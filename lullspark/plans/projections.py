@@ -143,6 +143,11 @@ SHIPPED = "unix_micros(cast(l_shipdate as timestamp)) div 1000 + (l_linenumber -
 IN_JANUARY = f"{JAN_2024_MS}L + l_orderkey % 720 * 3600000L"
 
 
+def sensor(n: Column) -> Column:
+    """Readings fit eight digits, which keeps their sums in machine integers."""
+    return hundredths(n, "decimal(8,2)")
+
+
 def weather_points(spark: SparkSession, sf_dir: str, instant: str = SHIPPED) -> DataFrame:
     """``lineitem`` as weather of one grid point per supplier nation."""
     rows = _supplied(spark, sf_dir)
@@ -150,12 +155,12 @@ def weather_points(spark: SparkSession, sf_dir: str, instant: str = SHIPPED) ->
         "date_ms",
         "s_nationkey",
         *_place(),
-        hundredths(half_up("q * 100", "4 * n")).alias("wind_speed_100m"),
-        hundredths(half_up("q * 100", "6 * n")).alias("wind_speed_10m"),
+        sensor(half_up("q * 100", "4 * n")).alias("wind_speed_100m"),
+        sensor(half_up("q * 100", "6 * n")).alias("wind_speed_10m"),
         F.expr("part * 37 % 361").cast("double").alias("wind_direction_100m"),
-        hundredths(half_up("p", "200 * n")).alias("direct_radiation"),
-        hundredths(half_up("d * 1000", "n")).alias("diffuse_radiation"),
-        hundredths(half_up("t * 100", "n")).alias("temperature_2m"),
+        sensor(half_up("p", "200 * n")).alias("direct_radiation"),
+        sensor(half_up("d * 1000", "n")).alias("diffuse_radiation"),
+        sensor(half_up("t * 100", "n")).alias("temperature_2m"),
     )
 
 
@@ -177,7 +182,7 @@ def forecast_points(spark: SparkSession, sf_dir: str, seconds: str = f"({SHIPPED
         "direct_radiation": "direct", "diffuse_radiation": "diffuse", "temperature_2m": "temp",
     }
     leads = [
-        hundredths(half_up(f"{src} * (100 + {k})", "100")).alias(f"{name}_previous_day{k}" if k else name)
+        sensor(half_up(f"{src} * (100 + {k})", "100")).alias(f"{name}_previous_day{k}" if k else name)
         for name, src in names.items()
         for k in range(4)
     ]
