@@ -224,17 +224,18 @@ SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The rows of ``docs (doc_id, text_hash, text)`` with ``lang_pred, score, spans`` for the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**shared.value)
         for batch in batches:
             texts, first, size = [], 0, 0
             for i, text in enumerate(batch.column("text")):
                 texts.append(text.as_py())
                 size += len(texts[-1])
                 if size >= CHUNK_CHARS or i + 1 == batch.num_rows:
-                    done = label_texts(texts, shared.value, penalty)
+                    done = label_texts(texts, model, penalty)
                     spans = [[{"start": a, "end": b, "lang": c} for a, b, c in d[2]] for d in done]
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullspark.llm import decontaminate, exact_dedup, language_id, mixing, secrets_scan, sharding, simhash, warc
+from lullspark.llm import decontaminate, exact_dedup, katz, language_id, mixing, secrets_scan, sharding, simhash, warc
 from lullspark.llm.common import table
 from lullspark.llm.url_filter import host_of, judge_urls
 
@@ -49,6 +49,11 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")

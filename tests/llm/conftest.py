@@ -1,0 +1,7 @@
+import duckdb
+import pytest
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return duckdb.connect()
