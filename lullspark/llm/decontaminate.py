@@ -246,6 +246,7 @@ def phrase_hits(index: DataFrame, items: DataFrame, length: int = WINDOW, batch_
     def join(done, span):
         last = F.element_at(done, -1)
         wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        wider = wider.cast("struct<start:int,end:int>")
         rest = F.slice(done, 1, F.size(done) - 1)
         touches = (F.size(done) > 0) & (span["start"] <= F.try_element_at(done, F.lit(-1))["end"])
         return F.when(touches, F.concat(rest, F.array(wider))).otherwise(F.concat(done, F.array(span)))

@@ -29,7 +29,7 @@ SCANNED = {"assign": PATTERNS[0][1], "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-IDENTIFIER = r"[A-Za-z][A-Za-z0-9_]{5,}"
+IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{5,}"
 SPAN = "array<struct<start:int,end:int,text:string>>"
 SAMPLE_DOCS = 4000
 SMOOTHING = 0.5
