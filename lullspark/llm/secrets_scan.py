@@ -84,22 +84,21 @@ def train_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]
     """Log-likelihood ratio of each ordered pair of ``ALPHABET``, random over ordinary.
 
     The patterns label the samples: values that they find are random strings, words
-    beside them ordinary identifiers. Counts come from at most ``sample_docs`` texts of
-    each kind, those with the smallest hash of id and text; with none, a model is
-    uniform. The driver gets one row per pair of characters seen.
+    beside them ordinary identifiers. Counts come from about ``sample_docs`` texts of
+    each kind, those whose id and text hash low enough for that number; with none, a
+    model is uniform. The driver gets one row per pair of characters seen.
     """
-    text = row_text()
-    order = F.xxhash64("doc_id", "text")
-    sampled = docs.select("doc_id", text.alias("text"))
-    hits = F.lit(False)
+    hit = F.lit(False)
     for quick in QUICK.values():
-        hits |= F.col("text").rlike(quick)
-    secret = sampled.where(hits).orderBy(order).limit(sample_docs)
-    plain = sampled.where(~hits).orderBy(order).limit(sample_docs)
-    values = F.concat(*[base_spans(F.col("text"), k) for k in QUICK])
-    strings = secret.select(F.lit(True).alias("label"), F.explode(F.transform(values, lambda s: s["text"])).alias("s"))
+        hit |= F.col("text").rlike(quick)
+    rows = docs.select("doc_id", row_text().alias("text")).withColumn("label", hit)
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = {k: min(1.0, sample_docs / sizes.get(k, 1)) for k in (True, False)}
+    chosen = rows.where(luck < F.when(F.col("label"), share[True]).otherwise(share[False]))
+    values = F.transform(F.concat(*[base_spans(F.col("text"), k) for k in QUICK]), lambda s: s["text"])
     words = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
-    both = strings.unionByName(plain.select(F.lit(False).alias("label"), F.explode(words).alias("s")))
+    both = chosen.select("label", F.explode(F.when(F.col("label"), values).otherwise(words)).alias("s"))
     counts = {(r["label"], r["pair"]): r["n"] for r in _pair_counts(both.distinct()).collect()}
     return pair_ratios(counts)
 
