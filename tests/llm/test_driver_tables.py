@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
@@ -13,7 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_equals_sql(spark, duck, name):
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
     for table in ("documents", "pages", "benchmark"):
         duck.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     df = entry_point.queries()[name](spark, SF_DIR)
@@ -41,7 +43,7 @@ def test_pipeline_runs_its_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns == [*docs.columns, "shard"]
-    assert set(entry_point.queries()) >= {f"op{n}" for n in ()} | {"pipeline"}
+    assert "pipeline" in entry_point.queries()
     texts = dict(docs.select("doc_id", "text").collect())
     rows = out.collect()
     assert 0 < len(rows) and all(texts[r["doc_id"]] == r["text"] for r in rows)
