@@ -41,7 +41,7 @@ def display_label(column_name: Column, lower_words: tuple[str, ...] = ()) -> Col
     keep = F.lit(list(lower_words)) if lower_words else None
 
     def word(w: Column) -> Column:
-        capital = F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))
+        capital = F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
         return F.when(F.array_contains(keep, w), w).otherwise(capital) if keep is not None else capital
 
     return F.array_join(F.transform(F.split(column_name, "_"), word), " ")

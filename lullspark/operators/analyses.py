@@ -124,19 +124,15 @@ def series_coverage(market: DataFrame, price: str = "market_price_ger_lux", tz:
 
 
 def earliest_k(df: DataFrame, k: int, keys: Sequence[str], ts: str = TS) -> DataFrame:
-    """First ``k`` rows per series.
+    """First ``k`` rows per series; rows of one instant follow their other columns.
 
-    Numbered twice: within salted slices of a series, which leaves ``k`` rows per
-    slice, then within the series over those survivors only.
+    The limit on the row number is also applied before the shuffle, so each task
+    sends at most ``k`` rows of a series.
     """
     keys = list(keys)
-    slices = 64
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(ts), F.lit(slices)))
-    near = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(ts))).where(
-        F.col("_r") <= k
-    )
-    final = near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)))
-    return final.where(F.col("_r") <= k).drop("_r", "_salt")
+    order = [ts, *[c for c in df.columns if c not in (ts, *keys)]]
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("_r") <= k).drop("_r")
 
 
 def duplicate_instants(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -163,9 +159,16 @@ def availability_matrix(
 
 
 def _fraction_digits(value: Column) -> Column:
-    """Digits after the point of the plain decimal notation, trailing zeros cut."""
-    text = value.cast("decimal(38,10)").cast("string")
-    return F.length(F.regexp_replace(F.substring_index(text, ".", -1), "0+$", ""))
+    """Digits after the point of the plain decimal notation, trailing zeros cut.
+
+    An exponent moves the point, so digits are counted at any size of the value.
+    """
+    text = value.cast("string")
+    mantissa = F.substring_index(text, "E", 1)
+    exponent = F.coalesce(F.try_to_number(F.regexp_extract(text, r"E-?(\d+)$", 1), F.lit("999")), F.lit(0)).cast("int")
+    moved = F.when(text.contains("E-"), exponent).otherwise(-exponent)
+    digits = F.length(F.regexp_extract(mantissa, r"\.(\d*?)0*$", 1))
+    return F.when(value == 0, F.lit(0)).when(value.isNotNull(), F.greatest(digits + moved, F.lit(0)))
 
 
 def value_profile(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -77,8 +76,15 @@ def _pair_rows(packed: DataFrame, width: int, diagonal: bool = False) -> DataFra
     return both.select("column_x", (F.col("column_x") + F.col("_p") + gap).alias("column_y"), "x", "y")
 
 
-def _mirror(upper: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Named, in both orders of every pair; the diagonal once."""
+def _mirror(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Named, in both orders of every pair; the diagonal once.
+
+    Every pair of columns has its cells: null where no row has both values.
+    """
+    n = len(columns)
+    x_of, y_of = F.expr(f"cast(id div {n} as int)"), (F.col("id") % n).cast("int")
+    every = found.sparkSession.range(n * n).select(x_of.alias("column_x"), y_of.alias("column_y"))
+    upper = every.where("column_x <= column_y").join(found, PAIR, "left")
     names = F.array(*[F.lit(c) for c in columns])
     x, y = (F.get(names, F.col(c)) for c in PAIR)
     r = F.col("correlation")
@@ -98,26 +104,15 @@ def _per_column(df: DataFrame, cells: Sequence[Column]) -> DataFrame:
     )
 
 
-# With more pairs than this, one aggregate per pair makes plans slow to compile.
-WIDE_PAIRS = 45
-
-
 def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_x, column_y, correlation``, every ordered pair, in one pass.
 
-    Partial aggregates combine before the shuffle, so only a few rows per task move.
+    Partial aggregates combine before the shuffle, so only a few rows per task move; the
+    plan is the same for any number of columns.
     """
     columns = list(columns)
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    if len(pairs) > WIDE_PAIRS:
-        rows = _pair_rows(_packed(df, columns), len(columns), diagonal=True)
-        return _mirror(rows.groupBy(*PAIR).agg(F.corr("x", "y").alias("correlation")), columns)
-    row = df.agg(*[F.corr(_value(columns[i]), _value(columns[j])).alias(f"c{i}_{j}") for i, j in pairs])
-    cells = [
-        F.struct(F.lit(i).alias("column_x"), F.lit(j).alias("column_y"), F.col(f"c{i}_{j}").alias("correlation"))
-        for i, j in pairs
-    ]
-    return _mirror(row.select(F.inline(F.array(*cells))), columns)
+    rows = _pair_rows(_packed(df, columns), len(columns), diagonal=True)
+    return _mirror(rows.groupBy(*PAIR).agg(F.corr("x", "y").alias("correlation")), columns)
 
 
 def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -35,6 +35,32 @@ def share_series(market: DataFrame, lenient: bool = False) -> DataFrame:
 
 
 def previous_value(
+    df: DataFrame, value: str, keys: Sequence[str] = SERIES, ts: str = TS, chunk_ms: int = CHUNK_MS
+) -> DataFrame:
+    """Adds ``last_time`` and ``last_value`` of the row before, however far back it is.
+
+    Rows look back within their chunk; the first of a chunk gets the last row of the
+    chunk before it that has any, from a table of one row per chunk. Keys must not be null.
+    """
+    by_chunk = [*keys, CHUNK]
+    rows = with_time_chunk(df, ts, chunk_ms)
+    last = rows.groupBy(*by_chunk).agg(F.max(ts).alias("_t"), F.max_by(value, ts).alias("_v"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK)
+    carried = last.select(
+        *by_chunk, F.lag("_t").over(earlier).alias("_time"), F.lag("_v").over(earlier).alias("_value")
+    )
+    inside = Window.partitionBy(*by_chunk).orderBy(ts)
+    near = rows.withColumns(
+        {"_first": F.row_number().over(inside) == 1, "_lt": F.lag(ts).over(inside), "_lv": F.lag(value).over(inside)}
+    )
+    return near.join(carried, by_chunk).select(
+        *df.columns,
+        F.when(F.col("_first"), F.col("_time")).otherwise(F.col("_lt")).alias("last_time"),
+        F.when(F.col("_first"), F.col("_value")).otherwise(F.col("_lv")).alias("last_value"),
+    )
+
+
+def previous_within(
     df: DataFrame,
     value: str,
     reach_ms: Column,
@@ -47,10 +73,12 @@ def previous_value(
     A row is copied into the next chunk when the border is within reach, so one
     shuffle by ``(keys, chunk)`` is enough. Rows further back are not seen: the
     result is exact wherever the distance to the row before is at most the reach,
-    and null where it is more. ``reach_ms`` must not exceed ``chunk_ms``.
+    and null where it is more. A reach above ``chunk_ms`` is an error.
     """
     keys = list(keys)
-    rows = with_time_chunk(df, ts, chunk_ms).withColumn("_reach", reach_ms)
+    too_far = F.raise_error(F.lit("the reach exceeds the chunk")).cast("long")
+    reach = F.when(reach_ms <= F.lit(chunk_ms), reach_ms).when(reach_ms.isNotNull(), too_far)
+    rows = with_time_chunk(df, ts, chunk_ms).withColumn("_reach", reach)
     border = (F.col(CHUNK) + 1) * F.lit(chunk_ms)
     homes = F.when(
         F.col(ts) + F.col("_reach") >= border, F.array(F.col(CHUNK), F.col(CHUNK) + 1)
@@ -83,7 +111,7 @@ def price_change(
     """
     step = clock.step_of(F.col("resolution"))
     stepped = market.where(F.col("resolution").isin(list(STEP_MS))).select(*KEYS, price)
-    paired = previous_value(stepped, price, step, chunk_ms=chunk_ms)
+    paired = previous_within(stepped, price, step, chunk_ms=chunk_ms)
     current, last = F.col(price), F.col("last_value")
     return paired.where(
         current.isNotNull() & last.isNotNull() & (last != 0) & (F.col(TS) - F.col("last_time") == step)

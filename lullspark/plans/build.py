@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lullspark.operators import enrich, series, weather
 from lullspark.operators.events import find_events
-from lullspark.registry import THRESHOLDS
+from lullspark.operators.upsert import clear_sentinel
+from lullspark.registry import MEASURES, THRESHOLDS
 from lullspark.session import materialise
 from lullspark.sources.tables import publish, scan
 
@@ -65,8 +66,10 @@ def build_tables(
     """Publish every derived table under ``root``; returns their names in order.
 
     Each step reads the published tables before it, so a rerun may start anywhere.
+    The market table may still hold sentinels of an import; here they become null.
     """
-    source = scan(spark, root, market)
+    landed = scan(spark, root, market)
+    source = clear_sentinel(landed, [c for c in MEASURES if c in landed.columns])
     publish(series.share_series(source), root, "shares", ["resolution", "region"])
     publish(series.price_change(source), root, "price_changes", ["resolution", "region"])
     publish(weather.aggregate_forecast(scan(spark, root, forecast_points)), root, "forecasts", ["model"])

@@ -439,11 +439,11 @@ _LIVE = f"""pow(CASE WHEN count(*) FILTER (lat > 51) > 0 THEN least(avg({hub(_H[
     + {micro_mean('direct_radiation')} * 2 + {micro_mean('diffuse_radiation')} * 2"""
 Q["live_index"] = (
     with_(forecasts())
-    + f"SELECT timestamp_s, model, {half_even('x')} AS repi FROM (SELECT timestamp_s, model, {_LIVE} AS x FROM fp GROUP BY 1, 2) WHERE x IS NOT NULL"
+    + f"SELECT timestamp_s, model, {half_even('x')} AS repi FROM (SELECT timestamp_s, model, {_LIVE} AS x FROM fp GROUP BY 1, 2)"
 )
 Q["live_documents"] = (
     with_(forecasts())
-    + f"SELECT timestamp_s, {half_even('x')} AS repi FROM (SELECT timestamp_s, {_LIVE} AS x FROM fp GROUP BY 1) WHERE x IS NOT NULL"
+    + f"SELECT timestamp_s, {half_even('x')} AS repi FROM (SELECT timestamp_s, {_LIVE} AS x FROM fp GROUP BY 1)"
 )
 
 # --- derived series ---
@@ -659,9 +659,14 @@ def _coverage(name: str, where: str) -> str:
 Q["series_coverage"] = (
     with_(EV, grid(), sparse()) + _coverage("all", "TRUE") + " UNION ALL " + _coverage("priced", "price IS NOT NULL")
 )
+Q["previous_value"] = (
+    with_(EV)
+    + """SELECT event_type, event_id, lag(event_id) OVER w AS last_id, lag(ms) OVER w AS last_ms
+    FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY event_id)"""
+)
 Q["earliest_k"] = (
     with_(EV)
-    + f"""SELECT event_type, event_id, ms, {dec('cents')} AS value FROM ev WHERE cents > 0
+    + f"""SELECT event_type, event_id, ms, {dec('cents')} AS value FROM ev
     QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 3"""
 )
 

@@ -536,7 +536,7 @@ def wind_model_comparison(spark, sf):
 
 @query
 def live_index(spark, sf):
-    return plain(weather.live_index(P.forecast_points(spark, sf), ["timestamp_s", "model"]).where("repi is not null"))
+    return plain(weather.live_index(P.forecast_points(spark, sf), ["timestamp_s", "model"]))
 
 
 # --- analyses ---------------------------------------------------------------
@@ -587,9 +587,17 @@ def series_coverage(spark, sf):
     return analyses.series_coverage(sparse_price(spark, sf))
 
 
+@query
+def previous_value(spark, sf):
+    """The row before of each event type; chunks are small, so it is often chunks away."""
+    feed = P.event_rows(spark, sf).select("event_type", "event_id", "ms")
+    found = series.previous_value(feed, "ms", ["event_type"], "event_id", chunk_ms=3)
+    return found.select("event_type", "event_id", F.col("last_time").alias("last_id"), F.col("last_value").alias("last_ms"))
+
+
 @query
 def earliest_k(spark, sf):
-    feed = P.event_rows(spark, sf).where("cents > 0")
+    feed = P.event_rows(spark, sf)
     first = analyses.earliest_k(feed, 3, ["event_type"], "event_id")
     return plain(first.select("event_type", "event_id", "ms", P.hundredths("cents").alias("value")))
 
@@ -787,7 +795,7 @@ def live_documents(spark, sf):
     docs.write.json(path)
     landed = weather_docs.read_live_forecast(spark, path, lines=True)
     typed = landed.withColumns({v: F.col(v).cast("decimal(11,2)") for v in names})
-    return plain(weather.live_index(typed).where("repi is not null"))
+    return plain(weather.live_index(typed))
 
 
 @query

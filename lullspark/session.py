@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +28,7 @@ def build_session(app: str = "lullspark", master: str | None = None, **conf: str
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster no
-    executor could read another machine's disk.
+    Unset, it is a folder of the warehouse, which all executors share as well.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -38,9 +36,7 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = os.path.join(tempfile.mkdtemp(prefix="lullspark-"), "checkpoints")
+        configured = posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
     context.setCheckpointDir(configured)
     return configured
 

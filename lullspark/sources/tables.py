@@ -1,13 +1,24 @@
-"""Named Parquet tables: scan, publish, replace a range."""
+"""Named Parquet tables: scan, publish, replace a range.
+
+A published table is a folder of versions, which are never changed, and a small table
+of version names, to which a publish appends one row when all its checks have passed.
+Readers take the newest name, so a failed write or check leaves the last good version.
+A folder without version names is read as a plain Parquet table.
+"""
 
 from __future__ import annotations
 
 import posixpath
+import time
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from lullspark.operators.upsert import KEY_CANDIDATES, assert_unique
+from lullspark.operators.upsert import KEY_CANDIDATES, assert_unique, replace_range
+
+VERSIONS = "_versions"
 
 
 def table_path(root: str, name: str) -> str:
@@ -17,12 +28,25 @@ def table_path(root: str, name: str) -> str:
 def _writer(df: DataFrame, partition_by: Sequence[str]):
     """Rebalanced rows make even files: small partitions merge, hot ones are split."""
     if not partition_by:
-        return df.write.mode("overwrite")
-    return df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
+        return df.write
+    return df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+
+
+def current_version(spark: SparkSession, root: str, name: str) -> str:
+    """The folder of the newest version."""
+    path = table_path(root, name)
+    try:
+        names = spark.read.schema("published long, version string").parquet(posixpath.join(path, VERSIONS))
+        newest = names.selectExpr("max_by(version, published) AS v").first()["v"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None
+    return posixpath.join(path, newest) if newest else path
 
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(root, name))
+    return spark.read.parquet(current_version(spark, root, name))
 
 
 def publish(
@@ -35,15 +59,32 @@ def publish(
 ) -> list[str] | None:
     """Create or refresh a named table and report the key it is unique on.
 
-    The new rows are written and read back before the key is checked, so the check
-    costs one narrow scan, not a second computation.
+    The new version is written beside the old one and its key is checked there; only
+    then does the table switch to it. ``df`` may read the table itself.
     """
-    _writer(df, partition_by).parquet(table_path(root, name))
-    return assert_unique(scan(df.sparkSession, root, name), candidates) if check_key else None
-
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    path = posixpath.join(table_path(root, name), version)
+    _writer(df, partition_by).parquet(path)
+    key = assert_unique(spark.read.parquet(path), candidates) if check_key else None
+    row = spark.createDataFrame([(time.time_ns(), version)], "published long, version string")
+    row.coalesce(1).write.mode("append").parquet(posixpath.join(table_path(root, name), VERSIONS))
+    return key
 
-def replace_partitions(df: DataFrame, root: str, name: str, partition_by: Sequence[str]) -> None:
-    """Overwrite only the partitions ``df`` has rows for; the rest stay as they are."""
-    _writer(df, partition_by).option("partitionOverwriteMode", "dynamic").parquet(table_path(root, name))
 
+def replace_stored_range(
+    delta: DataFrame,
+    root: str,
+    name: str,
+    ts: str,
+    lo: int,
+    hi: int,
+    extra: dict[str, object] | None = None,
+    partition_by: Sequence[str] = (),
+    **options,
+) -> list[str] | None:
+    """Publish the table with ``[lo, hi)`` of the given key values replaced by ``delta``.
 
+    The whole range goes, also where ``delta`` has no row. The table is written anew.
+    """
+    old = scan(delta.sparkSession, root, name)
+    return publish(replace_range(old, delta.select(*old.columns), ts, lo, hi, extra), root, name, partition_by, **options)

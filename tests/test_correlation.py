@@ -92,3 +92,13 @@ def test_inputs_join_on_the_instant(spark):
     assert rows(C.history_input(market, weather, share).select("m", "s", "w")) == [(1.0, 0.5, 9.0)]
     forecast = spark.createDataFrame([(3600, "a", "hour", 4.0), (3600, "b", "hour", 5.0)], "timestamp_s long, model string, temporal_resolution string, r double")
     assert rows(C.forecast_input(market, forecast, share).select("model", "m", "s", "r")) == [("a", 1.0, 0.5, 4.0), ("b", 1.0, 0.5, 5.0)]
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
+def test_every_pair_has_its_cells(spark, method):
+    data = [(1.0, None, 3.0, None), (2.0, None, 1.0, None), (None, 5.0, None, None), (None, 7.0, None, None)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double")
+    got = matrix(C.correlate(df, ["a", "b", "c", "d"], method))
+    assert len(got) == 16
+    assert got["a", "b"] is None and got["d", "d"] is None and got["b", "b"] == pytest.approx(1)
+    assert got["a", "c"] == got["c", "a"] == pytest.approx(-1)

@@ -169,3 +169,11 @@ def test_slice_pushes_filters_into_the_scan(spark, tmp_path):
 def test_classify(spark):
     df = spark.createDataFrame([(0.3,), (0.31,), (None,)], "v double")
     assert [r[0] for r in df.select(shares.classify(F.col("v"), 0.3)).collect()] == ["LOW", "HIGH", "HIGH"]
+
+
+def test_previous_value_over_any_gap(spark):
+    day = 86_400_000
+    times = [0, 1, 70 * day, 71 * day, 400 * day]
+    df = spark.createDataFrame([("DE", "hour", t, i) for i, t in enumerate(times)], "region string, resolution string, unix_timestamp_ms long, v int")
+    got = {r.unix_timestamp_ms: (r.last_time, r.last_value) for r in series.previous_value(df, "v").collect()}
+    assert got == {t: (times[i - 1], i - 1) if i else (None, None) for i, t in enumerate(times)}

@@ -92,12 +92,22 @@ def test_market_documents(spark, tmp_path):
     assert analyses.duplicate_instants(feed, ["unix_timestamp_ms"]).count() == 0
 
 
-def test_dynamic_replacement_leaves_other_partitions(spark, tmp_path):
-    root = str(tmp_path)
-    df = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, part string, v int")
+def test_stored_range_is_replaced_whole(spark, tmp_path):
+    root, kinds = str(tmp_path), "ts long, part string, v int"
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (2, "b", 1), (3, "c", 1)], kinds)
     tables.publish(df, root, "t", ["part"], check_key=False)
-    tables.replace_partitions(spark.createDataFrame([(3, "b", 7)], "id int, part string, v int"), root, "t", ["part"])
-    assert rows(tables.scan(spark, root, "t").select("id", "part", "v")) == [(1, "a", 1), (3, "b", 7)]
+    tables.replace_stored_range(spark.createDataFrame([(2, "a", 7)], kinds), root, "t", "ts", 2, 4, check_key=False)
+    assert rows(tables.scan(spark, root, "t").select("ts", "part", "v")) == [(1, "a", 1), (2, "a", 7)]
+    tables.replace_stored_range(df.limit(0), root, "t", "ts", 1, 9, {"part": "a"}, check_key=False)
+    assert tables.scan(spark, root, "t").count() == 0
+
+
+def test_failed_publish_keeps_the_last_version(spark, tmp_path):
+    root, kinds, key = str(tmp_path), "id int, v int", [["id"]]
+    tables.publish(spark.createDataFrame([(1, 1)], kinds), root, "t", candidates=key)
+    with pytest.raises(ValueError, match="not unique"):
+        tables.publish(spark.createDataFrame([(1, 1), (1, 2)], kinds), root, "t", candidates=key)
+    assert rows(tables.scan(spark, root, "t")) == [(1, 1)]
 
 
 def test_build_publishes_every_table(spark, tmp_path):
@@ -113,6 +123,11 @@ def test_build_publishes_every_table(spark, tmp_path):
             "market_price_ger_lux": Decimal(80 if low else 40) + q % 3,
         }
         data.append(tuple(values[c] for c in MARKET_SCHEMA.fieldNames()))
+    empty = {c: None for c in MARKET_SCHEMA.fieldNames()} | {
+        "unix_timestamp_ms": t0 - 900_000, "is_bucket_timestamp": True, "region": "DE", "resolution": "quarterhour",
+        "market_price_ger_lux": Decimal(-100_000_000),
+    }
+    data.append(tuple(empty[c] for c in MARKET_SCHEMA.fieldNames()))
     spark.createDataFrame(data, MARKET_SCHEMA).write.parquet(f"{root}/market")
     spots = [(t0 + h * hour, lat, 1.0, 3.0, 5.0, 10.0, 20.0, 30.0) for h in range(480) for lat in (48.0, 51.5, 54.0)]
     spark.createDataFrame(
@@ -137,3 +152,9 @@ def test_build_publishes_every_table(spark, tmp_path):
     before = events.count()
     build.build_tables(spark, root)
     assert tables.scan(spark, root, "events").count() == before
+
+
+def test_value_profile_counts_all_digits(spark):
+    data = [("a", 0.123456789012), ("a", 12.5), ("b", 1.5e-7), ("c", 3e20), ("d", 0.0), ("e", None)]
+    got = analyses.value_profile(spark.createDataFrame(data, "k string, value double"), ["k"])
+    assert {r.k: r.max_fraction_digits for r in got.collect()} == {"a": 12, "b": 8, "c": 0, "d": 0, "e": None}
