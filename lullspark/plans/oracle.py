@@ -534,6 +534,12 @@ Q["replace_range"] = (
     + f"""SELECT timestamp_s, s_nationkey, model,
     {dec(f"wind_speed_80m + CASE WHEN timestamp_s >= {_LO} AND timestamp_s < {_HI} AND model = 'A' THEN 100 ELSE 0 END")} AS wind_speed_80m FROM fp"""
 )
+_IN_YEAR = f"timestamp_s >= {_LO} AND timestamp_s < {_HI} AND model = 'A'"
+Q["replace_range_stored"] = (
+    with_(forecasts())
+    + f"""SELECT timestamp_s, s_nationkey, model, {dec(f"wind_speed_80m + CASE WHEN {_IN_YEAR} THEN 100 ELSE 0 END")} AS wind_speed_80m
+    FROM fp WHERE NOT ({_IN_YEAR} AND timestamp_s >= 867801600)"""
+)
 Q["outside_range"] = (
     with_(DAYS) + f"SELECT {KEYS}, {dec('price')} AS price FROM days WHERE NOT (ts >= {_LO}000 AND ts < {_HI}000)"
 )
@@ -773,4 +779,9 @@ Q["forecast_documents"] = (
     {dec('direct_radiation_previous_day1')} AS direct_radiation_previous_day1, CAST(NULL AS DOUBLE) AS wind_direction_80m FROM fp"""
 )
 
+Q["ingested_price_changes"] = Q["price_change"]
+Q["publish_keeps_last"] = (
+    with_(DAYS) + f"SELECT {KEYS}, {dec('price')} AS price FROM days"
+)
+
 ORACLE = Q

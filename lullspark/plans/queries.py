@@ -14,7 +14,7 @@ from lullspark.functions import clock, indices, labels, shares
 from lullspark.operators import analyses, correlation, enrich, series, upsert, weather
 from lullspark.operators.events import find_events, transitions
 from lullspark.operators.trend import trailing_event_trend
-from lullspark.plans import build, requests
+from lullspark.plans import build, ingest, requests
 from lullspark.plans import projections as P
 from lullspark.registry import KEYS, PRODUCTION, REGIONS, RESOLUTIONS, THRESHOLDS, registry_frame
 from lullspark.session import shared_checkpoint_dir
@@ -365,6 +365,33 @@ def published_table(spark, sf):
     return plain(tables.scan(spark, root, "shares"))
 
 
+@query
+def replace_range_stored(spark, sf):
+    """A year of one model replaced by its first half, so the second half is emptied."""
+    points = P.forecast_points(spark, sf).select("timestamp_s", "s_nationkey", "model", "wind_speed_80m")
+    lo, mid, hi = 852_076_800, 867_801_600, 883_612_800
+    fresh = points.where((F.col("timestamp_s") >= lo) & (F.col("timestamp_s") < mid) & (F.col("model") == "A"))
+    raised = fresh.withColumn("wind_speed_80m", (F.col("wind_speed_80m") + 1).cast("decimal(8,2)"))
+    root = posixpath.join(shared_checkpoint_dir(spark), f"replaced-{uuid.uuid4().hex}")
+    key = {"candidates": [["timestamp_s", "s_nationkey", "model"]]}
+    tables.publish(points, root, "points", ["model"], **key)
+    tables.replace_stored_range(raised, root, "points", "timestamp_s", lo, hi, {"model": "A"}, ["model"], **key)
+    return plain(tables.scan(spark, root, "points"))
+
+
+@query
+def publish_keeps_last(spark, sf):
+    """A refresh with every row twice fails its key check; readers keep the version before."""
+    days = P.daily_by_region(spark, sf).drop("load", "share")
+    root = posixpath.join(shared_checkpoint_dir(spark), f"kept-{uuid.uuid4().hex}")
+    tables.publish(days, root, "days", ["region"])
+    try:
+        tables.publish(days.unionByName(days), root, "days", ["region"])
+    except ValueError:
+        return plain(tables.scan(spark, root, "days"))
+    raise AssertionError("a table with repeated keys was published")
+
+
 # --- series reads -----------------------------------------------------------
 
 
@@ -744,6 +771,27 @@ def market_index(spark, sf):
     return market_docs.read_market_index(spark, path, lines=True)
 
 
+@query
+def ingested_price_changes(spark, sf):
+    """Quarter-hour prices landed, imported with their bucket index, published, and read for price changes."""
+    parts = ["series_id", "region", "resolution"]
+    rows = P.market_grid(spark, sf, "quarterhour").select(
+        F.lit(4169).alias("series_id"), "region", "resolution", F.col("unix_timestamp_ms").alias("ts"),
+        F.expr(f"unix_timestamp_ms div {WEEK} * {WEEK}L").alias("bucket"),
+        F.col("market_price_ger_lux").cast("double").alias("value"),
+    )
+    landed, index = _landing(spark, "prices"), _landing(spark, "price-index")
+    points = F.sort_array(F.collect_list(F.array(F.col("ts").cast("double"), "value"))).alias("series")
+    rows.groupBy(*parts, "bucket").agg(points).drop("bucket").write.partitionBy(*parts).json(landed)
+    stamps = F.sort_array(F.collect_set("bucket")).alias("timestamps")
+    rows.groupBy(*parts).agg(stamps).write.partitionBy(*parts).json(index)
+    root = _landing(spark, "tables")
+    ingest.ingest_market(spark, root, landed, index, lines=True)
+    market = tables.scan(spark, root, "market")
+    tables.publish(series.price_change(market), root, "price_changes", ["resolution", "region"])
+    return plain(tables.scan(spark, root, "price_changes"))
+
+
 def _arrays(time: str, variables: list[str]) -> Column:
     packed = F.sort_array(F.collect_list(F.struct(time, *[F.col(v).cast("double").alias(v) for v in variables])))
     return packed.alias("_p")

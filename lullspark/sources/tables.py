@@ -49,6 +49,17 @@ def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(current_version(spark, root, name))
 
 
+def has_table(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether any version of the table can be read."""
+    try:
+        scan(spark, root, name)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
 def publish(
     df: DataFrame,
     root: str,
