@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from lullspark.llm.common import row_text, stored
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
 # Test texts are searched in batches of about this size, one after another.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BLANK = ord(" ")
 # Fixed rule for words: A-Z lower-cased; digits, letters and all beyond ASCII are kept.
 WORD_BYTES = bytes(
@@ -147,11 +148,65 @@ def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["term"]): r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
-def item_windows(words: Sequence[bytes], length: int = WINDOW) -> set[tuple[bytes, ...]]:
-    """All runs of ``length`` words; a shorter text with any word is one window."""
-    if not words:
-        return set()
-    return {tuple(words[i : i + length]) for i in range(max(1, len(words) - length + 1))}
+@dataclass
+class Windows:
+    """The distinct windows of a batch of items, as arrays: words by number, where each
+    window begins in them, and the items it is from, window after window."""
+
+    terms: list[bytes]
+    words: np.ndarray
+    begins: np.ndarray
+    lengths: np.ndarray
+    items: list[str]
+    owners: np.ndarray
+    owner_ends: np.ndarray
+
+    def names(self, window: int) -> list[str]:
+        own = self.owners[self.owner_ends[window - 1] if window else 0 : self.owner_ends[window]]
+        return [self.items[i] for i in own.tolist()]
+
+    def numbers(self, window: int) -> np.ndarray:
+        return self.words[self.begins[window] : self.begins[window] + self.lengths[window]]
+
+    def by_rarest(self, counts: np.ndarray) -> dict[bytes, list[int]]:
+        """Windows of which every term is in the index, by the rarest of their terms."""
+        found: dict[bytes, list[int]] = {}
+        for window in range(len(self.begins)):
+            numbers = self.numbers(window)
+            rarest = numbers[counts[numbers].argmin()]
+            if counts[rarest]:
+                found.setdefault(self.terms[rarest], []).append(window)
+        return found
+
+    def places(self, window: int, counts: np.ndarray) -> list[tuple[bytes, int]]:
+        """A window's terms and their offsets, the rarest term first."""
+        numbers = self.numbers(window)
+        return [(self.terms[numbers[i]], i) for i in counts[numbers].argsort(kind="stable").tolist()]
+
+
+def item_windows(items: Sequence[tuple[str | None, list[bytes]]], length: int = WINDOW) -> Windows:
+    """All runs of ``length`` words of the items; a shorter text with any word is one window."""
+    number: dict[bytes, int] = {}
+    words = np.array([number.setdefault(w, len(number)) for _, t in items for w in t], np.int32)
+    names: dict[str, int] = {}
+    known: dict[bytes, int] = {}
+    begins, lengths, owners = [], [], []
+    start = 0
+    for name, text in items:
+        size = min(length, len(text))
+        for begin in range(start, start + len(text) - size + 1) if text else ():
+            window = known.setdefault(words[begin : begin + size].tobytes(), len(known))
+            if window == len(begins):
+                begins.append(begin)
+                lengths.append(size)
+            if name is not None:
+                owners.append((window, names.setdefault(name, len(names))))
+        start += len(text)
+    own = np.unique(np.array(owners, np.int64).reshape(-1, 2), axis=0)
+    ends = np.searchsorted(own[:, 0], np.arange(len(begins)), side="right")
+    return Windows(
+        list(number), words, np.array(begins, np.int64), np.array(lengths, np.int64), list(names), own[:, 1], ends
+    )
 
 
 def _batches(items: DataFrame, batch_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -169,36 +224,33 @@ DOC_HITS = "array<struct<start:int,end:int>>"
 
 def _searched(index: DataFrame, items: list[tuple[str, list[bytes]]], length: int) -> DataFrame:
     """Every indexed document with the stretches hit by one batch of items, and those items."""
-    owners: dict[tuple[bytes, ...], list[str]] = {}
-    for item, words in items:
-        for window in item_windows(words, length):
-            owners.setdefault(window, []).append(item)
-    counts = term_counts(index, {t for w in owners for t in w}) if owners else {}
-    by_rarest: dict[bytes, list] = {}
-    for window, names in owners.items():
-        places = sorted(((t, i) for i, t in enumerate(window)), key=lambda p: (counts.get(p[0], 0), p))
-        if counts.get(places[0][0]):
-            by_rarest.setdefault(places[0][0], []).append((places, sorted({n for n in names if n is not None})))
-    shared = index.sparkSession.sparkContext.broadcast(by_rarest)
+    windows = item_windows(items, length)
+    in_index = term_counts(index, set(windows.terms)) if windows.terms else {}
+    counts = np.array([in_index.get(t, 0) for t in windows.terms], np.int64)
+    # Plain values only, so that executors need no class to load them.
+    shared = index.sparkSession.sparkContext.broadcast((vars(windows), counts, windows.by_rarest(counts)))
     kind = dict(index.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     schema = f"block long, place int, doc_id {kind}, text_hash long, n_words long, hits {DOC_HITS}, items array<string>"
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts, by_rarest = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                yield _search_block({c: batch.column(c)[row] for c in batch.schema.names}, shared.value)
+                block = {c: batch.column(c)[row] for c in batch.schema.names}
+                yield _search_block(block, Windows(**values), counts, by_rarest)
 
     return index.withColumn("block", F.xxhash64("doc_ids", "text_hashes", "starts")).mapInArrow(search, schema)
 
 
-def _search_block(block: dict, by_rarest: dict) -> pa.RecordBatch:
+def _search_block(block: dict, windows: Windows, counts: np.ndarray, by_rarest: dict[bytes, list[int]]) -> pa.RecordBatch:
     postings = Postings(*(block[c].as_py() for c in ("terms", "counts", "positions")))
     starts = np.frombuffer(block["starts"].as_py(), np.int32)
     documents = len(starts) - 1
     hits: list[list] = [[] for _ in range(documents)]
     items: list[set] = [set() for _ in range(documents)]
     for term in postings.terms.keys() & by_rarest.keys():
-        for places, names in by_rarest[term]:
+        for window in by_rarest[term]:
+            places, names = windows.places(window, counts), windows.names(window)
             begins = postings.phrase(places)
             owner = np.searchsorted(starts, begins, side="right") - 1
             inside = begins + len(places) <= starts[owner + 1]

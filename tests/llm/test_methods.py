@@ -141,6 +141,23 @@ def plain_hits(words, windows):
     return hit
 
 
+def runs(words, length=13):
+    size = min(length, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def test_windows_are_distinct_and_know_their_items():
+    items = [("x", [b"a"] * 15), ("y", [b"b", b"a"]), (None, [b"b", b"a"]), ("z", []), ("y", [b"b", b"a"])]
+    found = decontaminate.item_windows(items)
+    counts = np.array([5, 2])
+    assert [(found.places(w, counts), found.names(w)) for w in range(2)] == [
+        ([(b"a", i) for i in range(13)], ["x"]), ([(b"b", 0), (b"a", 1)], ["y"])
+    ]
+    assert len(found.begins) == 2 and found.by_rarest(counts) == {b"a": [0], b"b": [1]}
+    assert found.by_rarest(np.array([5, 0])) == {b"a": [0]}
+    assert decontaminate.item_windows([("z", [])]).by_rarest(np.zeros(0, np.int64)) == {}
+
+
 @pytest.mark.parametrize("batch_bytes", [1 << 20, 60])
 def test_phrases_against_brute_force(spark, batch_bytes):
     rng = random.Random(4)
@@ -150,7 +167,7 @@ def test_phrases_against_brute_force(spark, batch_bytes):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame(tests, "item_id long, text string")
     index = decontaminate.build_index(frame, block_bytes=200)
-    windows = {i: decontaminate.item_windows(decontaminate.words_of(t)) for i, t in tests}
+    windows = {i: runs(decontaminate.words_of(t)) for i, t in tests}
     for r in decontaminate.phrase_hits(index, items, batch_bytes=batch_bytes).collect():
         words = decontaminate.words_of(texts[r["doc_id"]])
         want = plain_hits(words, set().union(*windows.values()))
