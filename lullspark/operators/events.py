@@ -63,9 +63,8 @@ def low_runs(
     along = Window.partitionBy(*by_chunk, "_cut").orderBy("_at")
     spans = markers.withColumn("_end", F.lead("_at").over(along))
     unfinished = F.col("_low") & F.col("_end").isNull()
-    closed = spans.where(F.col("_low") & ~F.col("_opens") & F.col("_end").isNotNull())
-
-    edges = spans.where(F.col("_opens") | unfinished).select(
+    edge = F.col("_opens") | unfinished
+    kept = spans.where(F.col("_low") | F.col("_opens")).select(
         *keys,
         "_cut",
         "_at",
@@ -74,20 +73,21 @@ def low_runs(
         unfinished.alias("_unfinished"),
         # The instant this marker's neighbourhood is HIGH again, if it says so.
         F.when(F.col("_low"), F.col("_end")).otherwise(F.col("_at")).alias("_high"),
+        # Runs inside a chunk are final and stay apart; what touches a border meets by series.
+        F.when(~edge, F.col(CHUNK)).alias("_place"),
     )
-    series = Window.partitionBy(*keys, "_cut")
+    series = Window.partitionBy(*keys, "_cut", "_place")
     forward = series.orderBy("_at")
     onward = series.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = edges.select(
-        *keys,
-        "_cut",
-        "_at",
-        (F.col("_low") & ~(F.col("_opens") & F.lag("_unfinished", 1, False).over(forward))).alias("_starts"),
-        F.last("_high", ignorenulls=True).over(onward).alias("_end"),
-    ).where("_starts")
     return (
-        closed.select(*keys, "_cut", "_at", "_end")
-        .unionByName(joined.select(*keys, "_cut", "_at", "_end"))
+        kept.select(
+            *keys,
+            "_cut",
+            "_at",
+            (F.col("_low") & ~(F.col("_opens") & F.lag("_unfinished", 1, False).over(forward))).alias("_starts"),
+            F.last("_high", ignorenulls=True).over(onward).alias("_end"),
+        )
+        .where("_starts")
         .select(
             *keys,
             F.get(F.array(*[F.lit(float(c)) for c in cuts]), F.col("_cut")).alias("threshold"),

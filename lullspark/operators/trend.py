@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lullspark.operators.chunks import row_index, running_sum, with_time_chunk
+from lullspark.session import materialise
 
 DAY_MS = 86_400_000
 CHUNK_MS = 365 * DAY_MS
@@ -21,7 +22,6 @@ def trailing_event_trend(
     window_ms: int = 365 * DAY_MS,
     skip: int = 365,
     fill: bool = False,
-    daily: bool = True,
     chunk_ms: int = CHUNK_MS,
 ) -> DataFrame:
     """Event count and whole event days in ``(ts - window, ts]`` per series instant.
@@ -30,8 +30,8 @@ def trailing_event_trend(
     a step up and a step down, and the answer is a running total: no event is ever
     paired with an instant. Durations are not clipped to the window. Instants
     without an event are left out unless ``fill``; then the first ``skip`` rows of
-    each series are dropped. A ``daily`` series has 366 rows a year at most, so its
-    rows are numbered per series; any other is numbered chunk by chunk.
+    each series are dropped. Rows are numbered chunk by chunk, from totals that are
+    stored once, so a series of any length and resolution stays spread.
     """
     keys = list(keys)
     length = F.col("end_time") - F.col("start_time")
@@ -53,11 +53,8 @@ def trailing_event_trend(
     ).where(F.col("_point"))
     if not fill:
         totals = totals.where(F.col("occurrences") > 0)
-    if skip and daily:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(ts))
-        totals = totals.withColumn("_row", number).where(F.col("_row") > skip)
-    elif skip:
-        totals = row_index(totals, keys, [ts], "_row").where(F.col("_row") > skip)
+    if skip:
+        totals = row_index(materialise(totals), keys, [ts], "_row").where(F.col("_row") > skip)
     return totals.select(
         *keys,
         ts,

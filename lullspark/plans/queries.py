@@ -17,7 +17,7 @@ from lullspark.operators.trend import trailing_event_trend
 from lullspark.plans import build, ingest, requests
 from lullspark.plans import projections as P
 from lullspark.registry import KEYS, PRODUCTION, REGIONS, RESOLUTIONS, THRESHOLDS, registry_frame
-from lullspark.session import shared_checkpoint_dir
+from lullspark.session import materialise, shared_checkpoint_dir
 from lullspark.sources import market as market_docs
 from lullspark.sources import tables
 from lullspark.sources import weather as weather_docs
@@ -67,7 +67,8 @@ def sparse_price(spark: SparkSession, sf: str) -> DataFrame:
 
 def quarter_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = series.share_series(P.market_grid(spark, sf, "quarterhour"))
-    return find_events(rows, WS_SHARE, SEARCH, HOUR)
+    # Searched once; the statistics read the events for their pieces and for blank rows.
+    return materialise(find_events(rows, WS_SHARE, SEARCH, HOUR))
 
 
 def january_weather(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +136,7 @@ def time_of_interest(spark, sf):
 
 @query
 def events_in_trailing_window(spark, sf):
-    days = P.daily_by_region(spark, sf)
+    days = materialise(P.daily_by_region(spark, sf))
     events = find_events(days, "share", SEARCH, DAY)
     points = days.select(*KEYS, F.explode(F.array(*[F.lit(t) for t in SEARCH])).alias("threshold"))
     return trailing_event_trend(points, events, ["region", "threshold"], window_ms=30 * DAY, skip=0)
@@ -143,13 +144,13 @@ def events_in_trailing_window(spark, sf):
 
 @query
 def q_trailing_event_trend(spark, sf):
-    days = P.daily_by_region(spark, sf)
+    days = materialise(P.daily_by_region(spark, sf))
     return trailing_event_trend(days, find_events(days, "share", 0.35, DAY), ["region"])
 
 
 @query
 def trailing_event_trend_filled(spark, sf):
-    days = P.daily_by_region(spark, sf)
+    days = materialise(P.daily_by_region(spark, sf))
     return trailing_event_trend(days, find_events(days, "share", 0.2, 2 * DAY), ["region"], fill=True)
 
 

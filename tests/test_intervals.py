@@ -1,6 +1,7 @@
 """Interval aggregates, trend and enrichment against plain loops."""
 
 import random
+import re
 
 import pytest
 from conftest import final_plan, rows
@@ -65,16 +66,28 @@ def test_trailing_trend_counts_whole_events(spark, chunk):
     assert got == sorted([("DE", d * DAY, 1, 2) for d in range(10, 377)], key=repr)
 
 
-@pytest.mark.parametrize("daily", [True, False])
-def test_trend_skips_result_rows(spark, daily):
+@pytest.mark.parametrize("chunk", [7 * DAY, 365 * DAY])
+def test_trend_skips_result_rows(spark, chunk):
     days, events = trend_case(spark)
-    got = rows(trailing_event_trend(days, events, skip=365, daily=daily))
+    got = rows(trailing_event_trend(days, events, skip=365, chunk_ms=chunk))
     assert got == [("DE", 375 * DAY, 1, 2), ("DE", 376 * DAY, 1, 2)]
-    filled = trailing_event_trend(days, events, skip=365, fill=True, daily=daily)
+    filled = trailing_event_trend(days, events, skip=365, fill=True, chunk_ms=chunk)
     assert filled.count() == 35
     assert filled.where("occurrences_in_last_rolling_year = 0").count() == 23
 
 
+def test_trend_of_quarter_hours_gathers_no_series(spark):
+    _, events = trend_case(spark)
+    quarters = spark.range(40 * 96).select(F.lit("DE").alias("region"), (F.col("id") * 900_000).alias("unix_timestamp_ms"))
+    trend = trailing_event_trend(quarters, events, skip=96, fill=True, chunk_ms=DAY)
+    plan = final_plan(trend)
+    # Only the offsets, one row per chunk, are ordered within a whole series.
+    windows = [line for line in plan.splitlines() if re.search(r"[ -] ?Window ", line)]
+    raw = [line for line in windows if "_t_" not in line]
+    assert windows and raw and all("_chunk" in line for line in raw)
+    assert trend.count() == 39 * 96
+
+
 def market(spark, hours=24 * 30):
     data = []
     for q in range(hours * 4):
