@@ -849,17 +849,27 @@ def live_documents(spark, sf):
 
 @query
 def forecast_documents(spark, sf):
-    """One document per point, model and instant, landed with all 44 variables."""
+    """Runs of consecutive days per point and model, landed with all 44 variables as parallel arrays."""
     points = P.forecast_points(spark, sf)
     known = set(points.columns)
     names = weather_docs.FORECAST_VARIABLES
-    values = [F.array(F.col(v).cast("double") if v in known else F.lit(None).cast("double")).alias(v) for v in names]
-    docs = points.select(
-        F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), F.col("s_nationkey").cast("double").alias("elevation"),
-        "model",
-        F.struct(
-            F.col("timestamp_s").alias("start"), (F.col("timestamp_s") + 3600).alias("end"), F.lit(3600).alias("interval"), *values
-        ).alias("hourly"),
+    filled = points.select(
+        "s_nationkey", "model", "lat", "lng", F.expr("timestamp_s div 86400").alias("_i"),
+        *[F.col(v) if v in known else F.lit(None).cast("double").alias(v) for v in names],
+    )
+    run = F.col("_i") - F.row_number().over(Window.partitionBy("s_nationkey", "model").orderBy("_i"))
+    docs = (
+        filled.withColumn("_run", run)
+        .groupBy("s_nationkey", "model", "_run", "lat", "lng")
+        .agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), _arrays("_i", names))
+        .select(
+            F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), F.col("s_nationkey").cast("double").alias("elevation"),
+            "model",
+            F.struct(
+                (F.col("_lo") * 86400).alias("start"), ((F.col("_hi") + 1) * 86400).alias("end"),
+                F.lit(86400).alias("interval"), *[F.col(f"_p.{v}").alias(v) for v in names],
+            ).alias("hourly"),
+        )
     )
     path = _landing(spark, "forecast")
     docs.write.json(path)
