@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lullspark.llm.common import row_text, scratch_path, stored
@@ -249,21 +249,40 @@ def good_turing(singles: list[int]) -> np.ndarray:
     return discount
 
 
-def count_levels(words: DataFrame, parts: int, texts: int) -> Levels:
-    """Number the words by falling count. The driver gets one row for each count that
-    occurs, of which there are fewer than the square root of twice the corpus's tokens."""
+def level_sizes(words: DataFrame) -> DataFrame:
+    """``part, times, n``: how many words of each partition occur how often in the training texts."""
 
-    def levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            count, n = np.unique(unpack(row["counts"], np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(n)], names=["count", "n"])
+            times, n = np.unique(unpack(row["counts"], np.int64), return_counts=True)
+            part = pa.array([row["part"]] * len(times), pa.int64())
+            yield pa.RecordBatch.from_arrays([part, pa.array(times), pa.array(n)], names=["part", "times", "n"])
+
+    found = words.select("part", "counts").mapInArrow(sizes, "part long, times long, n long")
+    return stored(found.where("times > 0"), "katz-levels")
+
+
+def with_places(words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of ``words``, each with ``times, before``: how many words of a level are in
+    earlier partitions. A level is at most one narrow row for each partition."""
+    earlier = Window.partitionBy("times").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    by_part = (
+        sizes.select("part", "times", before)
+        .groupBy("part")
+        .agg(F.array_sort(F.collect_list(F.struct("times", "before"))).alias("level"))
+        .select("part", F.col("level.times").alias("times"), F.col("level.before").alias("before"))
+    )
+    return words.drop("keys").join(by_part, "part", "left")
+
 
-    by_part = words.select("counts").mapInArrow(levels, "count long, n long").where("count > 0")
-    found = by_part.groupBy("count").agg(F.max("n").alias("most"), F.sum("n").alias("n")).orderBy(F.desc("count")).collect()
-    counts = np.array([r["count"] for r in found], np.int64)
+def count_levels(sizes: DataFrame, parts: int, texts: int) -> Levels:
+    """Number the words by falling count, without gaps. The driver gets one row for each count
+    that occurs, of which there are fewer than the square root of twice the corpus's tokens."""
+    found = sizes.groupBy("times").agg(F.sum("n").alias("n")).orderBy(F.desc("times")).collect()
+    counts = np.array([r["times"] for r in found], np.int64)
     n = np.array([r["n"] for r in found], np.int64)
-    # Every partition has a number of its own in each step of a level.
-    starts = 1 + np.concatenate(([0], np.cumsum([r["most"] * parts for r in found])))
+    starts = 1 + np.concatenate(([0], np.cumsum(n)))
     if starts[-1] >= UNKNOWN:
         raise ValueError("more distinct words than numbers")
     total = int((counts * n).sum())
@@ -282,11 +301,11 @@ def word_numbers(row: dict, levels: Levels) -> np.ndarray:
     order = np.argsort(-counts, kind="stable")
     ranked = counts[order]
     first = np.searchsorted(-ranked, -ranked, side="left")
-    level = np.searchsorted(-levels.counts, -ranked)
-    numbers = np.full(len(counts), UNKNOWN, np.int64)
     known = ranked > 0
-    step = np.arange(len(ranked)) - first
-    numbers[order[known]] = levels.starts[level[known]] + step[known] * levels.parts + row["part"]
+    level = np.searchsorted(-levels.counts, -ranked[known])
+    before = np.array(row["before"] or [], np.int64)[np.searchsorted(row["times"] or [], ranked[known])]
+    numbers = np.full(len(counts), UNKNOWN, np.int64)
+    numbers[order[known]] = levels.starts[level] + before + (np.arange(len(ranked)) - first)[known]
     return numbers.astype(np.uint32)
 
 
@@ -403,14 +422,15 @@ def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield sent_rows(part_of_words(hashes, parts), row["block"], hashes, sums)
 
     words = merge(blocks.mapInArrow(send_words, SENT), "katz-words")
-    levels = count_levels(words, parts, texts)
+    level_rows = level_sizes(words)
+    levels = count_levels(level_rows, parts, texts)
     shared_levels = docs.sparkSession.sparkContext.broadcast(vars(levels))
 
     def number_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             yield answer_rows(row, word_numbers(row, Levels(**shared_levels.value)), 0)
 
-    numbers = words.mapInArrow(number_words, ANSWER)
+    numbers = with_places(words, level_rows).mapInArrow(number_words, ANSWER)
 
     def send_pairs(block: pa.Table, answers: pa.Table) -> pa.Table:
         got = dict(zip(answers["part"].to_pylist(), answers["answer"].to_pylist(), strict=True))

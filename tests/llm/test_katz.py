@@ -124,3 +124,22 @@ def test_unusual_counts_keep_discounts_valid():
     for singles in ([0] * 6, [3, 0, 0, 0, 0, 0], [1, 9, 9, 9, 9, 9], [1000, 400, 200, 120, 80, 60]):
         discount = katz.good_turing(singles)
         assert ((discount[1:6] > 0) & (discount[1:6] < 1)).all()
+
+
+def test_words_are_numbered_by_falling_count_without_gaps(spark):
+    rng = np.random.default_rng(2)
+    counts = [rng.zipf(1.3, size).clip(0, 5000) * (rng.random(size) < 0.8) for size in (50, 1, 200, 0, 30)]
+    rows = [(p, b"", katz.pack(c.astype(np.int64)), [], []) for p, c in enumerate(counts)]
+    words = spark.createDataFrame(rows, katz.MERGED)
+    sizes = katz.level_sizes(words)
+    levels = katz.count_levels(sizes, len(rows), 1)
+    found = [
+        (n, c)
+        for r in katz.with_places(words, sizes).collect()
+        for n, c in zip(katz.word_numbers(r.asDict(), levels).tolist(), counts[r["part"]].tolist())
+    ]
+    assert all(n == katz.UNKNOWN for n, c in found if not c)
+    numbered = sorted((n, c) for n, c in found if c)
+    assert [n for n, _ in numbered] == list(range(1, len(numbered) + 1))
+    assert [c for _, c in numbered] == sorted((c for _, c in numbered), reverse=True)
+    assert levels.count(np.array([n for n, _ in numbered])).tolist() == [c for _, c in numbered]
