@@ -2,7 +2,7 @@
 
 Patterns find what looks like an assigned secret, an access key or a long hexadecimal
 string. Two first-order Markov models over characters, one of such values and one of
-ordinary identifiers, add any other long string that is likelier under the first.
+ordinary identifiers and numbers, add any other long string that is likelier under the first.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ SCANNED = {"assign": PATTERNS[0][1], "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{5,}"
+# Plain numbers are ordinary too: a card number is no secret for its digits alone.
+IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9_]{5,}"
 SPAN = "array<struct<start:int,end:int,text:string>>"
 SAMPLE_DOCS = 4000
 SMOOTHING = 0.5

@@ -201,7 +201,7 @@ def test_markov_models_tell_random_from_ordinary(spark):
     hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(60)]
     names = ["connectionManager", "internationalization", "responsibilities", "configuration_value"]
     docs = [(i, f"the {rng.choice(names)} has token = \"{h}\" here {rng.choice(names)}") for i, h in enumerate(hexes)]
-    docs += [(100 + i, " ".join(rng.choices(names, k=8))) for i in range(60)]
+    docs += [(100 + i, " ".join([*rng.choices(names, k=8), str(rng.randrange(10**15, 10**16))])) for i in range(60)]
     frame = spark.createDataFrame([*docs, (999, "key 93b1f0a7c25d84e6 or internationalizations")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in secrets_scan.find_secrets(frame).collect()}
     assert got[999]["spans"] == "markov:4:20"
