@@ -30,7 +30,7 @@ SCANNED = {"assign": PATTERNS[0][1], "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 # Plain numbers are ordinary too: a card number is no secret for its digits alone.
-IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9_]{5,}"
+IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[A-Za-z][A-Za-z0-9_]{5,}|[0-9]{6,}(?![A-Za-z0-9_]))"
 SPAN = "array<struct<start:int,end:int,text:string>>"
 SAMPLE_DOCS = 4000
 SMOOTHING = 0.5
