@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullspark.llm import decontaminate, language_id, mixing, sharding, simhash
+from lullspark.llm import decontaminate, jaccard, language_id, mixing, sharding, simhash
 from lullspark.llm.common import stored, table
 
 
@@ -22,8 +22,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps the smallest id of each group of near duplicates: fingerprints within three
+    bits, or five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, similar=jaccard.similar_texts(docs))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,11 +171,21 @@ def near_links(distinct: DataFrame, count: int) -> DataFrame:
     return emitted.groupBy("grp").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, text_hash, fingerprint, root, component_id``; all but the id are never null."""
+def _near_duplicates(docs: DataFrame, shingle: int, similar: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text_hash, fingerprint, root, component_id``; all but the id are never null.
+
+    ``similar (a, b)`` are further links, between text hashes.
+    """
     rows = stored(fingerprints(docs, shingle), "simhash")
     distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(near_links(distinct.select("fingerprint"), distinct.count()))
+    links = near_links(distinct.select("fingerprint"), distinct.count())
+    if similar is not None:
+        of_text = rows.select("text_hash", "fingerprint").distinct()
+        a = of_text.select(F.col("text_hash").alias("a"), F.col("fingerprint").alias("fa"))
+        b = of_text.select(F.col("text_hash").alias("b"), F.col("fingerprint").alias("fb"))
+        further = similar.join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+        links = links.unionByName(further)
+    roots = components(links)
     placed = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
     )
@@ -197,15 +207,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return _near_duplicates(docs, shingle).select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of the
     smallest id stays (of texts with that id, the one with the smallest hash).
 
+    ``similar (a, b)`` links further texts by their hashes (``xxhash64``).
     A row equal to another in id and text stays once; only where there are such rows
     among those to keep are the texts shuffled for it.
     """
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    texts = _near_duplicates(docs, shingle).where(first).groupBy("root", "doc_id", "text_hash")
+    texts = _near_duplicates(docs, shingle, similar).where(first).groupBy("root", "doc_id", "text_hash")
     kept = stored(
         texts.agg(F.count(F.lit(1)).alias("n"))
         .groupBy("root", "doc_id")
