@@ -13,11 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullspark.llm.common import WORD, row_text, stored
+from lullspark.llm.common import WORD, numbered, row_text, stored
 
 WEIGHTS = (5, 2, 1)
 # Hexadecimal digits of the key that make a range: 4096 ranges for each source.
 RANGE_DIGITS = 3
+# Chunks in which equal ids at a cut are numbered.
+CHUNKS = 256
 GROUP = ["_named", "_name"]
 
 
@@ -115,16 +117,42 @@ def mix(
 def mixed_documents(docs: DataFrame, **settings: float) -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says, with their columns.
 
-    Documents with the same id are told apart by source and size; those equal in all
-    three get the number of copies of one of them.
+    Documents with the same id are told apart by source and size. Among those equal in
+    all three, the copies go in the order of their texts' hashes; their numbers differ by
+    one at most, and only in the group that a source's cut falls into.
     """
-    copies = mix(docs, **settings).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies"))
+    group = ["doc_id", "source", "size"]
+    copies = stored(
+        mix(docs, **settings)
+        .groupBy(*group)
+        .agg(F.min("copies").alias("least"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("more"))
+        .where("least > 0 OR more > 0"),
+        "mix-copies",
+    )
     d = docs.withColumn("_llm_size", word_count(row_text())).alias("d")
-    c = copies.where("copies > 0").alias("c")
+    c = copies.alias("c")
     same = (
         F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
         & F.col("d.source").eqNullSafe(F.col("c.source"))
         & (F.col("d._llm_size") == F.col("c.size"))
     )
-    repeated = d.join(c, same).withColumn("_llm_copy", F.explode(F.sequence(F.lit(1).cast("long"), "c.copies")))
-    return repeated.select(*[F.col(f"d.{name}") for name in docs.columns])
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        several = rows.withColumn("_llm_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+        return several.select(*[F.col(f"d.{name}") for name in docs.columns])
+
+    whole = repeated(d.join(c.where("more = 0"), same), F.col("c.least"))
+    if not copies.where("more > 0").limit(1).count():
+        return whole
+    own = F.struct(*[F.col(f"d.{name}") for name in docs.columns]).alias("d")
+    cut = d.join(c.where("more > 0"), same).select(
+        own,
+        "c.least",
+        "c.more",
+        F.xxhash64("c.doc_id", "c.source", "c.size").alias("_llm_group"),
+        F.xxhash64(row_text("d.text")).alias("_llm_text"),
+    )
+    chunked = cut.withColumn("_llm_chunk", F.pmod("_llm_text", F.lit(CHUNKS)))
+    placed = numbered(chunked, ["_llm_group"], "_llm_chunk", ["_llm_text"], "_llm_place")
+    extra = (F.col("_llm_place") < F.col("more")).cast("long")
+    return whole.unionByName(repeated(placed, F.col("least") + extra))

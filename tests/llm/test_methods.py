@@ -242,3 +242,14 @@ def test_mixed_text_falls_into_spans(spark):
     assert spans[0] == (words["de"], "de") and spans[1][1] == "en" and len(spans) == 2
     held = [(got[i]["lang_pred"], la) for i, _, la in rows if got[i]["held_out"]]
     assert len(held) > 10 and all(a == b for a, b in held)
+
+
+def test_mixed_documents_meet_the_budget_where_ids_repeat(spark):
+    rows = [(None, f"one two {i}", "a") for i in range(100)] + [(1, "same words here", "b")] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    settings = {"weights": (3, 1), "share": 0.5}
+    want = mixing.mix(frame, **settings).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    found = mixing.mixed_documents(frame, **settings)
+    got = found.groupBy("source").count().collect()
+    assert {r["source"]: r["n"] for r in want} == {r["source"]: r["count"] for r in got} == {"a": 53, "b": 18}
+    assert found.where("source = 'a'").distinct().count() == 53
