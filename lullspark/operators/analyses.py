@@ -179,9 +179,15 @@ def value_profile(long: DataFrame, keys: Sequence[str], value: str = "value") ->
 
 
 def event_feature_matrix(
-    events: DataFrame, x: str, y: str, size: str, color: str, min_duration_days: float = 0
+    events: DataFrame,
+    x: str,
+    y: str,
+    size: str,
+    color: str,
+    min_duration_days: float = 0,
+    keys: Sequence[str] = ("start_time",),
 ) -> DataFrame:
-    """Four chosen features per event for a bubble chart; missing values are 0."""
+    """Four chosen features per event, beside its ``keys``, for a bubble chart; missing values are 0."""
     kept = events.where(F.col("duration_days") >= min_duration_days)
 
     def feature(name: str) -> Column:
@@ -191,7 +197,7 @@ def event_feature_matrix(
         return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
     return kept.select(
-        "start_time",
+        *keys,
         feature(x).alias("x"),
         feature(y).alias("y"),
         feature(size).alias("z"),

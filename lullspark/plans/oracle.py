@@ -206,6 +206,13 @@ Q["event_feature_matrix"] = (
     0.0::DOUBLE AS color, {dec(up('duration * 100', str(DAY)))} AS duration_days FROM dl WHERE threshold = 0.35)
     WHERE duration_days >= 0.05"""
 )
+Q["event_feature_matrix_thresholds"] = (
+    QUARTER
+    + f"""SELECT * FROM (SELECT threshold, start_time, {dec(up('duration * 100', str(DAY)))} AS x,
+    coalesce({dec(away('4 * r_during - n_during * base', '4'))}, 0) AS y, coalesce(CAST(in_range AS INTEGER), 0)::DOUBLE AS z,
+    0.0::DOUBLE AS color, {dec(up('duration * 100', str(DAY)))} AS duration_days FROM dl)
+    WHERE duration_days >= 0.05"""
+)
 
 # --- weather ---
 SHIPPED = "epoch_us(l_shipdate) // 1000 + (l_linenumber - 1) * 10800000"
@@ -504,6 +511,10 @@ def doubles(fmt: str = "v_{n}") -> str:
 CLEARED = "nullif(v_{n}, -10000000000)"
 Q["widen_series"] = with_(EV, LONG, wide()) + f"SELECT {KEYS}, is_bucket AS is_bucket_timestamp, {doubles()} FROM wide"
 Q["union_feeds"] = with_(EV, LONG) + "SELECT series, is_bucket AS is_bucket_timestamp, count(*) AS n FROM feed GROUP BY 1, 2"
+Q["union_feeds_rows"] = (
+    with_(EV, LONG)
+    + f"SELECT series, {KEYS}, {dec('v')} AS value, is_bucket AS is_bucket_timestamp, seq FROM feed"
+)
 _MERGED = ", ".join(
     [f"coalesce(d.v_{n}, b.v_{n}) AS v_{n}" for n in FEED[:3]] + [f"b.v_{n} AS v_{n}" for n in FEED[3:]]
 )
@@ -516,6 +527,16 @@ Q["upsert_sparse"] = (
     )
     + f"SELECT {KEYS}, is_bucket AS is_bucket_timestamp, {doubles()} FROM m"
 )
+Q["upsert_sparse_whole"] = (
+    with_(
+        EV, LONG, wide("b", f"ts < {TWENTIETH}"), wide("d", f"ts >= {TENTH}"),
+        f"""m AS (SELECT coalesce(b.ts, d.ts) AS ts, coalesce(b.region, d.region) AS region, coalesce(b.resolution, d.resolution) AS resolution,
+        CASE WHEN b.ts IS NOT NULL THEN b.is_bucket ELSE d.is_bucket END AS is_bucket,
+        {", ".join(f"coalesce(d.v_{n}, b.v_{n}) AS v_{n}" for n in FEED)}
+        FROM b FULL JOIN d ON b.ts = d.ts AND b.region = d.region AND b.resolution = d.resolution)""",
+    )
+    + f"SELECT {KEYS}, is_bucket AS is_bucket_timestamp, {doubles()} FROM m"
+)
 Q["bucket_starts"] = with_(EV, feed(1), wide()) + f"SELECT {KEYS} FROM wide WHERE v_view = -10000000000 AND is_bucket"
 Q["clear_sentinel"] = with_(EV, LONG, wide()) + f"SELECT {KEYS}, {doubles(CLEARED)} FROM wide"
 Q["drop_empty_rows"] = (
@@ -575,6 +596,12 @@ Q["merge_series"] = (
     coalesce(raw.resolution, pc.resolution) AS resolution, {dec('total')} AS power_consumption_total, last_time, current_price
     FROM raw FULL JOIN pc ON raw.ts = pc.ts AND raw.region = pc.region AND raw.resolution = pc.resolution"""
 )
+Q["merge_series_whole"] = (
+    with_(EV, grid(), sparse(), change("sp", HOUR))
+    + f"""SELECT coalesce(sp.ts, pc.ts) AS unix_timestamp_ms, coalesce(sp.region, pc.region) AS region,
+    coalesce(sp.resolution, pc.resolution) AS resolution, {dec('total')} AS power_consumption_total, last_time, current_price
+    FROM sp FULL JOIN pc ON sp.ts = pc.ts AND sp.region = pc.region AND sp.resolution = pc.resolution"""
+)
 _LOCAL = "timezone('Europe/Berlin', to_timestamp(ts / 1000))"
 Q["wall_clock"] = (
     with_(DAYS) + f"SELECT {KEYS}, epoch_ms({_LOCAL}) AS wall_ms, strftime({_LOCAL}, '%Y/%m/%d %H:%M') AS label FROM days"

@@ -248,6 +248,17 @@ def event_feature_matrix(spark, sf):
     )
 
 
+@query
+def event_feature_matrix_thresholds(spark, sf):
+    stats = enrich.calendar(enrich.price_delta(enrich.extent(event_prices(spark, sf))))
+    return plain(
+        analyses.event_feature_matrix(
+            stats, "duration_days", "extent", "in_before_after_range", "hourly_repi_30mix",
+            min_duration_days=0.05, keys=["threshold", "start_time"],
+        )
+    )
+
+
 # --- derived series ---------------------------------------------------------
 
 
@@ -316,6 +327,12 @@ def union_feeds(spark, sf):
     return both.groupBy("series", "is_bucket_timestamp").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def union_feeds_rows(spark, sf):
+    feed = P.long_feed(spark, sf)
+    return plain(upsert.union_feeds(feed.where("is_bucket_timestamp"), feed.where("not is_bucket_timestamp")))
+
+
 @query
 def upsert_sparse(spark, sf):
     feed = P.long_feed(spark, sf)
@@ -326,6 +343,14 @@ def upsert_sparse(spark, sf):
     return plain(upsert.upsert_sparse(base, delta, measures=FEED_SERIES))
 
 
+@query
+def upsert_sparse_whole(spark, sf):
+    feed = P.long_feed(spark, sf)
+    base = upsert.widen(feed.where(F.col("unix_timestamp_ms") < TWENTIETH), names=FEED_SERIES)
+    delta = upsert.widen(feed.where(F.col("unix_timestamp_ms") >= TENTH), names=FEED_SERIES)
+    return plain(upsert.upsert_sparse(base, delta, measures=FEED_SERIES))
+
+
 @query
 def bucket_starts(spark, sf):
     return upsert.bucket_starts(upsert.widen(P.long_feed(spark, sf, step_ms=1), names=FEED_SERIES), "view")
@@ -430,6 +455,13 @@ def merge_series(spark, sf):
     return plain(series.merge_series(raw, series.price_change(grid).select(*KEYS, "last_time", "current_price")))
 
 
+@query
+def merge_series_whole(spark, sf):
+    grid = sparse_price(spark, sf)
+    raw = grid.select(*KEYS, "power_consumption_total")
+    return plain(series.merge_series(raw, series.price_change(grid).select(*KEYS, "last_time", "current_price")))
+
+
 @query
 def wall_clock(spark, sf):
     days = P.daily_by_region(spark, sf)

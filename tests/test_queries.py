@@ -49,3 +49,15 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_whole_inputs_keep_what_the_thin_queries_leave_out(spark):
+    def run(name):
+        return QUERIES[name](spark, SF_DIR).toPandas()
+
+    matrix = run("event_feature_matrix_thresholds")
+    assert set(matrix["threshold"]) == {0.3, 0.35, 0.4} and len(matrix) > len(run("event_feature_matrix"))
+    assert run("union_feeds_rows").shape[0] == run("union_feeds")["n"].sum()
+    thin, whole = run("upsert_sparse"), run("upsert_sparse_whole")
+    assert whole["purchase"].count() > thin["purchase"].count() and whole["error"].count() > thin["error"].count()
+    assert run("merge_series_whole")["power_consumption_total"].count() > run("merge_series")["power_consumption_total"].count()
