@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ def previous_value(
     """Adds ``last_time`` and ``last_value`` of the row before, however far back it is.
 
     Rows look back within their chunk; the first of a chunk gets the last row of the
-    chunk before it that has any, from a table of one row per chunk. Keys must not be null.
+    chunk before it that has any, from a table of one row per chunk. A null key is a key
+    like any other; a row without a time has no row before it and is before no row.
     """
     by_chunk = [*keys, CHUNK]
     rows = with_time_chunk(df, ts, chunk_ms)
@@ -53,10 +56,13 @@ def previous_value(
     near = rows.withColumns(
         {"_first": F.row_number().over(inside) == 1, "_lt": F.lag(ts).over(inside), "_lv": F.lag(value).over(inside)}
     )
-    return near.join(carried, by_chunk).select(
-        *df.columns,
-        F.when(F.col("_first"), F.col("_time")).otherwise(F.col("_lt")).alias("last_time"),
-        F.when(F.col("_first"), F.col("_value")).otherwise(F.col("_lv")).alias("last_value"),
+    n, c = near.alias("n"), carried.alias("c")
+    same = reduce(and_, [F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by_chunk])
+    timed = F.col(f"n.{ts}").isNotNull()
+    return n.join(c, same).select(
+        *[F.col(f"n.{name}") for name in df.columns],
+        F.when(timed, F.when(F.col("_first"), F.col("_time")).otherwise(F.col("_lt"))).alias("last_time"),
+        F.when(timed, F.when(F.col("_first"), F.col("_value")).otherwise(F.col("_lv"))).alias("last_value"),
     )
 
 

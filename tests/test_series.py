@@ -177,3 +177,13 @@ def test_previous_value_over_any_gap(spark):
     df = spark.createDataFrame([("DE", "hour", t, i) for i, t in enumerate(times)], "region string, resolution string, unix_timestamp_ms long, v int")
     got = {r.unix_timestamp_ms: (r.last_time, r.last_value) for r in series.previous_value(df, "v").collect()}
     assert got == {t: (times[i - 1], i - 1) if i else (None, None) for i, t in enumerate(times)}
+
+
+def test_previous_value_keeps_null_keys_and_times(spark):
+    rows = [(None, 1, 10), (None, 100, 11), ("a", 2, 20), ("a", 90, 21), ("a", None, 22), ("a", None, 23), (None, None, 12)]
+    df = spark.createDataFrame(rows, "k string, ts long, v long")
+    got = {r.v: (r.last_time, r.last_value) for r in series.previous_value(df, "v", ["k"], "ts", chunk_ms=10).collect()}
+    assert got == {
+        10: (None, None), 11: (1, 10), 20: (None, None), 21: (2, 20),
+        22: (None, None), 23: (None, None), 12: (None, None),
+    }
