@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullspark.llm import decontaminate, exact_dedup, katz, language_id, mixing, secrets_scan, sharding, simhash, warc
+from lullspark.llm import (
+    centroids,
+    decontaminate,
+    exact_dedup,
+    katz,
+    language_id,
+    merkle,
+    mixing,
+    neighbours,
+    secrets_scan,
+    sharding,
+    simhash,
+    warc,
+)
 from lullspark.llm.common import table
 from lullspark.llm.url_filter import host_of, judge_urls
 
@@ -82,3 +95,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 20 against all other rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
