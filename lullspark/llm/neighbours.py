@@ -37,9 +37,8 @@ CELL_ROWS = 4096
 MOST_CELLS = 4096
 CHUNK_ROWS = 16384
 BOX_ROWS = 256
-# Queries that a task runs together, cells of the first rounds.
+# Queries that a task runs together.
 BATCH = 256
-FIRST_CELLS = (1, 4)
 
 
 def chi_square(x: np.ndarray, freedom: int) -> np.ndarray:
@@ -84,7 +83,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     ids; no query can need more copies of one vector. Spark limits the rows of a copied
     vector before the shuffle."""
     copies = Window.partitionBy("hash", "vector").orderBy("vec_id")
-    few = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
+    few = rows.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1)
     return few.groupBy("hash", "vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
@@ -207,7 +206,7 @@ def stop_gap(worst: np.ndarray, longest: float, reach: float) -> np.ndarray:
 
 class Kind(NamedTuple):
     """What tasks know of the vectors of one dimension: projections, the upper tree, norms
-    of bands, and of each cell its band, box and numbers of its parts."""
+    of bands, and of each cell its band, box, rows and numbers of its parts."""
 
     normal: np.ndarray
     tree: Tree
@@ -215,22 +214,26 @@ class Kind(NamedTuple):
     cells: list[tuple[int, range]]
     low: np.ndarray
     high: np.ndarray
+    rows: np.ndarray
 
     def project(self, vectors: np.ndarray, norms: np.ndarray, longest: np.ndarray) -> np.ndarray:
         """Projections of vectors scaled by ``longest`` and lifted onto the unit sphere."""
         up = np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))
         return (vectors / longest[:, None]) @ self.normal[:-1] + up[:, None] * self.normal[-1]
 
-    def parts(self, units: np.ndarray, worst: np.ndarray, reach: float, first: int, last: int | None) -> list[list[int]]:
-        """For each unit query the parts of its cells number ``first`` to ``last``, the
-        most promising first, as far as the stopping test leaves any."""
+    def parts(self, units: np.ndarray, worst: np.ndarray, reach: float, first: float, last: float) -> list[list[int]]:
+        """For each unit query the parts of some of its cells, as far as the stopping test
+        leaves any: the cells that, the most promising first, have ``first`` to ``last``
+        rows before them."""
         lifted = units @ self.normal[:-1]
         gaps = box_gaps(lifted, self.low, self.high)
         radius = np.array([self.longest[band] for band, _ in self.cells])
         hope = radius * (1 - gaps / (2 * self.normal.shape[1]))
-        order = np.argsort(-hope, 1, kind="stable")[:, first:last]
+        order = np.argsort(-hope, 1, kind="stable")
+        before = self.rows[order].cumsum(1) - self.rows[order]
         going = gaps < reach * np.maximum(0, 2 - 2 * worst[:, None] / radius)
-        return [[p for c in mine if going[q, c] for p in self.cells[c][1]] for q, mine in enumerate(order)]
+        now = np.take_along_axis(going, order, 1) & (before >= first) & (before < last)
+        return [[p for c in order[q, now[q]] for p in self.cells[c][1]] for q in range(len(units))]
 
 
 def _vectors(column: pa.ListArray, width: int) -> np.ndarray:
@@ -261,18 +264,18 @@ def build_index(rows: DataFrame, k: int, count: int = PROJECTIONS) -> Index:
     # A band is the rounded binary logarithm of the norm: long vectors do not blur short ones.
     flat = stored(named.withColumn("band", F.round(F.log2("norm")).cast("int")), "ann-vectors")
     kinds: dict[int, Kind] = {}
-    sizes: dict[int, int] = {}
+    totals: dict[int, int] = {}
     for row in flat.groupBy("dim", "band").agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("n")).collect():
-        known = kinds.setdefault(row["dim"], Kind(projections(row["dim"], count), None, {}, [], None, None))
+        known = kinds.setdefault(row["dim"], Kind(projections(row["dim"], count), None, {}, [], None, None, None))
         known.longest[row["band"]] = row["most"]
-        sizes[row["dim"]] = sizes.get(row["dim"], 0) + row["n"]
+        totals[row["dim"]] = totals.get(row["dim"], 0) + row["n"]
     some = flat.withColumn("_nth", F.row_number().over(Window.partitionBy("dim").orderBy("hash")))
     samples: dict[int, list] = {dim: [] for dim in kinds}
     for row in some.where(F.col("_nth") <= SAMPLE_ROWS).select("dim", "band", "norm", "vector").toLocalIterator():
         samples[row["dim"]].append((row["vector"], row["norm"], kinds[row["dim"]].longest[row["band"]]))
     for dim, sample in samples.items():
         points = kinds[dim].project(*(np.array(x, np.float64) for x in zip(*sample, strict=True)))
-        depth = math.ceil(math.log2(max(1, min(MOST_CELLS, sizes[dim] / CELL_ROWS))))
+        depth = math.ceil(math.log2(max(1, min(MOST_CELLS, totals[dim] / CELL_ROWS))))
         kinds[dim] = kinds[dim]._replace(tree=fit_tree(points, depth))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,16 +295,20 @@ def build_index(rows: DataFrame, k: int, count: int = PROJECTIONS) -> Index:
     boxes = placed.groupBy("dim", "band", "cell").agg(F.count(F.lit(1)).alias("n"), *edges)
     lows: dict[int, list] = {dim: [] for dim in kinds}
     highs: dict[int, list] = {dim: [] for dim in kinds}
+    sizes = {dim: [] for dim in kinds}
     starts, following = [], 0
     for row in boxes.orderBy("dim", "band", "cell").collect():
         chunks = math.ceil(row["n"] / CHUNK_ROWS)
         kinds[row["dim"]].cells.append((row["band"], range(following, following + chunks)))
         lows[row["dim"]].append([row[f"low{i}"] for i in range(count)])
         highs[row["dim"]].append([row[f"high{i}"] for i in range(count)])
+        sizes[row["dim"]].append(row["n"])
         starts.append((row["dim"], row["band"], row["cell"], following, chunks))
         following += chunks
     for dim in kinds:
-        kinds[dim] = kinds[dim]._replace(low=np.array(lows[dim]), high=np.array(highs[dim]))
+        kinds[dim] = kinds[dim]._replace(
+            low=np.array(lows[dim]), high=np.array(highs[dim]), rows=np.array(sizes[dim], np.int64)
+        )
     # One row for each cell, at most MOST_CELLS for each dimension and band.
     numbers = F.broadcast(rows.sparkSession.createDataFrame(starts, "dim int, band int, cell int, start int, chunks int"))
     part = F.col("start") + F.pmod(F.col("hash"), F.col("chunks")).cast("int")
@@ -311,7 +318,7 @@ def build_index(rows: DataFrame, k: int, count: int = PROJECTIONS) -> Index:
 ENTRY = "struct<neg: double, first: bigint, ids: array<bigint>>"
 
 
-def _visits(state: DataFrame, kinds: dict[int, Kind], reach: float, first: int, last: int | None) -> DataFrame:
+def _visits(state: DataFrame, kinds: dict[int, Kind], reach: float, first: float, last: float) -> DataFrame:
     """``part`` and the query's columns, one row for each part that a query visits now."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +444,8 @@ def nearest_neighbours(
         }
     )
     state = stored(state, "ann-queries")
-    edges = [0, *np.cumsum(FIRST_CELLS).tolist(), None]
+    # The nearest cell, or as many as hold half a cell's rows; a few more; all the others.
+    edges = [0, CELL_ROWS // 2, 4 * CELL_ROWS, math.inf]
     for first, last in zip(edges, edges[1:]):
         visits = stored(_visits(state, index.kinds, reach, first, last), "ann-visits")
         found = _verify(index, visits, keep, reach).groupBy("query").agg(

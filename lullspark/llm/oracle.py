@@ -126,3 +126,112 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM doc_words LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 """
+
+
+def _clustering(rounds: int) -> str:
+    """The rounds one after the other: ``c{i}`` are centroids, ``a{i}`` assignments."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM points, c{i})
+  GROUP BY r
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS (
+  SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY p) AS m
+  FROM (SELECT c, p, sum(x[p]) AS s, count(*) AS n
+        FROM a{i} JOIN points USING (r), unnest(generate_series(1, 64)) AS t(p) GROUP BY c, p)
+  GROUP BY c
+), c{i + 1} AS (
+  SELECT c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} USING (c)
+)"""
+            )
+    return ", ".join(steps)
+
+
+ORACLE["op12_centroids"] = f"""
+WITH points AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x AS m
+  FROM points QUALIFY c < 40
+), {_clustering(5)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a5 JOIN points USING (r) JOIN c5 USING (c)
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+# CRC-32 of a decimal number, bit by bit; 3988292384 is its reflected polynomial.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda z: CAST(0 AS BIGINT))),
+                               lambda bits, z: xor(bits >> 1, 3988292384 * (bits & 1)))))"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels; ``n`` is the number of nodes of their level."""
+    return f"""{name} AS (
+  SELECT CAST(0 AS BIGINT) AS level, g, i, n, digest FROM {leaves}
+  UNION ALL
+  SELECT level + 1, g, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i))
+  FROM {name} WHERE n > 1 GROUP BY level, g, i // 16, n
+)"""
+
+
+def _sides(tree: str, leaves: str) -> str:
+    """For each leaf and level, the run that it is in, without its own node."""
+    return f"""
+  SELECT l.g, l.i, t.level,
+         coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i < l.i // CAST(16 ** t.level AS BIGINT)), '') AS before,
+         coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i > l.i // CAST(16 ** t.level AS BIGINT)), '') AS after
+  FROM {leaves} l JOIN {tree} t
+    ON t.g = l.g AND t.n > 1 AND t.i // 16 = l.i // CAST(16 ** (t.level + 1) AS BIGINT)
+  GROUP BY l.g, l.i, t.level"""
+
+
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, {_leaf("text")} AS digest,
+               CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 5 = 0
+                    THEN {_leaf(LOWER.format("text"))} ELSE {_leaf("text")} END AS changed
+        FROM documents)
+), {_tree("base", "leaves")}, subroots AS (
+  SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, digest
+  FROM base WHERE n = 1
+), {_tree("upper", "subroots")}, steps AS (
+  SELECT b.g, b.i, 0 AS stage, level, before, after FROM ({_sides("base", "leaves")}) b
+  UNION ALL
+  SELECT l.g, l.i, 1, level, before, after
+  FROM leaves l JOIN subroots s ON s.name = l.g JOIN ({_sides("upper", "subroots")}) u ON u.i = s.i
+), paths AS (
+  SELECT g, i, string_agg(before || after, '' ORDER BY stage, level) AS proof,
+         list(before || '|' || after ORDER BY stage, level) AS sides
+  FROM steps GROUP BY g, i
+), folded AS (
+  SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, (SELECT digest FROM upper WHERE n = 1) AS root,
+         sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(l.changed, coalesce(sides, [])),
+                     lambda node, side: sha256(split_part(side, '|', 1) || node || split_part(side, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots s ON s.name = l.g LEFT JOIN paths p ON p.g = l.g AND p.i = l.i
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""

@@ -106,7 +106,7 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("n_exact")
 
 
 @query
