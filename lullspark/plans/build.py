@@ -12,11 +12,12 @@ from lullspark.operators.events import find_events
 from lullspark.operators.upsert import clear_sentinel
 from lullspark.registry import MEASURES, THRESHOLDS
 from lullspark.session import materialise
-from lullspark.sources.tables import publish, scan
+from lullspark.sources.tables import SPAN_MS, publish, scan
 
 DAY_MS = 86_400_000
 # About 100 bytes each, so a broadcast stays near 50 MB.
 BROADCAST_PIECES = 500_000
+SERIES_PARTS = ["resolution", "region"]
 WEATHER_KEY = [["date_ms", "resolution"]]
 EVENT_KEY = [["threshold_percent", "region", "resolution", "start_time", "end_time"]]
 
@@ -70,12 +71,15 @@ def build_tables(
     """
     landed = scan(spark, root, market)
     source = clear_sentinel(landed, [c for c in MEASURES if c in landed.columns])
-    publish(series.share_series(source), root, "shares", ["resolution", "region"])
-    publish(series.price_change(source), root, "price_changes", ["resolution", "region"])
-    publish(weather.aggregate_forecast(scan(spark, root, forecast_points)), root, "forecasts", ["model"])
-    publish(weather.weather_history(scan(spark, root, weather_points)), root, "weather", ["resolution"], WEATHER_KEY)
+    of_time = {"ts": "unix_timestamp_ms"}
+    publish(series.share_series(source), root, "shares", SERIES_PARTS, **of_time)
+    publish(series.price_change(source), root, "price_changes", SERIES_PARTS, **of_time)
+    forecasts = weather.aggregate_forecast(scan(spark, root, forecast_points))
+    publish(forecasts, root, "forecasts", ["model"], ts="timestamp_s", width=SPAN_MS // 1000)
+    history = weather.weather_history(scan(spark, root, weather_points))
+    publish(history, root, "weather", ["resolution"], WEATHER_KEY, ts="date_ms")
     events = enriched_thresholds(
         source, scan(spark, root, "shares"), scan(spark, root, "weather"), **event_options
     )
-    publish(events, root, "events", ["threshold_percent"], EVENT_KEY)
+    publish(events, root, "events", ["threshold_percent"], EVENT_KEY, ts="start_time")
     return ["shares", "price_changes", "forecasts", "weather", "events"]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lullspark.operators import series
 from lullspark.operators.events import find_events
 from lullspark.operators.trend import trailing_event_trend
 from lullspark.registry import check_range, check_region, check_resolution, step_ms
+from lullspark.sources.tables import scan_range
 
 SHARE = "share_of_renewable_energies_computed"
 # Default search window, threshold and longest minimum duration.
@@ -24,6 +25,14 @@ def _check(max_share: float, min_duration_ms: int) -> None:
         raise ValueError(f"bad minimum duration: {min_duration_ms}")
 
 
+def stored_series(
+    spark: SparkSession, root: str, name: str, region: str, resolution: str, start_ms: int, end_ms: int
+) -> DataFrame:
+    """One series of a published table in a closed time range; other spans are not opened."""
+    check_region(region), check_resolution(resolution), check_range(start_ms, end_ms)
+    return scan_range(spark, root, name, series.TS, start_ms, end_ms, {"region": region, "resolution": resolution})
+
+
 def search_events(
     share_rows: DataFrame,
     region: str = "DE",

@@ -28,7 +28,8 @@ def build_session(app: str = "lullspark", master: str | None = None, **conf: str
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, taken from ``spark.checkpoint.dir``.
 
-    Unset, it is a folder of the warehouse, which all executors share as well.
+    Unset, it is a folder of the warehouse, which all executors share as well; on a cluster
+    whose warehouse is a folder of one machine it must be set.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -36,7 +37,10 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not context.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = posixpath.join(warehouse, "_checkpoints")
     context.setCheckpointDir(configured)
     return configured
 

@@ -158,3 +158,80 @@ def test_value_profile_counts_all_digits(spark):
     data = [("a", 0.123456789012), ("a", 12.5), ("b", 1.5e-7), ("c", 3e20), ("d", 0.0), ("e", None)]
     got = analyses.value_profile(spark.createDataFrame(data, "k string, value double"), ["k"])
     assert {r.k: r.max_fraction_digits for r in got.collect()} == {"a": 12, "b": 8, "c": 0, "d": 0, "e": None}
+
+
+def hourly(spark, days, regions=("DE", "AT"), t0=1_704_067_200_000):
+    return spark.range(24 * days * len(regions)).selectExpr(
+        f"{t0}L + (id div {len(regions)}) * 3600000L AS unix_timestamp_ms",
+        f"element_at(array({', '.join(map(repr, regions))}), cast(id % {len(regions)} + 1 AS int)) AS region",
+        "'hour' AS resolution",
+        "cast(id AS int) AS v",
+    )
+
+
+def scanned(df):
+    """Files and rows that a read's scan has opened and given out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    metrics = plan.collectLeaves().head().metrics()
+    return [metrics.apply(m).value() for m in ("numFiles", "numOutputRows")]
+
+
+def test_a_day_of_a_stored_table_reads_little(spark, tmp_path):
+    root, day = str(tmp_path), 86_400_000
+    rows_of, ts = hourly(spark, 3650).repartition(5), "unix_timestamp_ms"
+    at = 1_704_067_200_000 + 1000 * day
+    tables.publish(rows_of, root, "t", ["resolution", "region"], ts=ts)
+    read = tables.scan_range(spark, root, "t", ts, at, at + day - 1, {"region": "DE"})
+    # One file: the four weeks of the day, of one region.
+    assert scanned(read) == [1, 672] and read.count() == 24
+    assert tables.scan(spark, root, "t").count() == 2 * 24 * 3650
+    # In a file of ten years only few of the row groups, which lie in order of time, are read.
+    tables.publish(rows_of, root, "long", ["resolution", "region"], ts=ts, width=5000 * day, row_group=65536)
+    files, found = scanned(tables.scan_range(spark, root, "long", ts, at, at + day - 1, {"region": "DE"}))
+    assert files <= 2 and 24 <= found < 0.15 * 24 * 3650
+    # A hot span is split over files, each with its own stretch of time.
+    tables.publish(hourly(spark, 28, ["DE"]).repartition(4), root, "hot", ["region"], ts="unix_timestamp_ms", check_key=False)
+    assert tables.scan(spark, root, "hot").count() == 28 * 24
+
+
+def test_replacing_a_day_rewrites_its_span(spark, tmp_path):
+    root, day, ts = str(tmp_path), 86_400_000, "unix_timestamp_ms"
+    tables.publish(hourly(spark, 400), root, "t", ["resolution", "region"], ts=ts)
+    before = tables.version(spark, root, "t")
+    reader = tables.scan(spark, root, "t")
+    lo = 1_704_067_200_000 + 200 * day
+    fresh = hourly(spark, 400).where((F.col(ts) >= lo) & (F.col(ts) < lo + 12 * 3_600_000) & (F.col("region") == "DE"))
+    fresh = fresh.withColumn("v", F.lit(-1))
+    tables.replace_stored_range(fresh, root, "t", ts, lo, lo + day, {"region": "DE"})
+    after = tables.version(spark, root, "t")
+    changed = tables.changed_folders(before, after)
+    assert len(changed) == 1 and changed[0]["region"] == "DE"
+    assert len(set(after.folders) - set(before.folders)) == 1
+    now = tables.scan(spark, root, "t")
+    assert now.count() == 2 * 9600 - 12 and now.where("v = -1").count() == 12
+    # Readers of the version before still see it.
+    assert reader.where("v = -1").count() == 0 and reader.count() == 2 * 9600
+    # Rows of another span than the range go to theirs and lose nothing there.
+    tables.replace_stored_range(hourly(spark, 401).where(f"{ts} >= {lo + 200 * day}"), root, "t", ts, lo, lo + day, {"region": "AT"})
+    assert tables.scan(spark, root, "t").count() == 2 * 9600 - 12 - 24 + 48
+    with pytest.raises(ValueError, match="not unique"):
+        tables.replace_stored_range(fresh.unionByName(fresh), root, "t", ts, lo, lo + day, {"region": "DE"})
+    assert tables.scan(spark, root, "t").count() == 2 * 9600 - 12 - 24 + 48
+    gone = tables.vacuum(spark, root, "t", keep=1)
+    assert gone == [] or tables.scan(spark, root, "t").count() == 2 * 9600 - 12 - 24 + 48
+
+
+def test_unusual_and_null_partitions(spark, tmp_path):
+    root, kinds = str(tmp_path), "ts long, region string, v int"
+    data = [(t, r, 0) for t in (1, 101) for r in ("a/b", "ä c", None, "x=y")] + [(None, "a/b", 0)]
+    tables.publish(spark.createDataFrame(data, kinds), root, "t", ["region"], ts="ts", width=100, check_key=False)
+    assert rows(tables.scan(spark, root, "t")) == sorted([tuple(d) for d in data], key=repr)
+    for region in ("a/b", "ä c", "x=y"):
+        assert tables.scan_range(spark, root, "t", "ts", 0, 99, {"region": region}).count() == 1
+    new = spark.createDataFrame([(2, None, 9), (3, "a/b", 9)], kinds)
+    tables.replace_stored_range(new, root, "t", "ts", 101, 102, {"region": "ä c"}, check_key=False)
+    want = [d for d in data if d[:2] != (101, "ä c")] + [(2, None, 9), (3, "a/b", 9)]
+    assert rows(tables.scan(spark, root, "t")) == sorted(want, key=repr)
+    tables.publish(spark.createDataFrame([], kinds), root, "none", ["region"], ts="ts", check_key=False)
+    assert tables.scan(spark, root, "none").collect() == []
