@@ -42,7 +42,6 @@ def market_sums(
     residual: str = "power_consumption_residual_load",
     total: str = "power_consumption_total",
     chunk_ms: int = clock.DAY_MS,
-    broadcast_pieces: int = 0,
 ) -> DataFrame:
     """One row per event with the sums every statistic below is built from."""
     r, c, p = F.col(residual), F.col(total), F.col(price)
@@ -67,7 +66,6 @@ def market_sums(
         measures,
         wanted,
         chunk_ms=chunk_ms,
-        broadcast_pieces=broadcast_pieces,
     )
 
 
@@ -212,7 +210,6 @@ def weather_stats(
     date_ms: str = "date_ms",
     keys: Sequence[str] = (),
     chunk_ms: int = clock.DAY_MS,
-    broadcast_pieces: int = 0,
 ) -> DataFrame:
     """Hourly weather strictly between the whole seconds of start and end."""
     hourly = weather.where(F.col("resolution") == "hour").drop("resolution")
@@ -225,7 +222,7 @@ def weather_stats(
         F.expr("end_time div 1000 * 1000 - 1").alias("hi"),
     )
     stats = aggregate_intervals(
-        spans, hourly, EVENT, keys, measures, ts=date_ms, chunk_ms=chunk_ms, broadcast_pieces=broadcast_pieces
+        spans, hourly, EVENT, keys, measures, ts=date_ms, chunk_ms=chunk_ms
     )
     means = [
         F.round(_ratio(F.col(f"s_{c}"), F.col(f"n_{c}")), 2).alias(out) for c, out in WEATHER_MEANS.items()
@@ -260,15 +257,10 @@ def enrich_events(
     tz: str = clock.BERLIN,
     date_ms: str = "date_ms",
     chunk_ms: int = clock.DAY_MS,
-    broadcast_pieces: int = 0,
 ) -> DataFrame:
-    """Every event with its 38 statistics, prefixed by threshold and series keys.
-
-    Pass a written or checkpointed event table with ``broadcast_pieces`` to let a
-    counted, small set of events skip the shuffle of the series.
-    """
-    sums = market_sums(events, market, margin_ms, chunk_ms=chunk_ms, broadcast_pieces=broadcast_pieces)
+    """Every event with its 38 statistics, prefixed by threshold and series keys."""
+    sums = market_sums(events, market, margin_ms, chunk_ms=chunk_ms)
     priced = cost(price_delta(extent(price_stats(load_stats(sums, margin_ms)))))
-    outside = weather_stats(events.select(*EVENT), weather, date_ms, chunk_ms=chunk_ms, broadcast_pieces=broadcast_pieces)
+    outside = weather_stats(events.select(*EVENT), weather, date_ms, chunk_ms=chunk_ms)
     full = calendar(priced, tz).join(outside, EVENT)
     return full.select("threshold", "region", "resolution", *ENRICHED)

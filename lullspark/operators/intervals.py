@@ -1,11 +1,10 @@
 """Aggregates of a series over many time intervals.
 
 A plain ``ts BETWEEN lo AND hi`` join is a nested loop. Here both sides are cut at
-chunk borders. A chunk that lies wholly inside an interval contributes one
-pre-aggregated row; only the two border chunks contribute raw rows. The join is an
-equi join on ``(keys, chunk)``, so it hashes, and a long interval costs one row per
-chunk instead of one per instant. Where the intervals are counted and few, their
-pieces are broadcast and the series is not shuffled at all.
+chunk borders. The chunks that lie wholly inside an interval are covered by dyadic
+blocks, of 1, 2, 4, ... chunks, each with one pre-aggregated row; only the two border
+chunks contribute raw rows. The join is an equi join on ``(keys, level, block)``, so it
+hashes, and an interval of n chunks takes at most 2 log2(n) rows and two borders.
 """
 
 from __future__ import annotations
@@ -21,6 +20,56 @@ DAY_MS = 86_400_000
 MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
+# Blocks of up to 2^12 chunks; longer stretches take several of the largest.
+LEVELS = 12
+
+
+def dyadic_blocks(first: Column, end: Column, levels: int = LEVELS) -> Column:
+    """Array of ``(level, block)`` that cover the chunks from ``first`` to before ``end``.
+
+    Block ``b`` of level ``k`` has the chunks from ``b * 2^k`` on. Of each level at most one
+    block at either end is taken, where its number is odd at the left or, exclusive, right.
+    """
+
+    def block(level: Column | int, number: Column) -> Column:
+        return F.struct(F.lit(level).cast("int").alias("level"), number.cast("long").alias("block"))
+
+    nothing = F.array().cast("array<struct<level:int,block:bigint>>")
+    found = [nothing]
+    for k in range(levels):
+        left, right = -F.shiftright(-first, k), F.shiftright(end, k)
+        going = left < right
+        found.append(F.when(going & (left.bitwiseAND(F.lit(1)) == 1), F.array(block(k, left))).otherwise(nothing))
+        found.append(F.when(going & (right.bitwiseAND(F.lit(1)) == 1), F.array(block(k, right - 1))).otherwise(nothing))
+    left, right = -F.shiftright(-first, levels), F.shiftright(end, levels)
+    top = F.transform(F.sequence(left, F.greatest(right - 1, left)), lambda b: block(levels, b))
+    found.append(F.when(left < right, top).otherwise(nothing))
+    return F.concat(*found)
+
+
+def interval_pieces(intervals: DataFrame, columns: Sequence[str], lo: str, hi: str, chunk_ms: int) -> DataFrame:
+    """``*columns, _lo, _hi, _level, _block``: the blocks of each interval, and at level -1
+    the chunks at its borders that lie only partly inside."""
+    first, last = time_chunk(lo, chunk_ms), time_chunk(hi, chunk_ms)
+    cut = intervals.where(F.col(lo) <= F.col(hi)).select(
+        *columns,
+        F.col(lo).alias("_lo"),
+        F.col(hi).alias("_hi"),
+        first.alias("_first"),
+        last.alias("_last"),
+        (first * chunk_ms < F.col(lo)).alias("_cut_first"),
+        ((last + 1) * chunk_ms - 1 > F.col(hi)).alias("_cut_last"),
+    )
+    start = F.col("_first") + F.col("_cut_first").cast("long")
+    end = F.col("_last") + 1 - F.col("_cut_last").cast("long")
+    border = lambda chunk, here: F.when(
+        here, F.array(F.struct(F.lit(-1).alias("level"), F.col(chunk).alias("block")))
+    ).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+    twice = F.col("_cut_first") & (F.col("_first") == F.col("_last"))
+    pieces = F.concat(border("_first", F.col("_cut_first")), border("_last", F.col("_cut_last") & ~twice), dyadic_blocks(start, end))
+    return cut.select(*columns, "_lo", "_hi", F.inline(pieces)).withColumnsRenamed({"level": "_level", "block": "_block"})
+
+
 def aggregate_intervals(
     intervals: DataFrame,
     series: DataFrame,
@@ -32,7 +81,6 @@ def aggregate_intervals(
     lo: str = "lo",
     hi: str = "hi",
     chunk_ms: int = DAY_MS,
-    broadcast_pieces: int = 0,
 ) -> DataFrame:
     """One row per ``ids`` with aggregates over the closed ``[lo, hi]``.
 
@@ -40,8 +88,6 @@ def aggregate_intervals(
     min or max; they are null where an interval has no row. ``keys`` name the
     series of an interval. With ``wanted`` an id has several intervals told apart
     by a ``role`` column, and each role's measures come out as ``role_measure``.
-    ``broadcast_pieces`` counts the pieces first and broadcasts up to that many; it
-    runs ``intervals``, which should then be a written or checkpointed table.
     """
     ids, keys = list(ids), list(keys)
     states = [
@@ -52,27 +98,18 @@ def aggregate_intervals(
     tags = ["role"] if wanted else []
 
     rows = with_time_chunk(series.select(*keys, ts, *states), ts, chunk_ms)
-    inner = rows.groupBy(*keys, CHUNK).agg(*merged)
-    both = rows.select(*keys, CHUNK, F.lit(False).alias("_whole"), F.col(ts).alias("_ts"), *measures).unionByName(
-        inner.select(*keys, CHUNK, F.lit(True).alias("_whole"), F.lit(None).cast("long").alias("_ts"), *measures)
-    )
-    first, last = time_chunk(lo, chunk_ms), time_chunk(hi, chunk_ms)
-    filled = intervals.where(F.col(lo) <= F.col(hi))
-    pieces = filled.select(
-        *dict.fromkeys([*ids, *keys, *tags]),
-        F.col(lo).alias("_lo"),
-        F.col(hi).alias("_hi"),
-        F.explode(F.sequence(first, last)).alias(CHUNK),
-    ).withColumn(
-        "_whole",
-        (F.col(CHUNK) * chunk_ms >= F.col("_lo")) & ((F.col(CHUNK) + 1) * chunk_ms - 1 <= F.col("_hi")),
+    chunks = rows.groupBy(*keys, CHUNK).agg(*merged)
+    levels = F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS)),
+        lambda k: F.struct(k.alias("_level"), F.call_function("shiftright", F.col(CHUNK), k).alias("_block")),
     )
-    if broadcast_pieces:
-        n = filled.agg(F.sum(last - first + 1)).first()[0] or 0
-        if n <= broadcast_pieces:
-            pieces = F.broadcast(pieces)
-    hit = F.col("_whole") | F.col("_ts").between(F.col("_lo"), F.col("_hi"))
-    met = both.join(pieces, [*keys, CHUNK, "_whole"]).where(hit).select(*ids, *tags, *measures)
+    blocks = chunks.select(*keys, *measures, F.inline(levels)).groupBy(*keys, "_level", "_block").agg(*merged)
+    both = rows.select(
+        *keys, F.lit(-1).alias("_level"), F.col(CHUNK).alias("_block"), F.col(ts).alias("_ts"), *measures
+    ).unionByName(blocks.withColumn("_ts", F.lit(None).cast("long")))
+    pieces = interval_pieces(intervals, list(dict.fromkeys([*ids, *keys, *tags])), lo, hi, chunk_ms)
+    hit = (F.col("_level") >= 0) | F.col("_ts").between(F.col("_lo"), F.col("_hi"))
+    met = both.join(pieces, [*keys, "_level", "_block"]).where(hit).select(*ids, *tags, *measures)
     # One empty row per id keeps those no series row meets, without a join back.
     state_types = dict(both.dtypes)
     blank = intervals.select(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lullspark.operators import enrich, series, weather
+from lullspark.operators import enrich, level_sets, series, weather
+from lullspark.operators.chunks import CHUNK
 from lullspark.operators.events import find_events
 from lullspark.operators.upsert import clear_sentinel
 from lullspark.registry import MEASURES, THRESHOLDS
@@ -15,8 +16,7 @@ from lullspark.session import materialise
 from lullspark.sources.tables import SPAN_MS, publish, scan
 
 DAY_MS = 86_400_000
-# About 100 bytes each, so a broadcast stays near 50 MB.
-BROADCAST_PIECES = 500_000
+SHARE = "share_of_renewable_energies_computed"
 SERIES_PARTS = ["resolution", "region"]
 WEATHER_KEY = [["date_ms", "resolution"]]
 EVENT_KEY = [["threshold_percent", "region", "resolution", "start_time", "end_time"]]
@@ -50,12 +50,28 @@ def enriched_thresholds(
     )
     # The search runs once; load, price and weather statistics all read its result.
     events = materialise(found)
-    enriched = enrich.enrich_events(
-        events, picked(market), weather_rows, margin_ms, broadcast_pieces=BROADCAST_PIECES
-    )
+    enriched = enrich.enrich_events(events, picked(market), weather_rows, margin_ms)
     return enriched.withColumn("threshold_percent", F.round(F.col("threshold") * 100).cast("int"))
 
 
+def publish_level_sets(spark: SparkSession, root: str, value: str = SHARE) -> None:
+    """The level-set tree of the published shares: the table ``level_sets`` of chunks, cut
+    by time so that a chunk can be replaced, and ``level_sets_upper`` of what spans chunks."""
+    publish(stored_chunks(scan(spark, root, "shares"), value), root, "level_sets", SERIES_PARTS, check_key=False, ts="chunk_start")
+    publish_upper_sets(spark, root)
+
+
+def stored_chunks(share_rows: DataFrame, value: str = SHARE) -> DataFrame:
+    chunks = level_sets.chunk_sets(share_rows, value)
+    return chunks.withColumn("chunk_start", F.col(CHUNK) * level_sets.CHUNK_MS).drop(CHUNK)
+
+
+def publish_upper_sets(spark: SparkSession, root: str) -> None:
+    stored = scan(spark, root, "level_sets").where("opens is not null")
+    summaries = stored.withColumn(CHUNK, F.expr(f"chunk_start div {level_sets.CHUNK_MS}L"))
+    publish(level_sets.upper_sets(summaries), root, "level_sets_upper", SERIES_PARTS, check_key=False)
+
+
 def build_tables(
     spark: SparkSession,
     root: str,

@@ -108,6 +108,8 @@ Q["search_events"] = (
     with_(EV, grid(), search("g", WS_SHARE, [0.35], 2 * HOUR, f"ts BETWEEN {JAN} AND {TWENTIETH}"))
     + "SELECT start_time, region, resolution, end_time FROM found"
 )
+Q["search_stored_events"] = Q["search_events"]
+Q["events_level_sets"] = Q["events_multi_threshold"]
 Q["state_transitions"] = (
     with_(DAYS, search("days", DAY_SHARE, SEARCH, 0))
     + "SELECT ts AS unix_timestamp_ms, region, resolution, threshold, event_bucket FROM found_t"
@@ -561,6 +563,7 @@ Q["replace_range_stored"] = (
     + f"""SELECT timestamp_s, s_nationkey, model, {dec(f"wind_speed_80m + CASE WHEN {_IN_YEAR} THEN 100 ELSE 0 END")} AS wind_speed_80m
     FROM fp WHERE NOT ({_IN_YEAR} AND timestamp_s >= 867801600)"""
 )
+Q["replace_range_spans"] = Q["replace_range_stored"]
 Q["outside_range"] = (
     with_(DAYS) + f"SELECT {KEYS}, {dec('price')} AS price FROM days WHERE NOT (ts >= {_LO}000 AND ts < {_HI}000)"
 )
@@ -578,6 +581,7 @@ Q["slice_series"] = (
     + f"""SELECT {KEYS}, {dec('residual')} AS power_consumption_residual_load, {dec('total')} AS power_consumption_total
     FROM g WHERE ts BETWEEN {TENTH} AND {TWENTIETH}"""
 )
+Q["stored_series"] = Q["slice_series"]
 Q["combine_derived"] = (
     with_(EV, grid(), SHARES, sparse(), change("sp", HOUR))
     + f"""SELECT ts AS unix_timestamp_ms, region, resolution, gerlux_price_change_abs_computed, gerlux_price_change_rel_computed, {RE}

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lullspark.functions import clock, indices, labels, shares
 from lullspark.operators import analyses, correlation, enrich, series, upsert, weather
 from lullspark.operators.events import find_events, transitions
+from lullspark.operators.level_sets import events_of, level_sets
 from lullspark.operators.trend import trailing_event_trend
 from lullspark.plans import build, ingest, requests
 from lullspark.plans import projections as P
@@ -116,6 +117,22 @@ def search_events(spark, sf):
     return requests.search_events(rows, "DE", "hour", 0.35, 2 * HOUR, JAN, TWENTIETH, WS_SHARE)
 
 
+@query
+def search_stored_events(spark, sf):
+    """The same search on the stored level-set tree of the published shares."""
+    root = posixpath.join(shared_checkpoint_dir(spark), f"levels-{uuid.uuid4().hex}")
+    rows = series.share_series(P.market_grid(spark, sf))
+    tables.publish(rows, root, "shares", build.SERIES_PARTS, ts=series.TS)
+    build.publish_level_sets(spark, root, WS_SHARE)
+    return requests.search_stored_events(spark, root, "DE", "hour", 0.35, 2 * HOUR, JAN, TWENTIETH)
+
+
+@query
+def events_level_sets(spark, sf):
+    """All thresholds by a filter of the level sets, found once."""
+    return events_of(level_sets(hour_shares(spark, sf), "share", chunk_ms=7 * DAY), THRESHOLDS, HOUR)
+
+
 @query
 def state_transitions(spark, sf):
     moves = transitions(P.daily_by_region(spark, sf), "share", SEARCH)
@@ -405,6 +422,29 @@ def replace_range_stored(spark, sf):
     return plain(tables.scan(spark, root, "points"))
 
 
+@query
+def replace_range_spans(spark, sf):
+    """The same replacement in a table cut by time: only the spans of the year are written."""
+    points = P.forecast_points(spark, sf).select("timestamp_s", "s_nationkey", "model", "wind_speed_80m")
+    lo, mid, hi = 852_076_800, 867_801_600, 883_612_800
+    fresh = points.where((F.col("timestamp_s") >= lo) & (F.col("timestamp_s") < mid) & (F.col("model") == "A"))
+    raised = fresh.withColumn("wind_speed_80m", (F.col("wind_speed_80m") + 1).cast("decimal(8,2)"))
+    root = posixpath.join(shared_checkpoint_dir(spark), f"spans-{uuid.uuid4().hex}")
+    key = {"candidates": [["timestamp_s", "s_nationkey", "model"]]}
+    tables.publish(points, root, "points", ["model"], ts="timestamp_s", width=tables.SPAN_MS // 1000, **key)
+    tables.replace_stored_range(raised, root, "points", "timestamp_s", lo, hi, {"model": "A"}, **key)
+    return plain(tables.scan(spark, root, "points"))
+
+
+@query
+def stored_series(spark, sf):
+    """A range of one series from a published table; only its spans are opened."""
+    root = posixpath.join(shared_checkpoint_dir(spark), f"series-{uuid.uuid4().hex}")
+    grid = P.market_grid(spark, sf).select(*KEYS, "power_consumption_residual_load", "power_consumption_total")
+    tables.publish(grid, root, "market", build.SERIES_PARTS, ts=series.TS)
+    return plain(requests.stored_series(spark, root, "market", "DE", "hour", TENTH, TWENTIETH))
+
+
 @query
 def publish_keeps_last(spark, sf):
     """A refresh with every row twice fails its key check; readers keep the version before."""

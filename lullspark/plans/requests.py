@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lullspark.operators import series
 from lullspark.operators.events import find_events
+from lullspark.operators.level_sets import CHUNK_MS, events_of
 from lullspark.operators.trend import trailing_event_trend
 from lullspark.registry import check_range, check_region, check_resolution, step_ms
-from lullspark.sources.tables import scan_range
+from lullspark.sources.tables import scan, scan_range
 
 SHARE = "share_of_renewable_energies_computed"
 # Default search window, threshold and longest minimum duration.
@@ -49,6 +50,33 @@ def search_events(
     return find_events(cut, value, max_share, min_duration_ms).select("start_time", "region", "resolution", "end_time")
 
 
+def search_stored_events(
+    spark: SparkSession,
+    root: str,
+    region: str = "DE",
+    resolution: str = "day",
+    max_share: float = MAX_SHARE,
+    min_duration_ms: int = step_ms("day"),
+    start_ms: int = START_MS,
+    end_ms: int = END_MS,
+) -> DataFrame:
+    """``search_events`` on the stored level sets: a filter for any threshold, duration and
+    range. Of the series at most one chunk is read, for the first instant of the range."""
+    _check(max_share, min_duration_ms)
+    check_region(region), check_resolution(resolution), check_range(start_ms, end_ms)
+    own, chunk = {"region": region, "resolution": resolution}, start_ms // CHUNK_MS * CHUNK_MS
+    chunks = scan_range(spark, root, "level_sets", "chunk_start", chunk, end_ms, own)
+    begun = scan_range(spark, root, "shares", series.TS, start_ms, min(end_ms, chunk + CHUNK_MS - 1), own)
+    opens = chunks.where(F.col("opens").between(start_ms, end_ms)).select("opens")
+    first = begun.select(series.TS).union(opens).agg(F.min(series.TS).alias("first")).first()["first"]
+    upper = scan(spark, root, "level_sets_upper").where((F.col("region") == region) & (F.col("resolution") == resolution))
+    sets = chunks.where("opens is null").select(*upper.columns).unionByName(upper)
+    if first is None:
+        sets, first = sets.limit(0), start_ms
+    found = events_of(sets, max_share, min_duration_ms, first=first, last=end_ms)
+    return found.select("start_time", "region", "resolution", "end_time")
+
+
 def event_trend(
     share_rows: DataFrame,
     region: str = "DE",

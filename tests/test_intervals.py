@@ -1,5 +1,6 @@
 """Interval aggregates, trend and enrichment against plain loops."""
 
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lullspark.operators import enrich
 from lullspark.operators.chunks import row_index, running_sum, with_time_chunk
-from lullspark.operators.intervals import aggregate_intervals
+from lullspark.operators.intervals import LEVELS, aggregate_intervals, dyadic_blocks, interval_pieces
 from lullspark.operators.trend import trailing_event_trend
 
 DAY = 86_400_000
@@ -163,3 +164,22 @@ def test_weather_statistics_use_the_open_interval(spark):
     events = spark.createDataFrame([(0.3, "DE", "quarterhour", 2 * hour, 6 * hour)], "threshold double, region string, resolution string, start_time long, end_time long")
     out = enrich.weather_stats(events, weather, chunk_ms=2 * hour).first()
     assert (out.repi_power1avg, out.repi_power_exp_max, out.repi_power_exp_min) == (4.0, 5.0, 3.0)
+
+
+def test_dyadic_blocks_cover_the_chunks_once(spark):
+    cases = [(a, a + n) for a in (-37, -1, 0, 5, 64, 1000) for n in (0, 1, 2, 3, 17, 64, 365, 3650, 20_000)]
+    df = spark.createDataFrame(cases, "a long, b long").select("a", "b", dyadic_blocks(F.col("a"), F.col("b")).alias("blocks"))
+    for a, b, blocks in df.collect():
+        covered = sorted(c for k, n in blocks for c in range(n << k, (n + 1) << k))
+        assert covered == list(range(a, b))
+        if b - a <= 1 << LEVELS:
+            assert len(blocks) <= max(1, 2 * math.log2(max(b - a, 1)) + 1)
+
+
+def test_rows_that_an_interval_joins(spark):
+    """One day, ten days, ten years: pieces instead of one row for each day."""
+    spans = [(1, DAY * 5 + 7, DAY * 6 + 6), (2, 3, DAY * 10), (3, DAY // 2, 3650 * DAY)]
+    intervals = spark.createDataFrame(spans, "id long, lo long, hi long")
+    found = interval_pieces(intervals, ["id"], "lo", "hi", DAY).groupBy("id").count()
+    counts = {r["id"]: r["count"] for r in found.collect()}
+    assert counts[1] == 2 and counts[2] <= 2 + 2 * math.log2(10) and counts[3] <= 2 + 2 * math.log2(3650)
