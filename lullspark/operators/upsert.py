@@ -29,7 +29,7 @@ def widen(
     """One row per key with a column per series; the last non-null value wins.
 
     Conditional aggregates over a known list need one grouped pass and combine
-    before the shuffle. The bucket flag is the one of the first row of the key.
+    before the shuffle. A key is a bucket start if any of its rows is.
     """
     measures = [
         F.max_by(F.when(F.col(series) == name, F.col(value)), F.when((F.col(series) == name) & F.col(value).isNotNull(), F.col(seq)))
@@ -37,25 +37,34 @@ def widen(
         .alias(name)
         for name in names
     ]
-    flag = [F.min_by(BUCKET, seq).alias(BUCKET)] if BUCKET in long.columns else []
+    flag = [F.max(BUCKET).alias(BUCKET)] if BUCKET in long.columns else []
     return long.groupBy(*keys).agg(*flag, *measures)
 
 
 def upsert_sparse(
-    base: DataFrame, delta: DataFrame, keys: Sequence[str] = KEYS, measures: Sequence[str] = MEASURES
+    base: DataFrame,
+    delta: DataFrame,
+    keys: Sequence[str] = KEYS,
+    measures: Sequence[str] = MEASURES,
+    keep_known: bool = False,
 ) -> DataFrame:
-    """Insert or update: a new non-null value wins, the bucket flag stays as first set."""
+    """Insert or update: a new non-null value wins. With ``keep_known`` it only fills nulls,
+    as the sentinels of an index do, which never replace a value.
+
+    An instant is a bucket start if either side says so, whichever came first.
+    """
     keys = list(keys)
     flags = [BUCKET] if BUCKET in base.columns else []
-    new = delta.select(
-        *keys, *[F.col(c).alias(f"_n_{c}") for c in [*flags, *measures]], F.lit(True).alias("_in_delta")
-    )
-    old = base.withColumn("_in_base", F.lit(True))
-    joined = old.join(new, keys, "full")
+    new = delta.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in [*flags, *measures]])
+    joined = base.join(new, keys, "full")
+
+    def merged(c: str) -> list[str]:
+        return [c, f"_n_{c}"] if keep_known else [f"_n_{c}", c]
+
     return joined.select(
         *keys,
-        *[F.when(F.col("_in_base"), F.col(c)).otherwise(F.col(f"_n_{c}")).alias(c) for c in flags],
-        *[F.coalesce(f"_n_{c}", c).alias(c) for c in measures],
+        *[F.greatest(c, f"_n_{c}").alias(c) for c in flags],
+        *[F.coalesce(*merged(c)).alias(c) for c in measures],
     )
 
 

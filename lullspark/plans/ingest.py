@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lullspark.operators.upsert import clear_sentinel
-from lullspark.plans import build
+from lullspark.plans.refresh import refresh_table, refresh_tables
 from lullspark.registry import MEASURES
 from lullspark.session import materialise
-from lullspark.sources.tables import has_table, publish, replace_stored_range
+from lullspark.sources.tables import SPAN_MS, has_table, publish, replace_stored_range
 from lullspark.sources.weather import read_weather_forecast, read_weather_history
-from lullspark.streaming.importer import current_table, import_indexes, import_points
+from lullspark.streaming.importer import merge_indexes, merge_points
 
 MARKET_PARTS = ["resolution", "region"]
 HISTORY_KEY = [["date_ms", "lat", "lng", "model", "temporal_resolution"]]
@@ -27,18 +27,20 @@ FORECAST_KEY = [["timestamp_s", "lat", "lng", "model", "temporal_resolution"]]
 
 def ingest_market(
     spark: SparkSession, root: str, points: str, index: str | None = None, lines: bool = False
-) -> list[str] | None:
-    """Import new market documents and publish the merged table ``market``.
+) -> set | None:
+    """Import new market documents and bring the table ``market`` up to date.
 
-    Its sentinels are cleared; ``current_table`` on the deltas still has them, for
-    whoever asks which buckets are without a value.
+    The documents are merged into ``market_import``, series by series and span by span, and
+    the spans that changed are written anew in ``market``, with sentinels cleared; whoever
+    asks which buckets are without a value finds them in ``market_import``.
     """
-    deltas, state = posixpath.join(root, "market_deltas"), posixpath.join(root, "market_import")
+    state, name = posixpath.join(root, "market_state"), "market_import"
     if index:
-        import_indexes(spark, index, deltas, state, lines).awaitTermination()
-    import_points(spark, points, deltas, state, lines).awaitTermination()
-    merged = clear_sentinel(current_table(spark, deltas), MEASURES)
-    return publish(merged, root, "market", MARKET_PARTS)
+        merge_indexes(spark, index, root, name, state, lines).awaitTermination()
+    merge_points(spark, points, root, name, state, lines).awaitTermination()
+    return refresh_table(
+        spark, root, "market", name, lambda rows: clear_sentinel(rows, MEASURES), MARKET_PARTS, "unix_timestamp_ms", MARKET_PARTS
+    )
 
 
 def _replace_covered(
@@ -47,7 +49,8 @@ def _replace_covered(
     """Replace the half-open range ``covered``, or else that from the first to the last instant."""
     spark = rows.sparkSession
     if not has_table(spark, root, name):
-        return publish(rows, root, name, candidates=key)
+        width = SPAN_MS if ts.endswith("_ms") else SPAN_MS // 1000
+        return publish(rows, root, name, candidates=key, ts=ts, width=width)
     if covered is None:
         rows = materialise(rows)
         lo, hi = rows.agg(F.min(ts), F.max(ts) + 1).first()
@@ -83,8 +86,12 @@ def ingest_and_build(
     lines: bool = False,
     **event_options,
 ) -> list[str]:
-    """All base tables from landed documents, then every derived table; returns their names."""
+    """All base tables from landed documents, then every derived table; returns their names.
+
+    Repeated, it reads and writes only what new documents touch and reach.
+    """
     ingest_market(spark, root, points, index, lines)
     ingest_weather(spark, root, weather, lines)
     ingest_forecast(spark, root, forecast, lines)
-    return ["market", "weather_points", "forecast_points", *build.build_tables(spark, root, **event_options)]
+    refresh_tables(spark, root, **event_options)
+    return ["market", "weather_points", "forecast_points", "shares", "price_changes", "forecasts", "weather", "events"]

@@ -50,6 +50,22 @@ def search_events(
     return find_events(cut, value, max_share, min_duration_ms).select("start_time", "region", "resolution", "end_time")
 
 
+def stored_sets(
+    spark: SparkSession, root: str, region: str, resolution: str, start_ms: int, end_ms: int | None
+) -> tuple[DataFrame, int]:
+    """The stored level sets of one series from ``start_ms`` on, and the instant of its first
+    row from there on. Of the series itself at most one chunk is read."""
+    own, chunk = {"region": region, "resolution": resolution}, start_ms // CHUNK_MS * CHUNK_MS
+    end = END_MS if end_ms is None else end_ms
+    chunks = scan_range(spark, root, "level_sets", "chunk_start", chunk, end, own)
+    begun = scan_range(spark, root, "shares", series.TS, start_ms, min(end, chunk + CHUNK_MS - 1), own)
+    opens = chunks.where(F.col("opens").between(start_ms, end)).select("opens")
+    first = begun.select(series.TS).union(opens).agg(F.min(series.TS).alias("first")).first()["first"]
+    upper = scan(spark, root, "level_sets_upper").where((F.col("region") == region) & (F.col("resolution") == resolution))
+    sets = chunks.where("opens is null").select(*upper.columns).unionByName(upper)
+    return (sets.limit(0), start_ms) if first is None else (sets, first)
+
+
 def search_stored_events(
     spark: SparkSession,
     root: str,
@@ -61,18 +77,10 @@ def search_stored_events(
     end_ms: int = END_MS,
 ) -> DataFrame:
     """``search_events`` on the stored level sets: a filter for any threshold, duration and
-    range. Of the series at most one chunk is read, for the first instant of the range."""
+    range."""
     _check(max_share, min_duration_ms)
     check_region(region), check_resolution(resolution), check_range(start_ms, end_ms)
-    own, chunk = {"region": region, "resolution": resolution}, start_ms // CHUNK_MS * CHUNK_MS
-    chunks = scan_range(spark, root, "level_sets", "chunk_start", chunk, end_ms, own)
-    begun = scan_range(spark, root, "shares", series.TS, start_ms, min(end_ms, chunk + CHUNK_MS - 1), own)
-    opens = chunks.where(F.col("opens").between(start_ms, end_ms)).select("opens")
-    first = begun.select(series.TS).union(opens).agg(F.min(series.TS).alias("first")).first()["first"]
-    upper = scan(spark, root, "level_sets_upper").where((F.col("region") == region) & (F.col("resolution") == resolution))
-    sets = chunks.where("opens is null").select(*upper.columns).unionByName(upper)
-    if first is None:
-        sets, first = sets.limit(0), start_ms
+    sets, first = stored_sets(spark, root, region, resolution, start_ms, end_ms)
     found = events_of(sets, max_share, min_duration_ms, first=first, last=end_ms)
     return found.select("start_time", "region", "resolution", "end_time")
 

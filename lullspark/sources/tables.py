@@ -306,6 +306,7 @@ def merge_stored(
     batch: str,
     keys: Sequence[str] = KEYS,
     measures: Sequence[str] = MEASURES,
+    keep_known: bool = False,
     **options,
 ) -> bool:
     """Merge a batch into a table cut by time: only the partitions and spans that it touches
@@ -321,7 +322,11 @@ def merge_stored(
         return False
     rows = delta.select(*at.schema.names)
     which = folders_of_rows(rows, at)
-    rewrite_parts(spark, root, name, which, lambda old: upsert_sparse(old, rows, keys, measures), batch=batch, **options)
+
+    def merged(old: DataFrame) -> DataFrame:
+        return upsert_sparse(old, rows, keys, measures, keep_known)
+
+    rewrite_parts(spark, root, name, which, merged, batch=batch, **options)
     return True
 
 

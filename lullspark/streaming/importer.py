@@ -6,6 +6,10 @@ its new documents into one wide, sparse delta and writes it under its own batch
 Nothing is read and rewritten in place: a batch that is retried overwrites only its
 own folder, so a lost executor or driver never leaves half an update behind. The
 current table is the last non-null value per key and column over all deltas.
+
+``merge_indexes`` and ``merge_points`` keep a stored table instead, cut into spans of time:
+a batch reads and writes only the series and spans that it has rows of. The table notes the
+batches that it holds, so a retried one changes nothing. Both ways give the same table.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lullspark.operators.upsert import BUCKET, widen
 from lullspark.registry import COLUMN_BY_ID, KEYS, MEASURES
+from lullspark.session import materialise
 from lullspark.sources.market import BUCKET_SCHEMA, INDEX_SCHEMA, index_rows, point_rows
+from lullspark.sources.tables import merge_stored, publish, version
 
 BATCH = "batch_id"
+PARTS = ["resolution", "region"]
 
 
 def _delta(rows: DataFrame) -> DataFrame:
@@ -68,6 +75,42 @@ def import_points(
     return _import(spark, landing, BUCKET_SCHEMA, point_rows, table, "points", checkpoint, lines)
 
 
+def _merge(
+    spark: SparkSession, landing: str, schema: str, to_rows, root: str, name: str, kind: str, checkpoint: str, lines: bool
+) -> StreamingQuery:
+    documents = spark.readStream.schema(schema).option("multiLine", not lines).json(landing)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # The wide rows are read for their spans and for the merge.
+        delta = materialise(_delta(to_rows(batch)))
+        label = f"{kind}-{batch_id}"
+        if version(spark, root, name) is None:
+            publish(delta, root, name, PARTS, ts="unix_timestamp_ms", batch=label)
+        else:
+            merge_stored(delta, root, name, label, keep_known=kind == "index")
+
+    return (
+        documents.writeStream.foreachBatch(write)
+        .option("checkpointLocation", posixpath.join(checkpoint, kind))
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def merge_indexes(
+    spark: SparkSession, landing: str, root: str, name: str, checkpoint: str, lines: bool = False
+) -> StreamingQuery:
+    """Bucket starts into a stored table: flags and, where no value is known, sentinels."""
+    return _merge(spark, landing, INDEX_SCHEMA, index_rows, root, name, "index", checkpoint, lines)
+
+
+def merge_points(
+    spark: SparkSession, landing: str, root: str, name: str, checkpoint: str, lines: bool = False
+) -> StreamingQuery:
+    """Values into a stored table; the later document wins, nulls never erase."""
+    return _merge(spark, landing, BUCKET_SCHEMA, point_rows, root, name, "points", checkpoint, lines)
+
+
 def current_table(spark: SparkSession, table: str) -> DataFrame:
     """All deltas merged: one grouped pass that combines before its shuffle.
 
@@ -77,4 +120,4 @@ def current_table(spark: SparkSession, table: str) -> DataFrame:
     rank = F.concat(F.split(F.col(BATCH), "-")[1], F.lit("/"), F.split(F.col(BATCH), "-")[0])
     ranked = deltas.withColumn("_rank", rank)
     merged = [F.max_by(m, F.when(F.col(m).isNotNull(), F.col("_rank"))).alias(m) for m in MEASURES]
-    return ranked.groupBy(*KEYS).agg(F.min_by(BUCKET, "_rank").alias(BUCKET), *merged)
+    return ranked.groupBy(*KEYS).agg(F.max(BUCKET).alias(BUCKET), *merged)
