@@ -4,7 +4,8 @@ A table is a folder of generations, which are never changed, and of versions. A
 names a folder for each partition; a publish writes all partitions as a new generation, a
 replacement or merge only the ones it touches, and the other partitions keep the folders
 they have. Readers take the newest version, so a failed write or check leaves the last good
-one. A folder without versions is read as a plain Parquet table.
+one; a table has one writer at a time. A folder without versions is read as a plain
+Parquet table.
 
 With a time column a table is also cut into spans of time, and rows lie in order of time,
 in files, row groups and pages: a read of one day opens the files of that day and skips

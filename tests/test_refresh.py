@@ -117,13 +117,11 @@ def test_merging_import_touches_its_spans_and_equals_the_deltas(spark, tmp_path)
     points, index, root = tmp_path / "points", tmp_path / "index", str(tmp_path / "tables")
 
     def run():
-        for q in (
-            merge_points(spark, str(points), root, "m", f"{root}/state"),
-            merge_indexes(spark, str(index), root, "m", f"{root}/state"),
-            import_points(spark, str(points), f"{root}/deltas", f"{root}/other"),
-            import_indexes(spark, str(index), f"{root}/deltas", f"{root}/other"),
-        ):
-            q.awaitTermination()
+        # One after the other: a table has one writer at a time.
+        merge_points(spark, str(points), root, "m", f"{root}/state").awaitTermination()
+        merge_indexes(spark, str(index), root, "m", f"{root}/state").awaitTermination()
+        import_points(spark, str(points), f"{root}/deltas", f"{root}/other").awaitTermination()
+        import_indexes(spark, str(index), f"{root}/deltas", f"{root}/other").awaitTermination()
         got = rows(tables.scan(spark, root, "m").select(*MARKET_SCHEMA.fieldNames()))
         assert got == rows(current_table(spark, f"{root}/deltas").select(*MARKET_SCHEMA.fieldNames()))
         return tables.version(spark, root, "m")
