@@ -60,6 +60,11 @@ def _value(name: str) -> Column:
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation; null where a column has one value only, which ``corr`` divides by."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.array(*[_value(c) for c in columns]).alias("v"))
 
@@ -112,7 +117,7 @@ def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     columns = list(columns)
     rows = _pair_rows(_packed(df, columns), len(columns), diagonal=True)
-    return _mirror(rows.groupBy(*PAIR).agg(F.corr("x", "y").alias("correlation")), columns)
+    return _mirror(rows.groupBy(*PAIR).agg(_corr("x", "y").alias("correlation")), columns)
 
 
 def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -141,22 +146,46 @@ def _spearman_complete(df: DataFrame, columns: Sequence[str], places: Sequence[i
         .groupBy("_row")
         .agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: s["rank"]).alias("v"))
     )
-    upper = _pair_rows(ranked, len(columns)).groupBy(*PAIR).agg(F.corr("x", "y").alias("correlation"))
+    upper = _pair_rows(ranked, len(columns)).groupBy(*PAIR).agg(_corr("x", "y").alias("correlation"))
     place = F.array(*[F.lit(i) for i in places])
     return upper.select(*[F.get(place, F.col(c)).alias(c) for c in PAIR], "correlation")
 
 
-def _spearman_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs with missing values: ranks count only the complete rows of the pair."""
-    sides = rows.select(*PAIR, F.inline(F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("v")),
-    )))
-    ranks = average_ranks(sides, [*PAIR, "side"], "v")
-    rx = ranks.where(F.col("side") == "x").select(*PAIR, F.col("v").alias("x"), F.col("rank").alias("rx"))
-    ry = ranks.where(F.col("side") == "y").select(*PAIR, F.col("v").alias("y"), F.col("rank").alias("ry"))
-    ranked = rows.join(rx, [*PAIR, "x"]).join(ry, [*PAIR, "y"])
-    return ranked.groupBy(*PAIR).agg(F.corr("rx", "ry").alias("correlation"))
+def _spearman_sparse(df: DataFrame, columns: Sequence[str], complete: Sequence[int]) -> DataFrame:
+    """Pairs with missing values: ranks count only the rows that have both values.
+
+    Every value is moved once for its column, not once for each pair: a distinct value
+    carries one count for each other column, of the rows that have it together with a value
+    there, whatever the pattern of nulls. Running totals of these counts are the ranks of
+    the value against each column; a row takes them up in one join and meets its other
+    values in one grouping.
+    """
+    width = len(columns)
+    ids = materialise(_packed(df, columns).withColumn("_row", F.monotonically_increasing_id()))
+    present = F.transform("v", lambda v: v.isNotNull().cast("long"))
+    long = ids.select("_row", present.alias("_has"), F.posexplode("v").alias("_at", "x")).where("x is not null")
+    counts = long.groupBy("_at", "x").agg(*[F.sum(F.col("_has")[j]).alias(f"n{j}") for j in range(width)])
+    ordered = range_chunks(counts, ["_at", "x"])
+    upto = running_sum(ordered, ["_at"], ["x"], {f"u{j}": F.col(f"n{j}") for j in range(width)})
+    rank = [F.col(f"u{j}") - (F.col(f"n{j}") - 1) / F.lit(2.0) for j in range(width)]
+    ranks = upto.select("_at", "x", F.array(*rank).alias("_r"))
+    met = (
+        long.select("_row", "_at", "x")
+        .join(ranks, ["_at", "x"])
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "_r"))).alias("v"))
+    )
+    left = met.select("v", F.posexplode("v").alias("_p", "a"))
+    both = left.select("a", F.explode(F.slice("v", F.col("_p") + 2, F.lit(width))).alias("b"))
+    pairs = both.select(
+        F.col("a._at").alias("column_x"),
+        F.col("b._at").alias("column_y"),
+        F.get("a._r", F.col("b._at")).alias("rx"),
+        F.get("b._r", F.col("a._at")).alias("ry"),
+    )
+    if complete:
+        pairs = pairs.where(~(F.col("column_x").isin(complete) & F.col("column_y").isin(complete)))
+    return pairs.groupBy(*PAIR).agg(_corr("rx", "ry").alias("correlation"))
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -164,9 +193,10 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Rows meet their ranks by equi joins on the value; a hot value is split by
     adaptive skew-join handling. One count per column tells which columns have no
-    missing values and so have the same ranks in every pair.
+    missing values and so have the same ranks in every pair. ``df`` is stored once.
     """
     columns = list(columns)
+    df = materialise(df.select(*[_value(c).alias(c) for c in columns]))
     counts = df.agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]
     ).first()
@@ -175,9 +205,7 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if len(complete) > 1:
         upper = upper.unionByName(_spearman_complete(df, [columns[i] for i in complete], complete))
     if len(complete) < len(columns):
-        rows = _pair_rows(_packed(df, columns), len(columns))
-        gaps = ~(F.col("column_x").isin(complete) & F.col("column_y").isin(complete))
-        upper = upper.unionByName(_spearman_pairs(rows.where(gaps) if complete else rows))
+        upper = upper.unionByName(_spearman_sparse(df, columns, complete))
     return _mirror(upper, columns)
 
 
@@ -233,25 +261,32 @@ def _block_inversions(rows: DataFrame) -> DataFrame:
     return spread.groupBy(*PAIR, "axis", "block").applyInPandas(count, "column_x int, column_y int, d string")
 
 
-def _grid_inversions(rows: DataFrame) -> DataFrame:
-    """Discordant weight between different x blocks and different y blocks.
+def block_cells(rows: DataFrame) -> DataFrame:
+    """``*PAIR, level, parent, yb, low, high``: what the occupied cells of x and y blocks
+    hold, for every level of the bits of the x block's number.
 
-    Worked out on the grid of block totals: blocks per axis, squared, rows.
+    Two x blocks differ first in one bit. At the level of that bit they share the bits above
+    it, their parent, and one is on the low side, the other on the high one. A cell occurs
+    once at each level, so there are as many rows as occupied cells times levels, at most.
     """
     cells = rows.groupBy(*PAIR, "xb", "yb").agg(F.sum("w").cast("decimal(38,0)").alias("n"))
-    edge = rows.groupBy(*PAIR).agg(F.max("xb").alias("_mx"), F.max("yb").alias("_my"))
-    grid = (
-        edge.withColumn("xb", F.explode(F.sequence(F.lit(0).cast("long"), "_mx")))
-        .withColumn("yb", F.explode(F.sequence(F.lit(0).cast("long"), "_my")))
-        .drop("_mx", "_my")
-        .join(cells, [*PAIR, "xb", "yb"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0).cast("decimal(38,0)")))
+    top = cells.groupBy(*PAIR).agg(F.max("xb").alias("_top"))
+    levels = F.explode(F.sequence(F.lit(0), F.length(F.bin("_top")) - 1)).alias("level")
+    spread = cells.join(top, PAIR).where("_top > 0").select(*PAIR, "xb", "yb", "n", levels)
+    side = F.expr("shiftright(xb, level) & 1")
+    return spread.groupBy(*PAIR, "level", F.expr("shiftright(xb, level + 1)").alias("parent"), "yb").agg(
+        F.sum(F.when(side == 0, F.col("n"))).alias("low"), F.sum(F.when(side == 1, F.col("n"))).alias("high")
     )
-    beyond = Window.partitionBy(*PAIR, "xb").orderBy(F.col("yb").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*PAIR, "yb").orderBy("xb").rowsBetween(Window.unboundedPreceding, -1)
-    higher = grid.withColumn("_higher", F.coalesce(F.sum("n").over(beyond), F.lit(0)).cast("decimal(38,0)"))
-    met = higher.withColumn("_met", F.coalesce(F.sum("_higher").over(earlier), F.lit(0)).cast("decimal(38,0)"))
-    return met.select(*PAIR, (F.col("n").cast("decimal(19,0)") * F.col("_met").cast("decimal(19,0)")).cast("string").alias("d"))
+
+
+def _cell_inversions(rows: DataFrame) -> DataFrame:
+    """Discordant weight between different x blocks and different y blocks: at each level
+    the low side of a parent meets what the high side has in smaller y blocks. The work is
+    spread by pair, level and parent."""
+    before = Window.partitionBy(*PAIR, "level", "parent").orderBy("yb").rowsBetween(Window.unboundedPreceding, -1)
+    met = block_cells(rows).withColumn("_met", F.sum("high").over(before)).where("low is not null and _met is not null")
+    product = F.col("low").cast("decimal(19,0)") * F.col("_met").cast("decimal(19,0)")
+    return met.select(*PAIR, product.cast("string").alias("d"))
 
 
 def _tie_pairs(weighted: DataFrame) -> DataFrame:
@@ -280,7 +315,7 @@ def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_
     order and, separately, in y order; a discordant pair is an inversion between
     the two numberings. Both are cut into blocks of ``block_rows``: inversions
     inside an x block or a y block are counted block by block, the rest from the
-    block totals.
+    totals of the occupied cells of blocks.
     """
     columns = list(columns)
     diagonal = _per_column(df, [F.when(F.count(_value(c)) > 0, 1.0) for c in columns])
@@ -295,7 +330,7 @@ def corr_kendall(df: DataFrame, columns: Sequence[str], block_rows: int = BLOCK_
     )
     discordant = (
         _block_inversions(placed)
-        .unionByName(_grid_inversions(placed))
+        .unionByName(_cell_inversions(placed))
         .select(*PAIR, F.lit("d").alias("part"), F.col("d").cast("double").alias("v"))
     )
     counts = (

@@ -760,6 +760,19 @@ Q["corr_spearman"] = (
     + f"""SELECT column_x, column_y, round(corr(rx, ry), 6) AS correlation FROM
     (SELECT column_x, column_y, {_RANK.format(v='x')} AS rx, {_RANK.format(v='y')} AS ry FROM pr) GROUP BY 1, 2"""
 )
+_SPARSE = {
+    "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax",
+    "part": "l_partkey", "supplier": "l_suppkey", "line": "l_linenumber", "part_digit": "l_partkey % 10",
+    "supplier_week": "l_suppkey % 7", "order_kind": "l_orderkey % 13", "quantity_left": "50 - l_quantity + l_linenumber",
+    "part_and_line": "l_partkey + 100 * l_linenumber",
+}
+_LACKS = "(l_orderkey * 31 + l_linenumber * 7 + l_partkey + {k} * {k}) % 11 < {n}"
+Q["corr_spearman_sparse"] = f"""WITH li AS (SELECT row_number() OVER () AS i, * FROM lineitem), long AS ({" UNION ALL ".join(
+    f"SELECT i, '{n}' AS name, CAST({e} AS DOUBLE) AS v FROM li WHERE NOT ({_LACKS.format(k=k, n=k % 4)})" for k, (n, e) in enumerate(_SPARSE.items())
+)}), pr AS (SELECT a.name AS column_x, b.name AS column_y, a.v AS x, b.v AS y FROM long a JOIN long b ON a.i = b.i AND a.name <= b.name),
+    half AS (SELECT column_x, column_y, round(corr(rx, ry), 6) AS correlation FROM
+    (SELECT column_x, column_y, {_RANK.format(v='x')} AS rx, {_RANK.format(v='y')} AS ry FROM pr) GROUP BY 1, 2)
+    SELECT * FROM half UNION ALL SELECT column_y, column_x, correlation FROM half WHERE column_x <> column_y"""
 Q["corr_kendall"] = (
     CORR_ROWS.rstrip()
     + """, nr AS (SELECT *, row_number() OVER (PARTITION BY column_x, column_y) AS i FROM pr)

@@ -211,3 +211,28 @@ def long_feed(spark: SparkSession, sf_dir: str, step_ms: int = HOUR_MS) -> DataF
         bucket.alias("is_bucket_timestamp"),
         F.col("event_id").alias("seq"),
     )
+
+
+# Twelve numeric columns, each of which lacks every fifth or so of its values.
+SPARSE_COLUMNS = {
+    "quantity": "l_quantity",
+    "price": "l_extendedprice",
+    "discount": "l_discount",
+    "tax": "l_tax",
+    "part": "cast(l_partkey AS double)",
+    "supplier": "cast(l_suppkey AS double)",
+    "line": "cast(l_linenumber AS double)",
+    "part_digit": "cast(l_partkey % 10 AS double)",
+    "supplier_week": "cast(l_suppkey % 7 AS double)",
+    "order_kind": "cast(l_orderkey % 13 AS double)",
+    "quantity_left": "50 - l_quantity + l_linenumber",
+    "part_and_line": "cast(l_partkey + 100 * l_linenumber AS double)",
+}
+
+
+def sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a wide table with scattered nulls; the pattern differs by row."""
+    lacks = "(l_orderkey * 31 + l_linenumber * 7 + l_partkey + {k} * {k}) % 11 < {n}"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        *[f"IF({lacks.format(k=k, n=k % 4)}, NULL, {e}) AS {n}" for k, (n, e) in enumerate(SPARSE_COLUMNS.items())]
+    )

@@ -765,6 +765,12 @@ def corr_spearman(spark, sf):
     return plain(correlation.corr_spearman(_correlation_rows(spark, sf), CORRELATED), 6)
 
 
+@query
+def corr_spearman_sparse(spark, sf):
+    """Twelve columns with scattered nulls."""
+    return plain(correlation.corr_spearman(P.sparse_columns(spark, sf), list(P.SPARSE_COLUMNS)), 6)
+
+
 @query
 def corr_kendall(spark, sf):
     return plain(correlation.corr_kendall(_correlation_rows(spark, sf), CORRELATED), 6)

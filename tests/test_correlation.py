@@ -102,3 +102,43 @@ def test_every_pair_has_its_cells(spark, method):
     assert len(got) == 16
     assert got["a", "b"] is None and got["d", "d"] is None and got["b", "b"] == pytest.approx(1)
     assert got["a", "c"] == got["c", "a"] == pytest.approx(-1)
+
+
+def test_blocks_on_a_diagonal_make_few_cells(spark):
+    """64 occupied cells of 64 x 64: as many rows as cells times levels, and the exact count."""
+    rng = random.Random(4)
+    data = [(0, 1, b, b, rng.randint(1, 9)) for b in range(64)]
+    data += [(0, 2, a, b, rng.randint(1, 9)) for a, b in rng.sample([(a, b) for a in range(64) for b in range(64)], 200)]
+    df = spark.createDataFrame(data, "column_x int, column_y int, xb long, yb long, w long")
+    cells = C.block_cells(df).groupBy("column_y").count().collect()
+    counts = {r["column_y"]: r["count"] for r in cells}
+    assert counts[1] <= 64 * 6 and counts[2] <= 200 * 6
+    got = {}
+    for r in C._cell_inversions(df).collect():
+        got[r["column_y"]] = got.get(r["column_y"], 0) + int(r["d"])
+    mine = [d[2:] for d in data if d[1] == 2]
+    want = sum(n * m for a, b, n in mine for c, d, m in mine if a < c and b > d)
+    assert got.get(1, 0) == 0 and got[2] == want
+
+
+def test_spearman_of_scattered_nulls(spark):
+    """Twelve columns with many patterns of nulls, one column without any, one with one value."""
+    rng = random.Random(12)
+    names = [f"c{i}" for i in range(12)]
+    data = [
+        tuple(
+            1.5 if i == 11 else None if i and rng.random() < 0.15 * (i % 4) else float(rng.randint(0, 3 + 7 * i))
+            for i in range(12)
+        )
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names))
+    got, pdf = matrix(C.corr_spearman(df, names)), pd.DataFrame(data, columns=names, dtype=float)
+    assert len(got) == 144
+    for x in names:
+        for y in names:
+            both = pdf[[x, y]].dropna() if x != y else pdf[[x]].dropna()
+            if "c11" in (x, y):
+                assert got[x, y] is None or math.isnan(got[x, y])
+            else:
+                assert got[x, y] == pytest.approx(both[x].rank().corr(both[y].rank())), (x, y)
