@@ -455,6 +455,8 @@ Q["live_documents"] = (
     + f"SELECT timestamp_s, {half_even('x')} AS repi FROM (SELECT timestamp_s, {_LIVE} AS x FROM fp GROUP BY 1)"
 )
 
+Q["live_stream"] = Q["live_documents"]
+
 # --- derived series ---
 KEYS = "ts AS unix_timestamp_ms, region, resolution"
 PRODUCED = "(pv + wind + hydro + bio + lignite)"

@@ -22,6 +22,7 @@ from lullspark.session import materialise, shared_checkpoint_dir
 from lullspark.sources import market as market_docs
 from lullspark.sources import tables
 from lullspark.sources import weather as weather_docs
+from lullspark.streaming import live
 
 HOUR, DAY, WEEK = clock.HOUR_MS, clock.DAY_MS, clock.WEEK_MS
 JAN, TENTH, TWENTIETH = P.JAN_2024_MS, P.JAN_2024_MS + 9 * DAY, P.JAN_2024_MS + 19 * DAY
@@ -905,11 +906,9 @@ def weather_documents(spark, sf):
     return plain(rows.select("date_ms", "lat", "elevation", *names).withColumn("elevation", F.col("elevation").cast("int")), 2)
 
 
-@query
-def live_documents(spark, sf):
-    points = P.forecast_points(spark, sf)
+def _live_docs(points: DataFrame) -> DataFrame:
     names = weather_docs.LIVE_VARIABLES
-    docs = (
+    return (
         points.withColumn("time", F.col("timestamp_s"))
         .groupBy("s_nationkey", "model", "lat", "lng", F.expr("timestamp_s div 31536000").alias("_year"))
         .agg(_arrays("time", names))
@@ -918,10 +917,31 @@ def live_documents(spark, sf):
             F.struct(*[F.col(f"_p.{v}").alias(v) for v in ["time", *names]]).alias("hourly"),
         )
     )
+
+
+@query
+def live_documents(spark, sf):
     path = _landing(spark, "live")
-    docs.write.json(path)
+    _live_docs(P.forecast_points(spark, sf)).write.json(path)
     landed = weather_docs.read_live_forecast(spark, path, lines=True)
-    typed = landed.withColumns({v: F.col(v).cast("decimal(11,2)") for v in names})
+    typed = landed.withColumns({v: F.col(v).cast("decimal(11,2)") for v in weather_docs.LIVE_VARIABLES})
+    return plain(weather.live_index(typed))
+
+
+@query
+def live_stream(spark, sf):
+    """Three polls of which the second is the newest; the last to land is late. Every point
+    is one by nation and model, told apart by its longitude."""
+    names = weather_docs.LIVE_VARIABLES
+    models = F.expr("locate(model, 'ANR')")
+    points = P.forecast_points(spark, sf).withColumn("lng", (F.col("s_nationkey") * 4 + models).cast("double"))
+    landing, root = _landing(spark, "polls"), _landing(spark, "live-tables")
+    for polled, more in ((100, 3), (300, 0), (200, 5)):
+        shifted = points.withColumns({n: F.col(n) + more for n in names})
+        _live_docs(shifted).write.json(f"{landing}/polled_s={polled}")
+        # The table is of past years, so no instant is final before the last.
+        live.follow_live(spark, landing, root, f"{root}/state", lateness="20000 days", lines=True).awaitTermination()
+    typed = tables.scan(spark, root, "live_points").withColumns({v: F.col(v).cast("decimal(11,2)") for v in names})
     return plain(weather.live_index(typed))
 
 

@@ -76,11 +76,18 @@ def read_weather_forecast(spark: SparkSession, path: str, lines: bool = False) -
     return read_gridded(spark, path, FORECAST_VARIABLES, "string", lines)
 
 
-def read_live_forecast(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A list of points, each with parallel arrays ``time[]`` and variables."""
-    schema = f"latitude double, longitude double, hourly {_hourly_schema(LIVE_VARIABLES, 'time: array<bigint>')}"
-    documents = spark.read.schema(schema).options(multiLine=not lines).json(path)
+def live_schema() -> str:
+    return f"latitude double, longitude double, hourly {_hourly_schema(LIVE_VARIABLES, 'time: array<bigint>')}"
+
+
+def live_rows(documents: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One row per point and instant, with the document's columns ``more``."""
     zipped = F.arrays_zip(*[F.col(f"hourly.{v}").alias(v) for v in ["time", *LIVE_VARIABLES]])
     return documents.select(
-        F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), F.inline(zipped)
+        *more, F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), F.inline(zipped)
     ).withColumnRenamed("time", "timestamp_s")
+
+
+def read_live_forecast(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A list of points, each with parallel arrays ``time[]`` and variables."""
+    return live_rows(spark.read.schema(live_schema()).options(multiLine=not lines).json(path))
