@@ -1,12 +1,13 @@
 """Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 The search is exact. Shingles are put in one order, the same for all texts, in which those
-of busy hash buckets come last. Of two similar texts, each has a common shingle among the
-first fifth (and one) of its own, so only these are shuffled. Texts that share one are
-candidates if their sizes and the places of the shingle allow enough overlap; the whole
-sets decide. Links matter only for the groups that they connect: first every text is held
-against the first and the previous one of each meeting, then candidates of different
-groups against each other, so a large group of copies is never paired with itself.
+that many texts hold come last. Of two similar texts, each has a common shingle among the
+first fifth (and one) of its own, so only these are shuffled, and of them only those that
+occur twice are kept. Texts that share one are candidates if their sizes allow enough
+overlap; the whole sets decide. Links matter only for the groups that they connect: first
+every text is held against the first one of each meeting, then, in meetings that still
+have several groups, texts of different groups against each other; so a large group of
+copies is never paired with itself.
 """
 
 from __future__ import annotations
@@ -16,14 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lullspark.llm.common import row_text, stored
 from lullspark.llm.components import components
 
 WORDS = 5
-BUCKET_BITS = 16
+# The order of shingles decides only how many candidates there are. A task counts its texts'
+# shingles a million at a time; the most frequent of what it saw twice come last.
+COUNTED_AT_ONCE = 1 << 20
+COMMON = 1 << 17
+# Meetings are by 48 bits of a shingle: fewer bytes move, and the sets decide anyway.
+MEET_BITS = 48
+HUBS = 4
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 MIX = U(0xFF51AFD7ED558CCD)
@@ -47,80 +54,97 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> U(33)))
 
 
-def _buckets(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> U(64 - BUCKET_BITS)).astype(np.int64)
+def _common_shingles(docs: DataFrame) -> np.ndarray:
+    """The shingles that most texts hold, sorted; all texts are counted, ``COMMON`` bounds
+    what the driver gets."""
 
-
-def _bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Shingles per hash bucket over all rows."""
+    def repeated(parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        twice = counts > 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values[twice].view(np.int64)), pa.array(counts[twice])], names=["shingle", "n"]
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        held, size = [np.zeros(0, U)], 0
         for batch in batches:
             for t in batch.column(0):
-                np.add.at(counts, _buckets(shingle_set(t.as_py())), 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
+                held.append(shingle_set(t.as_py()))
+                size += len(held[-1])
+                if size >= COUNTED_AT_ONCE:
+                    yield repeated(held)
+                    held, size = [np.zeros(0, U)], 0
+        yield repeated(held)
+
+    found = docs.select(row_text().alias("text")).mapInArrow(count, "shingle long, n long")
+    most = found.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON)
+    return np.sort(most.select("shingle").toArrow()["shingle"].to_numpy().view(U))
 
-    found = docs.select(row_text().alias("text")).mapInArrow(count, "bucket long, n long")
-    table = found.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return counts
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return ordered[at] == values
 
-def _signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``doc_id, text_hash, set_id, size, prefix`` for every row."""
+
+def _signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """``doc_id, text_hash, set_key, size, prefix`` for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, prefixes = [], [], []
+            keys, sizes, prefixes = [], [], []
             for t in batch.column("text"):
                 found = shingle_set(t.as_py())
                 n = len(found)
                 keep = n - (4 * n + 4) // 5 + 1 if n else 0
-                order = np.lexsort((found, counts[_buckets(found)]))[:keep]
-                ids.append(xxhash.xxh64_intdigest(found.tobytes()))
+                late = _among(found, common)
+                first = np.concatenate([found[~late], found[late]])[:keep]
+                keys.append(xxhash.xxh128_digest(found.tobytes()))
                 sizes.append(n)
-                prefixes.append(found[order].view(np.int64))
+                prefixes.append((first >> U(64 - MEET_BITS)).view(np.int64))
             columns = [
                 batch.column("doc_id"),
                 batch.column("text_hash"),
-                pa.array(np.array(ids, U).view(np.int64)),
+                pa.array(keys, pa.binary()),
                 pa.array(sizes, pa.int64()),
                 pa.array(prefixes, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_id", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_key", "size", "prefix"])
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64(row_text()).alias("text_hash"), row_text().alias("text"))
-    return rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, set_id long, size long, prefix array<long>")
-
+    return rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, set_key binary, size long, prefix array<long>")
 
-def _possible(size_a: Column, place_a: Column, size_b: Column, place_b: Column) -> Column:
-    """Whether sets that first meet at these places can overlap enough: 9 common >= 4 (a + b)."""
-    return 9 * F.least(size_a - place_a, size_b - place_b) >= 4 * (size_a + size_b)
 
-
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs (a, b)`` of set ids whose whole sets are similar.
-
-    ``sets`` names one row for each; joined by id and hash, copies of a text meet nowhere.
-    """
+def _whole_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, shingles`` of the sets ``wanted (id, doc_id, text_hash)``, one row of each; by
+    id and hash a text is read once, and copies of it meet nowhere."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles = pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), shingles], names=["set_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), shingles], names=["id", "shingles"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets, "set_id")
     d = docs.select("doc_id", F.xxhash64(row_text()).alias("text_hash"), row_text().alias("text")).alias("d")
     w = wanted.alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
-    rows = d.join(w, same).select("set_id", "text").mapInArrow(whole, "set_id long, shingles array<long>")
-    full = stored(rows.dropDuplicates(["set_id"]), "jaccard-sets")
-    a = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
-    b = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
+    rows = d.join(w, same).select("w.id", "d.text").mapInArrow(whole, "id long, shingles array<long>")
+    return stored(rows.dropDuplicates(["id"]), "jaccard-sets")
+
+
+def _candidates(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct ``a < b`` whose sizes allow a similarity of 0.8."""
+    ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    a, b = (sizes.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
+    near = 5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")
+    return ordered.join(a, "a").join(b, "b").where(near).select("a", "b")
+
+
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose whole sets are similar."""
+    a = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    b = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
@@ -128,67 +152,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_texts(docs: DataFrame) -> DataFrame:
     """``a, b``: links of ``text_hash`` that connect all similar texts of ``docs``.
 
-    A null text is empty; texts without words are similar to each other only.
+    A null text is empty; texts without words are similar to each other only. Rows with a
+    null or repeated id are texts like any other; equal rows are one. An empty table gives
+    no link. Texts are named by 64-bit hashes: of n distinct texts two share one with
+    probability n^2 / 2^65, and would then be taken for one.
     """
-    rows = stored(_signatures(docs, _bucket_counts(docs)), "jaccard")
-    sets = rows.groupBy("set_id").agg(
+    rows = stored(_signatures(docs, _common_shingles(docs)), "jaccard")
+    sets = rows.groupBy("set_key").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
     )
-    named = stored(sets.select("set_id", "row.doc_id", "row.text_hash"), "jaccard-names")
-    postings = sets.select("set_id", "size", F.posexplode("prefix").alias("place", "shingle"))
-    met = Window.partitionBy("shingle")
-    ordered = met.orderBy("size", "set_id")
-    member = F.struct(F.col("set_id").alias("id"), "size", "place")
-    meetings = stored(
-        postings.withColumn("member", member)
-        .withColumns(
-            {
-                "n": F.count(F.lit(1)).over(met),
-                "hub": F.first("member").over(ordered),
-                "before": F.lag("member").over(ordered),
-            }
-        )
-        .where("n > 1")
-        .select("shingle", "member", "hub", "before"),
-        "jaccard-meetings",
+    # Sets get numbers, which are read from the table that has them.
+    named = stored(
+        sets.select(F.monotonically_increasing_id().alias("id"), "set_key", "row.doc_id", "row.text_hash", "size", "prefix"),
+        "jaccard-names",
     )
-
-    def possible(a: str, b: str) -> Column:
-        return _possible(F.col(f"{a}.size"), F.col(f"{a}.place"), F.col(f"{b}.size"), F.col(f"{b}.place"))
-
-    def pairs(candidates: DataFrame, name: str) -> DataFrame:
-        ids = candidates.where(possible("x", "y")).select(
-            F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
-        )
-        return stored(ids.where("a <> b").distinct(), name)
-
-    chained = meetings.select(F.col("member").alias("x"), F.explode(F.array("hub", "before")).alias("y"))
-    first = stored(_verified(pairs(chained, "jaccard-chained"), docs, named), "jaccard-first")
-
+    postings = named.select("id", F.explode("prefix").alias("shingle"))
+    # In a meeting of many copies and a few other texts a random hub is a copy most times;
+    # meetings of the same texts have a few different ones, so most groups are whole then.
+    chance = F.xxhash64("id", F.pmod("shingle", F.lit(HUBS)))
+    shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", chance).alias("hub")).where("n > 1")
+    meetings = stored(postings.join(shared, "shingle").select("shingle", "id", "hub"), "jaccard-meetings")
+    wanted = meetings.select("id").distinct().join(named.select("id", "doc_id", "text_hash"), "id")
+    full = _whole_sets(wanted, docs)
+    sizes = full.select("id", F.size("shingles").alias("size"))
+
+    hubs = meetings.select(F.col("id").alias("x"), F.col("hub").alias("y"))
+    first = stored(_verified(_candidates(hubs, sizes), full), "jaccard-first")
     roots = components(first)
-    rooted = meetings.join(roots, F.col("member.id") == F.col("node"), "left").select(
-        "shingle", "member", F.coalesce("root", "member.id").alias("root")
+    rooted = meetings.join(roots, F.col("id") == F.col("node"), "left").select(
+        "shingle", "id", F.coalesce("root", "id").alias("root")
     )
-    groups = rooted.groupBy("shingle", "root").agg(F.collect_list("member").alias("members"))
-    several = stored(
-        groups.withColumn("k", F.count(F.lit(1)).over(met)).where("k > 1").drop("k"), "jaccard-groups"
-    )
-    g, h = several.alias("g"), several.alias("h")
+    several = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    mixed = stored(rooted.join(several.select("shingle"), "shingle"), "jaccard-mixed")
+    g, h = mixed.alias("g"), mixed.alias("h")
     between = (F.col("g.shingle") == F.col("h.shingle")) & (F.col("g.root") < F.col("h.root"))
-    crossed = (
-        g.join(h, between)
-        .select(F.explode("g.members").alias("x"), F.col("h.members").alias("ys"))
-        .select("x", F.explode("ys").alias("y"))
-    )
-    second = _verified(pairs(crossed, "jaccard-crossed"), docs, named)
+    crossed = g.join(h, between).select(F.col("g.id").alias("x"), F.col("h.id").alias("y"))
+    second = _verified(_candidates(crossed, sizes), full)
 
-    left = named.select(F.col("set_id").alias("a"), F.col("text_hash").alias("ta"))
-    right = named.select(F.col("set_id").alias("b"), F.col("text_hash").alias("tb"))
+    left = named.select(F.col("id").alias("a"), F.col("text_hash").alias("ta"))
+    right = named.select(F.col("id").alias("b"), F.col("text_hash").alias("tb"))
     similar = first.unionByName(second).join(left, "a").join(right, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
     equal = (
-        rows.select("set_id", F.col("text_hash").alias("b"))
+        rows.select("set_key", F.col("text_hash").alias("b"))
         .distinct()
-        .join(named.select("set_id", F.col("text_hash").alias("a")), "set_id")
+        .join(named.select("set_key", F.col("text_hash").alias("a")), "set_key")
         .where("a <> b")
         .select("a", "b")
     )
