@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lullspark.registry import DEFAULT_LABEL_CLASS, LABEL_CLASSES
 
-# Fixed values: (matched lower-cased, fragment, axis), first match wins.
+# Fixed values: (matched lower-cased, fragment, axis), first match wins. Column names are in
+# lower case, so the first two can only match where every fragment is matched lower-cased.
 AXIS_RULES = [
     (False, "Share", "share"),
     (False, "Rel", "share"),
@@ -27,11 +28,18 @@ def series_class(label: Column) -> Column:
     return out.otherwise(F.lit(DEFAULT_LABEL_CLASS))
 
 
-def axis_class(column_name: Column) -> Column:
-    """Chart axis of a column name."""
+def axis_class(column_name: Column, compat: bool = False) -> Column:
+    """Chart axis of a column name, upper and lower case alike.
+
+    ``compat`` matches shares and relative changes with their capital letter, which no
+    column name has, so that they fall to the axis of energies or prices.
+    """
     out = F
     for lowered, fragment, name in AXIS_RULES:
-        text = F.lower(column_name) if lowered else column_name
+        if lowered or not compat:
+            fragment, text = fragment.lower(), F.lower(column_name)
+        else:
+            text = column_name
         out = out.when(F.contains(text, F.lit(fragment)), F.lit(name))
     return out.otherwise(F.lit(DEFAULT_AXIS))
 

@@ -741,6 +741,40 @@ Q["series_class"] = (
     coalesce(n, 0) AS n FROM reg LEFT JOIN cnt USING (column_name)"""
 )
 
+
+# --- several regions ---
+REGION_ROWS = f"""rg0 AS (SELECT ms // {HOUR} * {HOUR} AS ts, event_id % 4 AS place,
+    {", ".join(f"coalesce(sum(cents) FILTER (event_id // 4 % 12 = {k}), 0)::BIGINT AS g{k}" for k in range(12))},
+    sum(cents)::BIGINT AS total0, coalesce(sum(cents) FILTER (event_id // 4 % 12 NOT IN (2, 7, 8)), 0)::BIGINT AS residual0,
+    coalesce(sum(cents) FILTER (event_id % 5 = 0) // 10, 0)::BIGINT AS pumped, {up('sum(cents)', 'count(*)')} AS price0
+    FROM ev GROUP BY 1, 2),
+    rg AS (SELECT *, ['DE', 'AT', 'LU', 'DE-LU'][place + 1] AS region, 'hour' AS resolution,
+    CASE WHEN r = 3 THEN -10000000000 ELSE g8 END AS solar, CASE WHEN r <> 11 THEN g2 END AS sea,
+    CASE WHEN r <> 5 THEN residual0 END AS residual, CASE WHEN r = 7 THEN 0 ELSE total0 END AS total,
+    CASE WHEN r = 13 THEN NULL WHEN r = 17 THEN 0 ELSE price0 END AS price
+    FROM (SELECT *, (ts // {HOUR} + place) % 23 AS r FROM rg0))"""
+_LEFT = "residual - g3 - g5 - g6 - g10 + pumped"
+_MADE = "g0 + g1 + sea + g3 + g4 + g5 + g6 + g7 + solar + g9 + g10 + g11 - pumped"
+REGION_SHARES = f"""rs AS (SELECT ts, region, resolution, {dec('solar + g7 + sea')} AS sum_of_photovoltaic_wind_onshore_offshore_computed,
+    (100000 - {away('residual * 100000', 'total')})::DOUBLE / 100000 AS {WS},
+    (100000 - {away(f'({_LEFT}) * 100000', 'total')})::DOUBLE / 100000 AS {RE},
+    {dec(f'total - ({_MADE})')} AS import_to_validate
+    FROM rg WHERE residual IS NOT NULL AND total <> 0 AND solar <> -10000000000 AND sea IS NOT NULL)"""
+Q["shares_regions"] = with_(EV, REGION_ROWS, REGION_SHARES) + "SELECT ts AS unix_timestamp_ms, * EXCLUDE (ts) FROM rs"
+Q["events_regions"] = with_(EV, REGION_ROWS, REGION_SHARES, search("rs", RE, SEARCH, HOUR)) + "SELECT * FROM found"
+Q["price_change_regions"] = with_(EV, REGION_ROWS, change("rg", HOUR)) + ALL_PC
+Q["previous_value_chunks"] = Q["previous_value"]
+# Columns, axes and titles written out.
+_AXES = [(f"g{k}", "energy", t) for k, t in enumerate([
+    "Lignite", "Nuclear Energy", "", "Hydropower", "Other Conventional", "Other Renewables", "Biomass", "Wind Onshore", "",
+    "Hard Coal", "Pumped Storage", "Natural Gas",
+]) if t] + [("sea", "energy", "Wind Offshore"), ("solar", "energy", "Photovoltaics")]
+Q["series_axes"] = with_(EV, REGION_ROWS, REGION_SHARES) + " UNION ALL ".join(
+    [f"SELECT '{a}' AS axis, 'Electricity Production {t}' AS title, count({c}) AS n FROM rg" for c, a, t in _AXES]
+    + ["SELECT 'price', 'Market Price Ger Lux', count(price) FROM rg"]
+    + [f"SELECT 'share', 'Share Of Renewable Energies Computed', count({RE}) FROM rs"]
+)
+
 # --- correlation ---
 _CORR = ["power_consumption_total", "power_consumption_residual_load", "market_price_ger_lux", "wind_speed_100_avg"]
 CORR_ROWS = with_(

@@ -236,3 +236,47 @@ def sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         *[f"IF({lacks.format(k=k, n=k % 4)}, NULL, {e}) AS {n}" for k, (n, e) in enumerate(SPARSE_COLUMNS.items())]
     )
+
+
+# Generation columns of ``market_regions``: the k-th sums the events of kind k.
+GENERATED = [
+    f"electricity_production_{name}"
+    for name in (
+        "lignite", "nuclear_energy", "wind_offshore", "hydropower", "other_conventional", "other_renewables",
+        "biomass", "wind_onshore", "photovoltaics", "hard_coal", "pumped_storage", "natural_gas",
+    )
+]
+
+
+def market_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as hours of four regions with every generation column.
+
+    Of 23 hours one each has a sentinel for photovoltaics, no residual load, a load of
+    zero, no offshore value, no price and a price of zero; many hours are missing.
+    """
+    grouped = (
+        event_rows(spark, sf_dir)
+        .groupBy(F.expr(f"ms div {HOUR_MS} * {HOUR_MS}L").alias("unix_timestamp_ms"), F.expr("event_id % 4").alias("place"))
+        .agg(
+            *[F.expr(f"coalesce(sum(cents) FILTER (WHERE event_id div 4 % 12 = {k}), 0) AS g{k}") for k in range(12)],
+            F.expr("sum(cents) AS total"),
+            F.expr("coalesce(sum(cents) FILTER (WHERE event_id div 4 % 12 NOT IN (2, 7, 8)), 0) AS residual"),
+            F.expr("coalesce(sum(cents) FILTER (WHERE event_id % 5 = 0) div 10, 0) AS pumped"),
+            F.expr("(2 * sum(cents) + count(1)) div (2 * count(1)) AS price"),
+        )
+        .withColumn("r", F.expr(f"(unix_timestamp_ms div {HOUR_MS} + place) % 23"))
+    )
+    values = {GENERATED[k]: f"g{k}" for k in range(12)} | {
+        GENERATED[8]: "IF(r = 3, -10000000000L, g8)",
+        GENERATED[2]: "IF(r = 11, NULL, g2)",
+        "power_consumption_residual_load": "IF(r = 5, NULL, residual)",
+        "power_consumption_total": "IF(r = 7, 0L, total)",
+        "electricity_consumption_pumped_storage": "pumped",
+        "market_price_ger_lux": "IF(r = 13, NULL, IF(r = 17, 0L, price))",
+    }
+    return grouped.selectExpr(
+        "unix_timestamp_ms",
+        "element_at(array('DE', 'AT', 'LU', 'DE-LU'), cast(place + 1 AS int)) AS region",
+        "'hour' AS resolution",
+        *[f"cast(cast({values.get(m, 'NULL')} AS decimal(18,0)) * 0.01BD AS decimal(11,2)) AS {m}" for m in MEASURES],
+    )

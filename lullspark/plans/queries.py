@@ -696,6 +696,14 @@ def previous_value(spark, sf):
     return found.select("event_type", "event_id", F.col("last_time").alias("last_id"), F.col("last_value").alias("last_ms"))
 
 
+@query
+def previous_value_chunks(spark, sf):
+    """The same in chunks of thousands of rows, as production has them."""
+    feed = P.event_rows(spark, sf).select("event_type", "event_id", "ms")
+    found = series.previous_value(feed, "ms", ["event_type"], "event_id", chunk_ms=5000)
+    return found.select("event_type", "event_id", F.col("last_time").alias("last_id"), F.col("last_value").alias("last_ms"))
+
+
 @query
 def earliest_k(spark, sf):
     feed = P.event_rows(spark, sf)
@@ -733,12 +741,44 @@ def series_class(spark, sf):
     return registry_frame(spark).join(counts, "column_name", "left").select(
         "series_id",
         labels.series_class(F.col("label")).alias("unit_class"),
-        labels.axis_class(F.col("column_name")).alias("axis"),
+        labels.axis_class(F.col("column_name"), compat=True).alias("axis"),
         labels.display_label(F.col("column_name"), ("of", "to")).alias("title"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
+@query
+def series_axes(spark, sf):
+    """Axis of every value of the wide market table's filled series, by its column."""
+    grid = P.market_regions(spark, sf)
+    names = [*P.GENERATED, "market_price_ger_lux"]
+    shares_too = series.share_series(grid).select(F.expr(f"stack(1, '{RE_SHARE}', {RE_SHARE})").alias("column_name", "value"))
+    pairs = ", ".join(f"'{n}', {n}" for n in names)
+    long = grid.select(F.expr(f"stack({len(names)}, {pairs})").alias("column_name", "value"))
+    both = long.select("column_name", F.col("value").cast("double")).unionByName(shares_too.select("column_name", F.col("value").cast("double")))
+    return both.where("value is not null").groupBy(
+        labels.axis_class(F.col("column_name")).alias("axis"), labels.display_label(F.col("column_name")).alias("title")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def shares_regions(spark, sf):
+    """Four regions, all generation columns, and rows that no share can be taken of."""
+    return plain(series.share_series(P.market_regions(spark, sf)))
+
+
+@query
+def events_regions(spark, sf):
+    shares_of = series.share_series(P.market_regions(spark, sf))
+    return find_events(shares_of, RE_SHARE, SEARCH, HOUR)
+
+
+@query
+def price_change_regions(spark, sf):
+    """Prices with gaps, nulls and zeros in four regions."""
+    return plain(series.price_change(P.market_regions(spark, sf)))
+
+
 @query
 def dashboard_series(spark, sf):
     wide = upsert.widen(P.long_feed(spark, sf), names=FEED_SERIES)
