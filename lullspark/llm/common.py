@@ -42,6 +42,13 @@ def row_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """The whole rows as one column ``row``, so that a stage's own columns never meet names
+    of the table; ``select("row.*")`` gives them back. Names may hold any character."""
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return docs.select(F.struct(*names).alias("row"))
+
+
 def numbered(df: DataFrame, groups: Sequence[str], chunk: str, order: Sequence[str], name: str) -> DataFrame:
     """Gapless numbers from 0 within each group, although a group may be of any size.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lullspark.llm.common import row_text, stored
+from lullspark.llm.common import as_rows, row_text, stored
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -372,6 +372,6 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, batch
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     bad = contamination(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
-    d, b = docs.withColumn("_llm_text_hash", F.xxhash64(row_text())).alias("d"), stored(bad, "contaminated").alias("b")
-    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._llm_text_hash") == F.col("b.text_hash"))
-    return d.join(b, same, "left_anti").select(*docs.columns)
+    rows = as_rows(docs).withColumn("hash", F.xxhash64(row_text("row.text")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return rows.join(stored(bad, "contaminated"), same, "left_anti").select("row.*")

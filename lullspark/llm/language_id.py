@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lullspark.llm.common import row_text
+from lullspark.llm.common import as_rows, row_text
 
 UNDETERMINED = "und"
 # First and last code point of the blocks that make up a script.
@@ -278,6 +278,6 @@ def with_language(docs: DataFrame, least_score: float = 0.5, sample_docs: int =
         .select("doc_id", "text_hash")
         .distinct()
     )
-    d, r = docs.withColumn("_llm_text_hash", F.xxhash64(row_text())).alias("d"), rejected.alias("r")
-    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d._llm_text_hash") == F.col("r.text_hash"))
-    return d.join(r, same, "left_anti").select(*docs.columns)
+    rows = as_rows(docs).withColumn("hash", F.xxhash64(row_text("row.text")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return rows.join(rejected, same, "left_anti").select("row.*")

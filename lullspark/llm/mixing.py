@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lullspark.llm.common import WORD, numbered, row_text, stored
+from lullspark.llm.common import WORD, as_rows, numbered, row_text, stored
 
 WEIGHTS = (5, 2, 1)
 # Hexadecimal digits of the key that make a range: 4096 ranges for each source.
@@ -129,30 +129,29 @@ def mixed_documents(docs: DataFrame, **settings: float) -> DataFrame:
         .where("least > 0 OR more > 0"),
         "mix-copies",
     )
-    d = docs.withColumn("_llm_size", word_count(row_text())).alias("d")
+    d = as_rows(docs).withColumn("words", word_count(row_text("row.text"))).alias("d")
     c = copies.alias("c")
     same = (
-        F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("c.source"))
-        & (F.col("d._llm_size") == F.col("c.size"))
+        F.col("d.row.doc_id").eqNullSafe(F.col("c.doc_id"))
+        & F.col("d.row.source").eqNullSafe(F.col("c.source"))
+        & (F.col("d.words") == F.col("c.size"))
     )
 
     def repeated(rows: DataFrame, times: Column) -> DataFrame:
-        several = rows.withColumn("_llm_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-        return several.select(*[F.col(f"d.{name}") for name in docs.columns])
+        several = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+        return several.select("row.*")
 
     whole = repeated(d.join(c.where("more = 0"), same), F.col("c.least"))
     if not copies.where("more > 0").limit(1).count():
         return whole
-    own = F.struct(*[F.col(f"d.{name}") for name in docs.columns]).alias("d")
     cut = d.join(c.where("more > 0"), same).select(
-        own,
+        "d.row",
         "c.least",
         "c.more",
-        F.xxhash64("c.doc_id", "c.source", "c.size").alias("_llm_group"),
-        F.xxhash64(row_text("d.text")).alias("_llm_text"),
+        F.xxhash64("c.doc_id", "c.source", "c.size").alias("alike"),
+        F.xxhash64(row_text("d.row.text")).alias("hash"),
     )
-    chunked = cut.withColumn("_llm_chunk", F.pmod("_llm_text", F.lit(CHUNKS)))
-    placed = numbered(chunked, ["_llm_group"], "_llm_chunk", ["_llm_text"], "_llm_place")
-    extra = (F.col("_llm_place") < F.col("more")).cast("long")
+    chunked = cut.withColumn("chunk", F.pmod("hash", F.lit(CHUNKS)))
+    placed = numbered(chunked, ["alike"], "chunk", ["hash"], "place")
+    extra = (F.col("place") < F.col("more")).cast("long")
     return whole.unionByName(repeated(placed, F.col("least") + extra))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lullspark.llm.common import row_text, stored
+from lullspark.llm.common import as_rows, row_text, stored
 from lullspark.llm.components import components
 
 SHINGLE = 3
@@ -224,9 +224,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: DataFrame | No
         .select("doc_id", "text.text_hash", "text.n"),
         "simhash-kept",
     )
-    d, k = docs.withColumn("_llm_text_hash", F.xxhash64(row_text())).alias("d"), kept.alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._llm_text_hash") == F.col("k.text_hash"))
-    rows = d.join(k, same, "left_semi")
+    own = as_rows(docs).withColumns({"id": F.col("row.doc_id"), "hash": F.xxhash64(row_text("row.text"))})
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    rows = own.join(kept, same, "left_semi")
     if kept.where("n > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id", "_llm_text_hash"])
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates(["id", "hash"])
+    return rows.select("row.*")

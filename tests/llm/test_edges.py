@@ -12,9 +12,10 @@ from lullspark.llm.url_filter import judge_urls
 
 DOCS = (
     "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, "
-    "part string, run string, block string, taken string, _hash string, _llm_x string"
+    "part string, run string, block string, taken string, _hash string, row string, id string, hash string, "
+    "words string, size_a string, _llm_text_hash string, _llm_size string, _llm_copy string, `x.y` string, `a``b` string"
 )
-CLASH = ("s", "z", "p", "r", "b", "t", "h", "x")
+CLASH = ("s", "z", "p", "r", "b", "t", "h", *"ABCDEFGHIJ")
 LONG = "word " * 60_000
 ROWS = [
     (1, "Der Hund und die Katze", "de", "a"),
