@@ -7,6 +7,8 @@ ordinary identifiers and numbers, add any other long string that is likelier und
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +35,54 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[A-Za-z][A-Za-z0-9_]{5,}|[0-9]{6,}(?![A-Za-z0-9_]))"
 SPAN = "array<struct<start:int,end:int,text:string>>"
 SAMPLE_DOCS = 4000
+SAMPLE_CHARS = 4096
+BLOCK = 256
+LEAST = -(1 << 31) + 1
 SMOOTHING = 0.5
 LEAST_RATIO = 12.0
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(values: Column, block: int = BLOCK) -> Column:
+    """An array cut into arrays of ``block`` elements. Adding to an array copies it, so what
+    runs along an array is done block by block, and once more along the blocks."""
+
+    def cut(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / block).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+
+    return once(values, cut)
+
+
+def running_max(values: Column) -> Column:
+    """For each element of an array of ints the largest one up to it."""
+    ints = "array<int>"
+    none = F.struct(F.lit(LEAST).alias("top"), F.array().cast(ints).alias("run"))
+
+    def along(acc: Column, v: Column) -> Column:
+        top = F.greatest(acc["top"], v)
+        return F.struct(top.alias("top"), F.concat(acc["run"], F.array(top)).alias("run"))
+
+    def join(acc: Column, part: Column) -> Column:
+        lifted = F.transform(part["run"], lambda v: F.greatest(v, acc["top"]))
+        return F.struct(
+            F.greatest(acc["top"], part["top"]).alias("top"), F.concat(acc["runs"], F.array(lifted)).alias("runs")
+        )
+
+    parts = F.transform(in_blocks(values), lambda b: F.aggregate(b, none, along))
+    whole = F.struct(F.lit(LEAST).alias("top"), F.array().cast(f"array<{ints}>").alias("runs"))
+    return F.flatten(F.aggregate(parts, whole, join)["runs"])
+
+
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """``start, end, text`` of all matches, in code points; ``text`` is the group's.
 
-    Matches and the gaps between them alternate, so their lengths add up to positions.
+    Matches and the gaps between them alternate, so their lengths add up to positions,
+    first within blocks of matches, then from block to block.
     """
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
@@ -55,8 +97,19 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), piece["value"].alias("text"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(
+            part["spans"],
+            lambda s: F.struct(
+                (s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["text"].alias("text")
+            ),
+        )
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], F.array(moved)).alias("spans"))
+
     matched = F.filter(pieces, lambda p: p["match"].isNotNull())
-    return F.aggregate(matched, none, step)["spans"]
+    parts = F.transform(in_blocks(matched), lambda b: F.aggregate(b, none, step))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return F.flatten(F.aggregate(parts, whole, join)["spans"])
 
 
 def _where_found(text: Column, quick: str, spans: Column) -> Column:
@@ -70,24 +123,24 @@ def base_spans(text: Column, kind: str) -> Column:
     return _where_found(text, QUICK[kind], spans)
 
 
-def _pair_counts(strings: DataFrame) -> DataFrame:
+def _pair_counts(strings: DataFrame, sample_chars: int) -> DataFrame:
     """``label, pair, n``: how often each ordered pair of characters occurs."""
     pairs = F.transform(
         F.sequence(F.lit(1), F.char_length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2))
     )
-    long_enough = strings.where(F.char_length("s").between(2, 4096))
+    long_enough = strings.where(F.char_length("s").between(2, sample_chars))
     return long_enough.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
-def train_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def train_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[float]:
     """Log-likelihood ratio of each ordered pair of ``ALPHABET``, random over ordinary.
 
     The patterns label the samples: values that they find are random strings, words
     beside them ordinary identifiers. Counts come from about ``sample_docs`` texts of
-    each kind, those whose id and text hash low enough for that number; with none, a
-    model is uniform. The driver gets one row per pair of characters seen.
+    each kind, those whose id and text hash low enough for that number, and in them from
+    strings of up to ``sample_chars`` characters; with none, a model is uniform. The driver gets one row per pair of characters seen.
     """
     hit = F.lit(False)
     for quick in QUICK.values():
@@ -100,7 +153,7 @@ def train_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]
     values = F.transform(F.concat(*[base_spans(F.col("text"), k) for k in QUICK]), lambda s: s["text"])
     words = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
     both = chosen.select("label", F.explode(F.when(F.col("label"), values).otherwise(words)).alias("s"))
-    counts = {(r["label"], r["pair"]): r["n"] for r in _pair_counts(both.distinct()).collect()}
+    counts = {(r["label"], r["pair"]): r["n"] for r in _pair_counts(both.distinct(), sample_chars).collect()}
     return pair_ratios(counts)
 
 
@@ -141,6 +194,40 @@ def _shown(spans: Column) -> Column:
     return F.array_join(each, ",")
 
 
+def _apart(strings: str, base: str) -> Column:
+    """Those of ``strings`` that meet no span of ``base``, both in order of start.
+
+    In the common order, a string is met by an earlier span if the largest end so far is
+    beyond its start, by a later one if the smallest start from there on is before its end.
+    """
+    candidates = F.transform(
+        strings,
+        lambda s: F.struct(s["start"].alias("start"), F.lit(len(QUICK)).alias("kind"), s["end"].alias("end"), s["text"].alias("text")),
+    )
+    spans = F.transform(
+        base,
+        lambda b: F.struct(
+            b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit(None).cast("string").alias("text")
+        ),
+    )
+
+    def placed(marks: Column) -> Column:
+        ends = running_max(F.transform(marks, lambda m: F.when(m["kind"] < len(QUICK), m["end"]).otherwise(F.lit(LEAST))))
+        starts = running_max(
+            F.reverse(F.transform(marks, lambda m: F.when(m["kind"] < len(QUICK), -m["start"]).otherwise(F.lit(LEAST))))
+        )
+        return F.arrays_zip(marks.alias("mark"), ends.alias("ended"), F.reverse(starts).alias("begins"))
+
+    known = once(F.array_sort(F.concat(candidates, spans)), placed)
+    free = F.filter(
+        known,
+        lambda k: (k["mark"]["kind"] == len(QUICK)) & (k["ended"] <= k["mark"]["start"]) & (-k["begins"] >= k["mark"]["end"]),
+    )
+    return F.when(F.size(strings) == 0, F.array().cast(SPAN)).otherwise(
+        F.transform(free, lambda k: F.struct(k["mark"]["start"].alias("start"), k["mark"]["end"].alias("end"), k["mark"]["text"].alias("text")))
+    )
+
+
 def find_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov`` for every row.
 
@@ -164,12 +251,8 @@ def find_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least_ratio: f
         )
 
     base = F.array_sort(F.concat(*[of_kind(f"_{k}", i) for i, k in enumerate(QUICK)]))
-    likely = F.filter(
-        "_long",
-        lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        & (markov_ratio(c["text"], ratios) >= least_ratio),
-    )
-    counted = found.withColumn("_base", base).withColumn("_likely", likely)
+    random = F.filter("_long", lambda c: markov_ratio(c["text"], ratios) >= least_ratio)
+    counted = found.withColumn("_base", base).withColumn("_random", random).withColumn("_likely", _apart("_random", "_base"))
     return counted.select(
         "doc_id",
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in QUICK],

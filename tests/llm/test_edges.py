@@ -2,6 +2,9 @@
 extra columns with clashing names."""
 
 import hashlib
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +123,53 @@ def test_secrets_values(spark):
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def plain_spans(text):
+    """The base spans by the patterns' definition."""
+    kinds = [
+        ("assign", r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", r"AKIA[A-Z0-9]+", 0, 16),
+        ("hex", r"[0-9a-f]+", 0, 32),
+    ]
+    found = [
+        (m.start(), i, m.end(), kind)
+        for i, (kind, pattern, group, least) in enumerate(kinds)
+        for m in re.finditer(pattern, text)
+        if len(m.group(group)) >= least
+    ]
+    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(found))
+
+
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(6)
+    bits = ["password=", "Token: '", "api_key ", "= ", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "ffff", " ", "\U0001f600", "é", "x", "\n", '"']
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["".join(rng.choice(bits) for _ in range(20_000))]
+    got = {r["doc_id"]: r for r in secrets_scan.find_secrets(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        want = plain_spans(text)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        base = [s for s in got[i]["spans"].split(",") if s and not s.startswith("markov")]
+        assert ",".join(base) == want
+        # The models' spans meet none of the patterns'.
+        ranges = [tuple(map(int, s.split(":")[1:])) for s in base]
+        for span in (s for s in got[i]["spans"].split(",") if s.startswith("markov")):
+            start, end = map(int, span.split(":")[1:])
+            assert len(text) > 5000 or not any(a < end and start < b for a, b in ranges)
+
+
+def test_many_matches_in_one_text_take_proportional_time(spark):
+    rng = random.Random(2)
+    seconds = {}
+    for n in (2_000, 10_000, 40_000, 50_000):
+        text = " ".join(f"{rng.getrandbits(128):032x}" for _ in range(n))
+        d = docs(spark, [(1, text, "en", "a")])
+        began = time.perf_counter()
+        row = secrets_scan.find_secrets(d).collect()[0]
+        seconds[n] = time.perf_counter() - began
+        assert row["n_hex"] == n and row["n_markov"] == 0
+    assert seconds[40_000] < 4 * seconds[10_000] + 2
+
+
 PAGES = "page_id long, url string, html string, rule string, verdict string, key string, block string"
 
 
