@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lullspark.llm.common import row_text, stored
+from lullspark.llm.common import give_up_shuffles, row_text, stored
 from lullspark.llm.components import components
 
 WORDS = 5
@@ -30,6 +30,8 @@ COUNTED_AT_ONCE = 1 << 20
 COMMON = 1 << 17
 # Meetings are by 48 bits of a shingle: fewer bytes move, and the sets decide anyway.
 MEET_BITS = 48
+# Bits of a filter that tasks get: 2 MB. A full one lets all through, to an exact join.
+FILTER_BITS = 1 << 24
 HUBS = 4
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -88,12 +90,64 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """A set as a bitmap of at least twice as many bits, a power of two."""
+    bits = 1 << max(3, (2 * len(found) - 1).bit_length()) if len(found) else 8
+    held = np.zeros(bits, np.uint8)
+    held[(found & U(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def may_be_similar(bits_a: bytes, size_a: int, bits_b: bytes, size_b: int) -> bool:
+    """False only for sets that have a similarity below 0.8.
+
+    A common element sets a bit in both. So no more are common than bits are, and elements
+    of the one set that share a bit with another of their own.
+    """
+    a, b = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    size = min(len(a), len(b))
+    a, b = _folded(a, size), _folded(b, size)
+    both = int(np.bitwise_count(a & b).sum())
+    most = both + min(size_a - int(np.bitwise_count(a).sum()), size_b - int(np.bitwise_count(b).sum()))
+    return 9 * most >= 4 * (size_a + size_b)
+
+
+def _filter_of(values: DataFrame) -> np.ndarray:
+    """A bit for each hash of the one column; the driver gets at most ``FILTER_BITS`` bits."""
+    at = F.pmod(F.xxhash64(values.columns[0]), F.lit(FILTER_BITS))
+    words = values.select(F.floor(at / 64).alias("word"), F.pmod(at, F.lit(64)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+    table, held = found.toArrow(), np.zeros(FILTER_BITS // 64, np.int64)
+    held[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return held
+
+
+def _passing(rows: DataFrame, name: str, held: np.ndarray) -> DataFrame:
+    """Rows whose column ``name`` may be among the values of a filter."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_filter").to_numpy()
+            hit = (held[at >> 6] >> (at & 63)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).drop_columns(["_filter"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("_filter", F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))).mapInArrow(keep, fields)
+
+
+NAMES = ("doc_id", "text_hash", "set_key", "size", "prefix", "bits")
+
+
 def _signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """``doc_id, text_hash, set_key, size, prefix`` for every row."""
+    """``doc_id, text_hash, set_key, size, prefix, bits`` for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, bitmaps = [], [], [], []
             for t in batch.column("text"):
                 found = shingle_set(t.as_py())
                 n = len(found)
@@ -102,6 +156,7 @@ def _signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 first = np.concatenate([found[~late], found[late]])[:keep]
                 keys.append(xxhash.xxh128_digest(found.tobytes()))
                 sizes.append(n)
+                bitmaps.append(bitmap(found))
                 prefixes.append((first >> U(64 - MEET_BITS)).view(np.int64))
             columns = [
                 batch.column("doc_id"),
@@ -109,12 +164,13 @@ def _signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 pa.array(keys, pa.binary()),
                 pa.array(sizes, pa.int64()),
                 pa.array(prefixes, pa.list_(pa.int64())),
+                pa.array(bitmaps, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_key", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*NAMES])
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64(row_text()).alias("text_hash"), row_text().alias("text"))
-    return rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, set_key binary, size long, prefix array<long>")
+    return rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, set_key binary, size long, prefix array<long>, bits binary")
 
 
 def _whole_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -126,68 +182,101 @@ def _whole_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             shingles = pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), shingles], names=["id", "shingles"])
 
-    d = docs.select("doc_id", F.xxhash64(row_text()).alias("text_hash"), row_text().alias("text")).alias("d")
+    texts = docs.select("doc_id", F.xxhash64(row_text()).alias("text_hash"), row_text().alias("text"))
+    d = _passing(texts, "text_hash", _filter_of(wanted.select("text_hash"))).alias("d")
     w = wanted.alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
     rows = d.join(w, same).select("w.id", "d.text").mapInArrow(whole, "id long, shingles array<long>")
-    return stored(rows.dropDuplicates(["id"]), "jaccard-sets")
+    full = stored(rows, "jaccard-sets")
+    # Only equal rows can give a set twice.
+    return full if full.count() == wanted.count() else stored(full.dropDuplicates(["id"]), "jaccard-sets")
+
 
+def _candidates(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Distinct ``a < b`` whose sizes and bitmaps allow a similarity of 0.8."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("bits_a", "size_a", "bits_b", "size_b")]
+            may = pa.array([may_be_similar(*row) for row in zip(*columns, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(may)
 
-def _candidates(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Distinct ``a < b`` whose sizes allow a similarity of 0.8."""
     ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    a, b = (sizes.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
+    sizes = [named.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b")]
     near = 5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")
-    return ordered.join(a, "a").join(b, "b").where(near).select("a", "b")
+    sized = ordered.join(sizes[0], "a").join(sizes[1], "b").where(near)
+    bits = [named.select(F.col("id").alias(n), F.col("bits").alias(f"bits_{n}")) for n in ("a", "b")]
+    return stored(sized.join(bits[0], "a").join(bits[1], "b").mapInArrow(judge, "a long, b long"), "jaccard-candidates")
 
 
-def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs (a, b)`` whose whole sets are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    full = _whole_sets(stored(wanted.join(named.select("id", "doc_id", "text_hash"), "id"), "jaccard-wanted"), docs)
     a = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
-
+    similar = pairs.join(a, "a").join(b, "b").where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return stored(similar, "jaccard-similar")
 
-def similar_texts(docs: DataFrame) -> DataFrame:
-    """``a, b``: links of ``text_hash`` that connect all similar texts of ``docs``.
 
-    A null text is empty; texts without words are similar to each other only. Rows with a
-    null or repeated id are texts like any other; equal rows are one. An empty table gives
-    no link. Texts are named by 64-bit hashes: of n distinct texts two share one with
-    probability n^2 / 2^65, and would then be taken for one.
-    """
-    rows = stored(_signatures(docs, _common_shingles(docs)), "jaccard")
+def _distinct_sets(rows: DataFrame) -> DataFrame:
+    """``id, set_key, doc_id, text_hash, size, prefix, bits``: one row for each set, with a
+    number, which is read from the table that has it."""
     sets = rows.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
-    )
-    # Sets get numbers, which are read from the table that has them.
-    named = stored(
-        sets.select(F.monotonically_increasing_id().alias("id"), "set_key", "row.doc_id", "row.text_hash", "size", "prefix"),
-        "jaccard-names",
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), *[F.first(n).alias(n) for n in ("size", "prefix", "bits")]
     )
+    columns = ("set_key", "row.doc_id", "row.text_hash", "size", "prefix", "bits")
+    return stored(sets.select(F.monotonically_increasing_id().alias("id"), *columns), "jaccard-names")
+
+
+def _meetings(named: DataFrame) -> DataFrame:
+    """``shingle, id, hub`` of the shingles that several sets have among their first.
+
+    In a meeting of many copies and a few other texts a random hub is a copy most times;
+    meetings of the same texts have a few different ones, so most groups are whole then.
+    """
     postings = named.select("id", F.explode("prefix").alias("shingle"))
-    # In a meeting of many copies and a few other texts a random hub is a copy most times;
-    # meetings of the same texts have a few different ones, so most groups are whole then.
     chance = F.xxhash64("id", F.pmod("shingle", F.lit(HUBS)))
-    shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", chance).alias("hub")).where("n > 1")
-    meetings = stored(postings.join(shared, "shingle").select("shingle", "id", "hub"), "jaccard-meetings")
-    wanted = meetings.select("id").distinct().join(named.select("id", "doc_id", "text_hash"), "id")
-    full = _whole_sets(wanted, docs)
-    sizes = full.select("id", F.size("shingles").alias("size"))
+    counted = postings.select("shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    shared = stored(counted.where("n > 1").select("shingle"), "jaccard-shared")
+    several = _passing(postings, "shingle", _filter_of(shared)).join(shared, "shingle")
+    hubs = several.groupBy("shingle").agg(F.min_by("id", chance).alias("hub"))
+    return stored(several.join(hubs, "shingle").select("shingle", "id", "hub"), "jaccard-meetings")
 
-    hubs = meetings.select(F.col("id").alias("x"), F.col("hub").alias("y"))
-    first = stored(_verified(_candidates(hubs, sizes), full), "jaccard-first")
-    roots = components(first)
+
+def _mixed(meetings: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shingle, id, root`` of the meetings whose sets are in several groups."""
     rooted = meetings.join(roots, F.col("id") == F.col("node"), "left").select(
         "shingle", "id", F.coalesce("root", "id").alias("root")
     )
     several = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    mixed = stored(rooted.join(several.select("shingle"), "shingle"), "jaccard-mixed")
+    return stored(rooted.join(several.select("shingle"), "shingle"), "jaccard-mixed")
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """``a, b``: links of ``text_hash`` that connect all similar texts of ``docs``.
+
+    A null text is empty; texts without words are similar to each other only. Rows with a
+    null or repeated id are texts like any other; equal rows are one. An empty table gives
+    no link. Texts are named by 64-bit hashes: of n distinct texts two share one with
+    probability n^2 / 2^65, and would then be taken for one. Every step is written, and the
+    files of its shuffles are given up before the next one.
+    """
+    spark = docs.sparkSession
+    rows = stored(_signatures(docs, _common_shingles(docs)), "jaccard")
+    named = _distinct_sets(rows)
+    give_up_shuffles(spark)
+    meetings = _meetings(named)
+    give_up_shuffles(spark)
+    hubs = meetings.select(F.col("id").alias("x"), F.col("hub").alias("y"))
+    first = _verified(_candidates(hubs, named), named, docs)
+    give_up_shuffles(spark)
+    mixed = _mixed(meetings, components(first))
     g, h = mixed.alias("g"), mixed.alias("h")
     between = (F.col("g.shingle") == F.col("h.shingle")) & (F.col("g.root") < F.col("h.root"))
     crossed = g.join(h, between).select(F.col("g.id").alias("x"), F.col("h.id").alias("y"))
-    second = _verified(_candidates(crossed, sizes), full)
+    second = _verified(_candidates(crossed, named), named, docs)
 
     left = named.select(F.col("id").alias("a"), F.col("text_hash").alias("ta"))
     right = named.select(F.col("id").alias("b"), F.col("text_hash").alias("tb"))
@@ -199,4 +288,6 @@ def similar_texts(docs: DataFrame) -> DataFrame:
         .where("a <> b")
         .select("a", "b")
     )
-    return stored(similar.unionByName(equal), "jaccard-links")
+    links = stored(similar.unionByName(equal), "jaccard-links")
+    give_up_shuffles(spark)
+    return links
