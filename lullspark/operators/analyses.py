@@ -34,10 +34,10 @@ def align_by_rank(
 ) -> DataFrame:
     """One row per rank, one column per year; the shortest year ends the table."""
     columns = [F.max(F.when(F.col("year") == y, F.col(value))).alias(f"price{y}") for y in years]
-    wide = ranked.where(F.col("year").isin(list(years))).groupBy(*keys, "rank").agg(
-        *columns, F.count_distinct("year").alias("_years")
-    )
-    return wide.where(F.col("_years") == len(set(years))).drop("_years")
+    seen = [F.max(F.when(F.col("year") == y, F.lit(1))).alias(f"_has{y}") for y in dict.fromkeys(years)]
+    wide = ranked.where(F.col("year").isin(list(years))).groupBy(*keys, "rank").agg(*columns, *seen)
+    flags = [f"_has{y}" for y in dict.fromkeys(years)]
+    return wide.dropna(subset=flags).drop(*flags)
 
 
 def share_with_price(share_rows: DataFrame, market: DataFrame, share: str, price: str) -> DataFrame:
