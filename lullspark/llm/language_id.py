@@ -46,7 +46,7 @@ EVIDENCE = 0.5
 SWITCH_PENALTY = 8.0
 SCRIPT_SHARE = 0.01
 OUTSIDE = -60.0
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 
 
 @dataclass
