@@ -17,7 +17,7 @@ from lullspark.operators.level_sets import events_of, level_sets
 from lullspark.operators.trend import trailing_event_trend
 from lullspark.plans import build, ingest, requests
 from lullspark.plans import projections as P
-from lullspark.registry import KEYS, PRODUCTION, REGIONS, RESOLUTIONS, THRESHOLDS, registry_frame
+from lullspark.registry import KEYS, REGIONS, RESOLUTIONS, THRESHOLDS, registry_frame
 from lullspark.session import materialise, shared_checkpoint_dir
 from lullspark.sources import market as market_docs
 from lullspark.sources import tables

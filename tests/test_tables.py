@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lullspark.operators import analyses, upsert
 from lullspark.plans import build
-from lullspark.registry import KEYS, MARKET_SCHEMA, MEASURES, RAW_SERIES, SENTINEL, registry_frame, series_columns
+from lullspark.registry import MARKET_SCHEMA, MEASURES, RAW_SERIES, SENTINEL, registry_frame, series_columns
 from lullspark.sources import market, tables
 
 WIDE = "unix_timestamp_ms long, region string, resolution string, is_bucket_timestamp boolean, a double, b double"
