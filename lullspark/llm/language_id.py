@@ -7,6 +7,7 @@ switch then labels the words, so a text falls into spans of one language.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -46,7 +47,9 @@ EVIDENCE = 0.5
 SWITCH_PENALTY = 8.0
 SCRIPT_SHARE = 0.01
 OUTSIDE = -60.0
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 4 << 20
+# Words scored at once; their n-grams take some hundred bytes a character.
+SCORED_WORDS = 1 << 13
 
 
 @dataclass
@@ -155,6 +158,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
     """Log evidence of each word for each language, at most 0; far below outside its script."""
+    parts = [_part_scores(words[i : i + SCORED_WORDS], model) for i in range(0, len(words), SCORED_WORDS)]
+    return np.concatenate(parts)
+
+
+def _part_scores(words: list[str], model: Model) -> np.ndarray:
     buckets, starts, script = word_features(words)
     scores = np.add.reduceat(model.table[buckets], starts, axis=0) * np.float32(EVIDENCE)
     uses = model.uses[script]
@@ -194,26 +202,33 @@ def label_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENALTY)
 
     Texts without a letter, or all without a learned language, are undetermined.
     """
-    found = [[(m.start(), m.end(), m.group()) for m in WORD.finditer(t)] for t in texts]
-    lengths = np.array([len(f) for f in found], np.int64)
-    if not model.languages or not lengths.sum():
-        return [(UNDETERMINED, 0.0, [])] * len(texts)
     distinct: dict[str, int] = {}
-    numbers = np.array([distinct.setdefault(w, len(distinct)) for f in found for _, _, w in f], np.int64)
+    words, starts, ends, counts = array("i"), array("i"), array("i"), array("q")
+    for text in texts:
+        before = len(words)
+        for m in WORD.finditer(text):
+            words.append(distinct.setdefault(m.group(), len(distinct)))
+            starts.append(m.start())
+            ends.append(m.end())
+        counts.append(len(words) - before)
+    out: list[tuple[str, float, list]] = [(UNDETERMINED, 0.0, [])] * len(texts)
+    if not model.languages or not words:
+        return out
+    numbers, first, last = (np.frombuffer(x, np.int32) for x in (words, starts, ends))
+    lengths = np.frombuffer(counts, np.int64)
     has = np.flatnonzero(lengths)
     labels = viterbi(word_scores(list(distinct), model), numbers, lengths[has], penalty)
-    out: list[tuple[str, float, list]] = [(UNDETERMINED, 0.0, [])] * len(texts)
     at = 0
     for i in has.tolist():
-        own = labels[at : at + lengths[i]]
+        here = slice(at, at + lengths[i])
+        own, begin, end = labels[here], first[here], last[here]
         at += lengths[i]
-        sizes = np.array([b - a for a, b, _ in found[i]])
-        letters = np.bincount(own, weights=sizes, minlength=len(model.languages))
+        letters = np.bincount(own, weights=end - begin, minlength=len(model.languages))
         best = int(letters.argmax())
-        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]).tolist()
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
         spans = [
-            (found[i][a][0], found[i][b - 1][1], model.languages[own[a]])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+            (a, b, model.languages[c])
+            for a, b, c in zip(begin[cuts[:-1]].tolist(), end[cuts[1:] - 1].tolist(), own[cuts[:-1]].tolist(), strict=True)
         ]
         out[i] = (model.languages[best], float(letters[best] / letters.sum()), spans)
     return out
@@ -222,6 +237,17 @@ def label_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENALTY)
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
+def _labelled(texts: pa.Array, model: Model, penalty: float) -> Iterator[tuple[int, list[tuple[str, float, list]]]]:
+    """Where some texts begin, and what ``label_texts`` finds in them, until all are done."""
+    held, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= CHUNK_CHARS or i + 1 == len(texts):
+            yield first, label_texts(held, model, penalty)
+            held, first, size = [], i + 1, 0
+
+
 def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The rows of ``docs (doc_id, text_hash, text)`` with ``lang_pred, score, spans`` for the text."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
@@ -230,24 +256,18 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> D
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
         for batch in batches:
-            texts, first, size = [], 0, 0
-            for i, text in enumerate(batch.column("text")):
-                texts.append(text.as_py())
-                size += len(texts[-1])
-                if size >= CHUNK_CHARS or i + 1 == batch.num_rows:
-                    done = label_texts(texts, model, penalty)
-                    spans = [[{"start": a, "end": b, "lang": c} for a, b, c in d[2]] for d in done]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").slice(first, len(texts)),
-                            batch.column("text_hash").slice(first, len(texts)),
-                            pa.array([d[0] for d in done], pa.string()),
-                            pa.array([d[1] for d in done], pa.float64()),
-                            pa.array(spans, span_type),
-                        ],
-                        names=["doc_id", "text_hash", "lang_pred", "score", "spans"],
-                    )
-                    texts, first, size = [], i + 1, 0
+            for first, done in _labelled(batch.column("text"), model, penalty):
+                spans = [[{"start": a, "end": b, "lang": c} for a, b, c in d[2]] for d in done]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(first, len(done)),
+                        batch.column("text_hash").slice(first, len(done)),
+                        pa.array([d[0] for d in done], pa.string()),
+                        pa.array([d[1] for d in done], pa.float64()),
+                        pa.array(spans, span_type),
+                    ],
+                    names=["doc_id", "text_hash", "lang_pred", "score", "spans"],
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64(row_text()).alias("text_hash"), row_text().alias("text"))
@@ -268,16 +288,26 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans", "text_hash")
 
 
+def main_language(
+    docs: DataFrame, text: Column, least_score: float = 0.5, sample_docs: int = SAMPLE_DOCS, penalty: float = SWITCH_PENALTY
+) -> Column:
+    """Whether ``text`` has a main language, by a model trained on ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(train(docs, sample_docs)))
+
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Model(**shared.value)
+        for texts in columns:
+            kept = []
+            for _, done in _labelled(texts, model, penalty):
+                kept += [lang != UNDETERMINED and score >= least_score for lang, score, _ in done]
+            yield pa.array(kept, pa.bool_())
+
+    return F.arrow_udf(judge, "boolean")(text)
+
+
 def with_language(docs: DataFrame, least_score: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of ``docs`` that have a main language: letters, and at least ``least_score``
-    of them in words of one language. Texts are not shuffled if the rejected rows, which
-    carry an id and a hash only, are few; Spark decides by their size."""
-    rejected = (
-        identify(docs, sample_docs)
-        .where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score))
-        .select("doc_id", "text_hash")
-        .distinct()
-    )
-    rows = as_rows(docs).withColumn("hash", F.xxhash64(row_text("row.text")))
-    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
-    return rows.join(rejected, same, "left_anti").select("row.*")
+    of them in words of one language. Whether a row has one follows from its text, so rows
+    are filtered where they are read; none is shuffled."""
+    rows = as_rows(docs)
+    return rows.where(main_language(docs, row_text("row.text"), least_score, sample_docs)).select("row.*")
