@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from conftest import final_plan
 from lullspark.llm import jaccard, simhash
 from lullspark.llm.components import components
 
@@ -64,3 +65,16 @@ def test_stage_keeps_one_of_near_copies_that_fingerprints_miss(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert not kept & set(missed)
     assert kept <= set(roots)
+
+
+def test_sets_are_read_by_one_worker_and_without_copies(spark):
+    rows = [(i, f"a b c d e f g {i}") for i in range(50)] + [(100 + i, "one text in many copies here") for i in range(50)]
+    docs = spark.createDataFrame([*rows, (None, "of no id"), (None, None)], "doc_id long, text string")
+    named = docs.select(F.col("doc_id").alias("id"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    wanted = named.where("id is null or id in (3, 7, 120)").localCheckpoint()
+    found = jaccard._read_sets(wanted, docs)
+    got = sorted((str(r["id"]), [x % 2**64 for x in r["shingles"]]) for r in found.collect())
+    texts = {"3": [rows[3][1]], "7": [rows[7][1]], "120": [rows[70][1]], "None": ["of no id", ""]}
+    assert got == sorted((i, jaccard.shingle_set(t).tolist()) for i, ts in texts.items() for t in ts)
+    plan = final_plan(found)
+    assert plan.count("MapInArrow") == 1
