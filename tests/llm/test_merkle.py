@@ -127,3 +127,50 @@ def test_own_tampering(spark):
     assert [r["doc_id"] for r in found if not r["verified"]] == [7]
     untouched = merkle.manifest(frame, F.when(F.col("doc_id") == 7, F.col("text"))).collect()
     assert all(r["verified"] for r in untouched) and sum(r["version"] is not None for r in untouched) == 1
+
+
+def test_every_leaf_is_folded_to_a_root(spark, monkeypatch):
+    """A root that does not belong to the leaves is found by untouched leaves too."""
+    docs = documents({"a": 300, "b": 20}, seed=9)
+    frame = spark.createDataFrame([(*d, "g", "p", "b", "r") for d in docs], SCHEMA)
+    original = merkle._source_paths
+
+    def forged(subroots):
+        found = original(subroots)
+        paths, rest = found if isinstance(found, tuple) else (found, None)
+        paths = paths.withColumn("root", F.lit("0" * 64))
+        return (paths, rest) if isinstance(found, tuple) else paths
+
+    monkeypatch.setattr(merkle, "_source_paths", forged)
+    found = merkle.manifest(frame).select("verified", "folded_root").collect()
+    assert len(found) == 320 and not any(r["verified"] for r in found)
+
+
+@pytest.mark.parametrize("counts", [{"a": 700, None: 3, "b": 1}, {f"s{i}": 1 + i % 3 for i in range(40)}, {"a": 1}])
+def test_a_version_is_read_from_stored_nodes(spark, counts):
+    docs = documents(counts, seed=6)
+    frame = spark.createDataFrame([(*d, "g", "p", "b", "r") for d in docs], SCHEMA)
+    chosen = docs[0][0]
+    tree = merkle.persistent_tree(frame, F.when(F.col("doc_id") == chosen, F.lit("changed")))
+
+    def by_definition(changed):
+        groups = {}
+        for d in sorted(docs, key=lambda d: d[0]):
+            groups.setdefault(d[3], []).append(leaf(d, "changed" if changed and d[0] == chosen else d[1]))
+        order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+        trees = [(s, False, levels(groups[s])) for s in order]
+        trees.append((None, True, levels([t[-1][0] for _, _, t in trees])))
+        return {(s, top, k, i): x for s, top, t in trees for k, nodes in enumerate(t) if k for i, x in enumerate(nodes)}
+
+    def read(which):
+        rows = merkle.read_version(tree, which).collect()
+        assert len({r[:4] for r in rows}) == len(rows)
+        return {tuple(r[:4]): r["digest"] for r in rows}, sum(not r["shared"] for r in rows)
+
+    base, copied = read(F.col("doc_id") == -1)
+    assert base == by_definition(False) and copied == 0
+    version, copied = read(F.col("doc_id") == chosen)
+    assert version == by_definition(True)
+    assert copied == sum(version[at] != base[at] for at in base)
+    nodes = merkle.version_nodes(tree.paths).collect()
+    assert len(nodes) == copied and {r["copy_of"] for r in nodes} <= set(base.values())
