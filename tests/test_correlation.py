@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows
+from conftest import final_plan, rows
+from pyspark.sql import functions as F
 
 from lullspark.operators import correlation as C
 
@@ -142,3 +143,24 @@ def test_spearman_of_scattered_nulls(spark):
                 assert got[x, y] is None or math.isnan(got[x, y])
             else:
                 assert got[x, y] == pytest.approx(both[x].rank().corr(both[y].rank())), (x, y)
+
+
+def test_spearman_moves_only_columns_of_many_values(spark):
+    """The same matrix whether ranks are looked up, moved, or some of each; looked-up
+    columns are not among the rows that are grouped."""
+    rng = random.Random(21)
+    names = list("abcde")
+    data = [
+        (float(rng.randint(0, 3)), rng.choice([None, 1.0, 2.0, 5.0]), rng.choice([None, rng.random()]), rng.random(), rng.choice([None, float(rng.randint(0, 40))]))
+        for _ in range(400)
+    ] + [(None, None, None, 0.5, None), (float("nan"), 1.0, None, 0.25, 3.0)]
+    df, pdf = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names)), pd.DataFrame(data, columns=names, dtype=float)
+    for few in (0, 10, 60, 10_000):
+        got = matrix(C.corr_spearman(df, names, few_values=few))
+        for x in names:
+            for y in names:
+                both = pdf[[x, y]].dropna() if x != y else pdf[[x]].dropna()
+                want = both[x].rank().corr(both[y].rank()) if x != y else 1.0
+                assert got[x, y] == pytest.approx(want), (few, x, y)
+    ids = C._packed(df, names).withColumn("_row", F.monotonically_increasing_id())
+    assert "collect_list" not in final_plan(C._spearman_sparse(ids, 5, range(5)))
