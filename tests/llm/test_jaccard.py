@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -78,3 +79,65 @@ def test_sets_are_read_by_one_worker_and_without_copies(spark):
     assert got == sorted((i, jaccard.shingle_set(t).tolist()) for i, ts in texts.items() for t in ts)
     plan = final_plan(found)
     assert plan.count("MapInArrow") == 1
+
+
+def one_group(n):
+    """Copies of one text with 0 to 7 words of their own; half have too many to be similar to it."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 10), rng.choice((1, 2, 3, 5, 6, 7))):
+            words[at] = f"own{i}_{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_pairs_of_a_group_grow_with_its_size_only(spark, monkeypatch):
+    seen = []
+
+    def counted(pairs, named, whole=jaccard._candidates):
+        seen[-1].append(pairs.count())
+        return whole(pairs, named)
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    for n in (60, 240):
+        seen.append([])
+        texts = one_group(n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+        root = {r["node"]: r["root"] for r in components(jaccard.similar_texts(docs)).collect()}
+        got, want = {}, {}
+        for i, w in enumerate(classes(texts)):
+            got.setdefault(root.get(hashes[i], hashes[i]), set()).add(i)
+            want.setdefault(w, set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        assert n // 3 < len(want) < n
+    small, large = map(sum, seen)
+    assert 0 < small
+    assert large < 6 * small
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_common_shingle_bounds_the_other_size(seed):
+    rng = np.random.default_rng(seed)
+    values = np.unique(rng.integers(0, 2**64, 400, np.uint64))
+    late = np.sort(rng.choice(values, 150, replace=False))
+    common = (late, rng.permutation(len(late)).astype(np.int32))
+    place = {v: (1, r) for v, r in zip(late.tolist(), common[1].tolist(), strict=True)}
+    similar = 0
+    for _ in range(300):
+        a = np.sort(rng.choice(values, rng.integers(1, 120), replace=False))
+        kept = rng.random(len(a)) < rng.uniform(0.8, 1)
+        b = np.unique(np.concatenate([a[kept], rng.choice(values, rng.integers(0, 12))]))
+        x, y = jaccard.in_order(a, common).tolist(), jaccard.in_order(b, common).tolist()
+        assert x == sorted(a.tolist(), key=lambda v: place.get(v, (0, v)))
+        both = set(x) & set(y)
+        if 9 * len(both) < 4 * (len(x) + len(y)):
+            continue
+        similar += 1
+        most = [(5 * len(s) - 9 * min(map(s.index, both))) // 4 for s in (x, y)]
+        assert len(y) <= most[0]
+        assert len(x) <= most[1]
+    assert similar > 50
