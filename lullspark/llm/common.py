@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import string
 import uuid
 from collections.abc import Sequence
@@ -10,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lullspark.session import shared_checkpoint_dir
+from lullspark.session import give_up_shuffles, shared_checkpoint_dir  # noqa: F401
 
 # Everything but blank, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,15 +32,6 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def give_up_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the files of shuffles whose results have been written.
-
-    It does so when the driver collects its garbage, which may take hours otherwise.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ascii_lower(text: Column) -> Column:
     """Only A-Z lower-cased; every other character stays."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

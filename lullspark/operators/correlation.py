@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lullspark.operators.chunks import row_index, range_chunks, running_sum
+from lullspark.operators.chunks import range_chunks, row_index
+from lullspark.operators.rank_blocks import rank_correlations
 from lullspark.registry import KEYS
-from lullspark.session import materialise
 
 PAIR = ["column_x", "column_y"]
 BLOCK_ROWS = 1 << 20
-# Distinct values of a column whose ranks every task gets: about 400 KB for 12 columns.
+# Distinct values of a column whose ranks every task gets: about 800 KB for 12 columns.
 FEW_VALUES = 1 << 12
 
 
@@ -122,109 +122,25 @@ def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _mirror(rows.groupBy(*PAIR).agg(_corr("x", "y").alias("correlation")), columns)
 
 
-def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``keys, value, rank``: the mean rank of every distinct value within its group.
+def _spearman_sparse(rows: DataFrame, width: int, few: Sequence[int] | None = None, few_values: int = FEW_VALUES) -> DataFrame:
+    """``column_x <= column_y`` by place; ranks count only the rows that have both values.
 
-    Ranks come from counts of distinct values, so a value held by a third of all
-    rows is one row here.
+    Ranks of the columns ``few``, or else of those of ``few_values`` values at most, are looked
+    up where a row is stored. Values of the others are moved to their ranks and on to those of
+    one other column at a time.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = range_chunks(counts, [*keys, value])
-    upto = running_sum(ordered, keys, [value], {"_upto": F.col("_n")})
-    return upto.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("rank"))
-
-
-def _spearman_complete(ids: DataFrame, width: int) -> DataFrame:
-    """Columns without missing values: every value meets its rank in one join."""
-    long = ids.select("_row", F.posexplode("v").alias("_at", "x"))
-    ranks = average_ranks(long, ["_at"], "x")
-    one = F.struct("_at", "rank")
-    ranked = (
-        long.join(ranks, ["_at", "x"])
-        .groupBy("_row")
-        .agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: s["rank"]).alias("v"))
-    )
-    return _pair_rows(ranked, width).groupBy(*PAIR).agg(_corr("x", "y").alias("correlation"))
-
-
-def pair_ranks(ids: DataFrame, width: int) -> DataFrame:
-    """``_at, x, _r``: a distinct value's rank against each column, among the rows that have
-    it together with a value there, whatever the pattern of nulls."""
-    has = F.transform("v", lambda v: v.isNotNull().cast("long"))
-    long = ids.select(has.alias("_has"), F.posexplode("v").alias("_at", "x")).where("x is not null")
-    counts = long.groupBy("_at", "x").agg(*[F.sum(F.col("_has")[j]).alias(f"n{j}") for j in range(width)])
-    ordered = range_chunks(counts, ["_at", "x"])
-    upto = running_sum(ordered, ["_at"], ["x"], {f"u{j}": F.col(f"n{j}") for j in range(width)})
-    rank = [F.col(f"u{j}") - (F.col(f"n{j}") - 1) / F.lit(2.0) for j in range(width)]
-    return upto.select("_at", "x", F.array(*rank).alias("_r"))
-
-
-def _spearman_sparse(ids: DataFrame, width: int, few: Sequence[int]) -> DataFrame:
-    """Pairs with missing values: ranks count only the rows that have both values.
-
-    A column of ``few`` distinct values has a small table of ranks, which every task gets;
-    its values stay where they are. Each value of the other columns is moved once for its
-    column, not once for each pair, and takes up its ranks in one join; the values of a row
-    find back together in one grouping.
-    """
-    ranks = materialise(pair_ranks(ids, width))
-    many = [j for j in range(width) if j not in few]
-    rows = ids
-    met = [F.array().cast("array<struct<_at:int,_r:array<double>>>")]
-    if many:
-        long = ids.select("_row", F.posexplode("v").alias("_at", "x")).where(F.col("_at").isin(many) & F.col("x").isNotNull())
-        moved = (
-            long.join(ranks.where(F.col("_at").isin(many)), ["_at", "x"])
-            .groupBy("_row")
-            .agg(F.collect_list(F.struct("_at", "_r")).alias("_many"))
-        )
-        if few:
-            kept = F.array(*[F.col("v")[j] if j in few else F.lit(None).cast("double") for j in range(width)])
-            rows = ids.select("_row", kept.alias("v")).join(moved, "_row", "left")
-            met = [F.coalesce("_many", met[0])]
-        else:
-            rows, met = moved, [F.col("_many")]
-    for j in few:
-        table = ranks.where(F.col("_at") == j).select(F.col("x").alias(f"x{j}"), F.struct("_at", "_r").alias(f"r{j}"))
-        rows = rows.join(F.broadcast(table), F.col("v")[j] == F.col(f"x{j}"), "left").drop(f"x{j}")
-        met.append(F.filter(F.array(f"r{j}"), lambda r: r.isNotNull()))
-    placed = rows.select(F.sort_array(F.concat(*met)).alias("v"))
-    left = placed.select("v", F.posexplode("v").alias("_p", "a"))
-    both = left.select("a", F.explode(F.slice("v", F.col("_p") + 2, F.lit(width))).alias("b"))
-    pairs = both.select(
-        F.col("a._at").alias("column_x"),
-        F.col("b._at").alias("column_y"),
-        F.get("a._r", F.col("b._at")).alias("rx"),
-        F.get("b._r", F.col("a._at")).alias("ry"),
-    )
-    return pairs.groupBy(*PAIR).agg(_corr("rx", "ry").alias("correlation"))
+    return rows.sparkSession.createDataFrame(rank_correlations(rows, width, few, few_values))
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str], few_values: int = FEW_VALUES) -> DataFrame:
     """Pearson correlation of average ranks over the complete rows of each pair.
 
-    Rows meet their ranks by equi joins on the value; a hot value is split by
-    adaptive skew-join handling. One count per column tells whether any has missing
-    values; if none has, a value has the same rank in every pair. A column with about
-    ``few_values`` distinct values at most is looked up, not moved; that decides only the
-    way. Numbered rows are stored once, so the ranks of a row find back together.
+    Rows are stored once, in packed blocks, and read once for each pair of columns of more
+    than ``few_values`` distinct values; that number decides only the way. The disk holds the
+    blocks and what one such pair moves. A hot value is spread over all tasks.
     """
     columns = list(columns)
-    width = len(columns)
-    ids = materialise(_packed(df, columns).withColumn("_row", F.monotonically_increasing_id()))
-    value = [F.col("v")[i] for i in range(width)]
-    counts = ids.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(value)],
-        *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(value)],
-    ).first()
-    upper = _per_column(ids, [F.when(F.min(v) != F.max(v), 1.0) for v in value])
-    if width > 1 and all(counts[f"n{i}"] == counts["_rows"] for i in range(width)):
-        upper = upper.unionByName(_spearman_complete(ids, width))
-    elif width > 1:
-        few = [i for i in range(width) if counts[f"d{i}"] <= few_values]
-        upper = upper.unionByName(_spearman_sparse(ids, width, few))
-    return _mirror(upper, columns)
+    return _mirror(_spearman_sparse(_packed(df, columns), len(columns), few_values=few_values), columns)
 
 
 def weighted_inversions(ranks: np.ndarray, weights: np.ndarray) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that outlives lost executors."""
     shared_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def give_up_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles whose results have been written.
+
+    It does so when the driver collects its garbage, which may take hours otherwise.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
