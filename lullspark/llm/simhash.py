op8_simhash shuffles fingerprints instead of their variants

Symptom: op8_simhash wrote and read 2.1 times its input in shuffles, and 62 GB of disk were projected for 30 GB of documents.
Evidence: of 1061 MB shuffled over 0.51 GB, 1040 MB were the packed variants of the distinct fingerprints, about 560 of each, sent to meet by equal value.
Fix: groups are parities of fingerprint bits, which a flip changes in at most one place, so each fingerprint goes once to each of 22 groups (more as the table grows) and its variants are made there; a group of many variants is split in its task.
Effect: at 0.6 GB of input CPU 394 -> 349 s, shuffle 1.50 -> 0.11 GB, spill 0.00 -> 0.00 GB, read 0.62 -> 0.62 GB, longest task 13 -> 13 s, most memory of a task 103 -> 94 MB; at 6 GB of input CPU 1937 -> 1840 s, shuffle 15.05 -> 2.18 GB, spill 0.00 -> 0.00 GB, read 6.22 -> 6.22 GB, longest task 27 -> 27 s, most memory of a task 206 -> 269 MB; with hot keys, at 0.6 GB of input CPU 323 -> 309 s, shuffle 1.19 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.20 GB, longest task 8 -> 8 s, most memory of a task 103 -> 84 MB.

@@ -4,9 +4,13 @@ Two fingerprints at most three bits apart have a common variant: one of them cle
 of its ones, or fewer bits, and the other flips one bit. (Of three differing bits, one
 side has ones in at least two.) So every fingerprint emits itself, its 64 single flips
 and the pairs of its ones, a quarter of all variants within two bits. Equal variants
-meet in a shuffle. In such a meeting one fingerprint that is at most one flip away is
-within three bits of all others; links to it keep the group connected without listing
-its pairs. Links are deduplicated and their distance is verified.
+meet. In such a meeting one fingerprint that is at most one flip away is within three
+bits of all others; links to it keep the group connected without listing its pairs.
+Links are deduplicated and their distance is verified.
+
+Variants are not shuffled: a group is a few parities of bits, and a flip changes at most
+one of them, so many variants of a fingerprint are in one group. The fingerprint goes once
+to each group that has some, and its variants are made there.
 """
 
 from __future__ import annotations
@@ -28,15 +32,26 @@ SEED = 42
 RADIUS = 3
 SHINGLES_AT_ONCE = 1 << 16
 FINGERPRINTS_AT_ONCE = 2000
-VARIANTS_PER_GROUP = 1 << 20
+# A group of the shuffle has four million variants, a task makes a million of them at once.
+VARIANTS_PER_GROUP = 1 << 22
+VARIANTS_AT_ONCE = 1 << 20
+# Small tables have 64 groups, for parallel work.
+GROUP_BITS = 6
+GROUPS_PER_TASK = 8
 CELL_BITS = 12
 FLIP_MASK = np.uint64(0xFFF)
 ITSELF = 1 << 6
 
 U = np.uint64
-# Multipliers of the published 64-bit finaliser of MurmurHash3; fixed values.
-MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-UNMIX = tuple(U(pow(m, -1, 1 << 64)) for m in MIX)
+PARITIES = 0xFFFF << 48
+
+# What a variant flips: nothing, a bit, or two bits that must be ones.
+BIT = U(1) << np.arange(64, dtype=U)
+FIRST, SECOND = np.triu_indices(64, 1)
+TWO = BIT[FIRST] | BIT[SECOND]
+MASKS = np.concatenate([np.zeros(1, U), BIT, TWO])
+ONES = np.concatenate([np.zeros(65, U), TWO])
+FLIPS = np.concatenate([np.full(1, ITSELF), np.arange(64) * 65, FIRST << 6 | SECOND]).astype(U)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -72,46 +87,49 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads variants evenly over cells."""
-    for m in MIX:
-        x = (x ^ (x >> U(33))) * U(m)
-    return x ^ (x >> U(33))
+    """A bijection that is its own inverse: the leading 16 bits become the parities of every
+    sixteenth bit. It is linear, so what a flip changes is the same for all fingerprints."""
+    folded = x ^ (x << U(32))
+    return ((folded ^ (folded << U(16))) & U(PARITIES)) | (x & ~U(PARITIES))
 
 
 def _unmix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(33))
-    for m in reversed(UNMIX):
-        x = x * m
-        x = x ^ (x >> U(33))
-    return x
-
-
-def variants(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All variants of some fingerprints and, in twelve bits, what each has flipped."""
-    bit = U(1) << np.arange(64, dtype=U)
-    parts = [(values, np.full(len(values), ITSELF, U))]
-    single = np.arange(64, dtype=U) * U(65)
-    parts.append(((values[:, None] ^ bit).ravel(), np.tile(single, len(values))))
-    ones = (values[:, None] & bit) != 0
-    for i in range(63):
-        rows = np.flatnonzero(ones[:, i])
-        at, j = np.nonzero(ones[rows, i + 1 :])
-        j = j + i + 1
-        parts.append((values[rows[at]] ^ bit[i] ^ bit[j], (U(i) << U(6)) | j.astype(U)))
+    return _mix(x)
+
+
+def leading(x: np.ndarray, bits: int) -> np.ndarray:
+    """The leading ``bits`` of the mixed values."""
+    return _mix(x) >> U(64 - bits) if bits else np.zeros_like(x)
+
+
+def variants(values: np.ndarray, bits: int = 0, cell: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The variants of some fingerprints in a cell, the leading ``bits`` of the mixed variant,
+    and, in twelve bits, what each has flipped; without a cell all of them."""
+    changes, away = leading(MASKS, bits), leading(values, bits) ^ U(cell)
+    parts = [(values[:0], FLIPS[:0])]
+    for change in np.unique(changes):
+        at = changes == change
+        masks, ones, flips = MASKS[at], ONES[at], FLIPS[at]
+        near = values[away == change]
+        for i in range(0, len(near), FINGERPRINTS_AT_ONCE):
+            some = near[i : i + FINGERPRINTS_AT_ONCE]
+            row, flip = np.nonzero((some[:, None] & ones) == ones)
+            parts.append((some[row] ^ masks[flip], flips[flip]))
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def cells(values: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+def cells(values: np.ndarray, bits: int, group: int = 0, group_bits: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """Variants by cell, the leading ``bits`` of the mixed variant; each entry packs the
-    other bits of the mixed variant (52 at most matter) with the flips."""
-    flat, flips = variants(values)
+    other bits of the mixed variant (52 at most matter) with the flips. With ``group``
+    only the cells that begin with its ``group_bits``."""
+    flat, flips = variants(values, group_bits, group)
     mixed = _mix(flat)
     cell = (mixed >> U(64 - bits)).astype(np.int64)
     entries = (mixed << U(CELL_BITS)) | flips
     order = np.argsort(cell, kind="stable")
     cell, entries = cell[order], entries[order]
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    for a, b in zip(starts, np.r_[starts[1:], len(cell)], strict=True):
+    starts, ends = np.flatnonzero(np.diff(cell, prepend=-1)), np.flatnonzero(np.diff(cell, append=-1)) + 1
+    for a, b in zip(starts, ends, strict=True):
         yield int(cell[a]), entries[a:b]
 
 
@@ -138,37 +156,56 @@ def cell_links(top: int, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[close], b[close]
 
 
+def group_links(values: np.ndarray, group: int, bits: int, at_once: int = VARIANTS_AT_ONCE) -> Iterator[np.ndarray]:
+    """Verified links, in rows of two, between fingerprints whose variants meet in a group,
+    the leading ``bits``. A group of many variants, as near copies give, is split by one more
+    bit until a part has few."""
+    changes, times = np.unique(leading(MASKS, bits), return_counts=True)
+    away = leading(values, bits) ^ U(group)
+    change = np.minimum(np.searchsorted(changes, away), len(changes) - 1)
+    held = changes[change] == away
+    values = values[held]
+    # Of the pairs of bits a quarter are ones.
+    if times[change[held]].sum() > 4 * at_once:
+        yield from group_links(values, 2 * group, bits + 1, at_once)
+        yield from group_links(values, 2 * group + 1, bits + 1, at_once)
+        return
+    cell_bits = max(CELL_BITS, bits)
+    links = [np.zeros((0, 2), U)]
+    for cell, entries in cells(values, cell_bits, group, bits):
+        a, b = cell_links(cell >> (cell_bits - CELL_BITS), entries)
+        links.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+    yield np.unique(np.concatenate(links), axis=0)
+
+
+def dealt(distinct: DataFrame, bits: int) -> DataFrame:
+    """``grp, fingerprint``: a row for each group, of ``bits``, that may have variants of it."""
+    x = F.col("fingerprint")
+    folded = x.bitwiseXOR(F.shiftleft(x, 32))
+    parities = folded.bitwiseXOR(F.shiftleft(folded, 16)).bitwiseAND(PARITIES - (1 << 64))
+    mixed = parities.bitwiseOR(x.bitwiseAND(~PARITIES & (1 << 64) - 1))
+    changes = np.unique(leading(MASKS, bits)).astype(np.int64).tolist()
+    own = distinct.select(F.shiftrightunsigned(mixed, 64 - bits).alias("own"), "fingerprint")
+    rows = own.select("own", F.explode(F.array(*map(F.lit, changes))).alias("change"), "fingerprint")
+    return rows.select(F.col("own").bitwiseXOR(F.col("change")).cast("long").alias("grp"), "fingerprint")
+
+
 def near_links(distinct: DataFrame, count: int) -> DataFrame:
     """``a, b``: links that connect all of ``count`` distinct fingerprints within three bits."""
     spark = distinct.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    group_bits = max(0, math.ceil(math.log2(max(1, count * 600 / VARIANTS_PER_GROUP))))
-    bits = max(CELL_BITS, group_bits)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy().view(U)
-            for i in range(0, len(values), FINGERPRINTS_AT_ONCE):
-                found = list(cells(values[i : i + FINGERPRINTS_AT_ONCE], bits))
-                columns = [
-                    pa.array([c >> (bits - group_bits) for c, _ in found], pa.int64()),
-                    pa.array([c >> (bits - CELL_BITS) for c, _ in found], pa.int64()),
-                    pa.array([e.tobytes() for _, e in found], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["grp", "top", "entries"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        by_top: dict[int, list[bytes]] = {}
-        for top, entries in zip(table["top"].to_pylist(), table["entries"].to_pylist(), strict=True):
-            by_top.setdefault(top, []).append(entries)
-        pairs = [cell_links(top, np.frombuffer(b"".join(parts), U)) for top, parts in by_top.items()]
-        a = np.concatenate([p[0] for p in pairs])
-        b = np.concatenate([p[1] for p in pairs])
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-    emitted = distinct.repartition(tasks, "fingerprint").mapInArrow(emit, "grp long, top long, entries binary")
-    return emitted.groupBy("grp").applyInArrow(meet, "a long, b long").distinct()
+    bits = max(GROUP_BITS, math.ceil(math.log2(max(1, count * 600 / VARIANTS_PER_GROUP))))
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = np.concatenate([b.column("fingerprint").to_numpy() for b in batches]).view(U)
+        for links in group_links(values, key[0].as_py(), bits):
+            found = links.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    rows = dealt(distinct.repartition(tasks, "fingerprint"), bits)
+    # A group has few bytes and much to do: it is not for the adaptive plan to join their tasks.
+    groups = rows.repartition(max(tasks, (1 << bits) // GROUPS_PER_TASK), "grp")
+    return groups.groupBy("grp").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _near_duplicates(docs: DataFrame, shingle: int, similar: DataFrame | None = None) -> DataFrame:

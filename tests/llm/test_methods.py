@@ -126,6 +126,66 @@ def test_cells_give_every_variant_back(bits):
     assert any(len(p) for p, _ in pairs)
 
 
+def near_copies(rng, count):
+    """Distinct fingerprints that differ from one of them in a few random bits each."""
+    middle = rng.integers(0, 1 << 63, 1).astype(np.uint64)[0]
+    masks = (rng.random((count, 64)) < 0.05) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    return np.unique(middle ^ masks.astype(np.uint64))
+
+
+@pytest.mark.parametrize(("bits", "rows"), [(6, 22), (11, 67)])
+def test_a_fingerprint_goes_once_to_each_group_of_its_variants(spark, bits, rows):
+    rng = np.random.default_rng(5)
+    values = np.array([0, 7, 1 << 63, (1 << 64) - 1, *rng.integers(0, 1 << 63, 40).tolist()], np.uint64)
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fingerprint long")
+    got = [tuple(r) for r in simhash.dealt(frame, bits).collect()]
+    assert len(got) == len(set(got)) == rows * len(values)
+    for v in values:
+        flat, flips = simhash.variants(v[None])
+        groups = {g for g, f in got if f == int(v.view(np.int64))}
+        assert set(simhash.leading(flat, bits).tolist()) <= groups
+        found = [simhash.variants(v[None], bits, g) for g in groups]
+        assert sorted(x for f, _ in found for x in f.tolist()) == sorted(flat.tolist())
+        assert sorted(x for _, f in found for x in f.tolist()) == sorted(flips.tolist())
+
+
+def test_near_links_shuffle_fingerprints_and_no_variants(spark):
+    values = np.random.default_rng(6).integers(0, 1 << 62, 500)
+    frame = spark.createDataFrame([(int(v),) for v in values], "fingerprint long")
+    links = simhash.near_links(frame, len(values))
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "binary" not in plan
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression [grp#" in line]
+    assert len(dealt) == 1 and "Generate explode" in plan
+
+
+def test_groups_in_parts_and_many_near_copies(spark):
+    rng = np.random.default_rng(7)
+    values = np.unique(np.concatenate([near_copies(rng, 400), rng.integers(0, 1 << 63, 100).astype(np.uint64)]))
+    for group in np.unique(simhash.leading(values, 6))[:8].tolist():
+        (whole,), parts = simhash.group_links(values, group, 6), list(simhash.group_links(values, group, 6, 500))
+        assert len(parts) > 1 and {*map(tuple, whole.tolist())} == {tuple(x) for p in parts for x in p.tolist()}
+    want, signed = linked_classes(values), values.view(np.int64).tolist()
+    frame = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
+    # As many as need 256 groups.
+    links = simhash.near_links(frame, 1_000_000).collect()
+    assert all((a ^ b).bit_count() <= 3 for a, b in np.array([[r.a, r.b] for r in links]).view(np.uint64).tolist())
+    root = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links)).collect()}
+    found = {(root.get(s, s), w) for s, w in zip(signed, want, strict=True)}
+    assert len(found) == len({r for r, _ in found}) == len(set(want)) < len(values)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    rows = [(None, text), (7, text), (7, text), (7, None), (9, ""), (None, " \t"), (None, "alone"), (4, text + " end"), (2, "two words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = np.array([simhash.fingerprint(t or "") for _, t in rows], np.uint64)
+    classes = linked_classes(prints)
+    least = {c: min((i for (i, _), d in zip(rows, classes, strict=True) if c == d and i is not None), default=None) for c in classes}
+    want = [(i, f"{int(p):016x}", least[c]) for (i, _), p, c in zip(rows, prints, classes, strict=True)]
+    assert sorted(map(repr, map(tuple, simhash.near_duplicates(frame).collect()))) == sorted(map(repr, want))
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(300, 300), (401, 400)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
